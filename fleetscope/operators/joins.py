@@ -1,0 +1,34 @@
+"""Join helpers with an explicit size check before broadcasting.
+
+Dimension tables (assets, datacenter mapping, price lists) grow with the number of
+devices, not with telemetry volume; still, their size is *checked* before a
+broadcast hint is added. Beyond the limit the hint is dropped and the planner's
+sort-merge join runs, with AQE's skew-join splitting of hot partitions.
+Per-device aggregates produced inside a job are never counted eagerly: AQE sees
+their measured size at runtime and converts to a broadcast join only when it is
+actually small (``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Upper bound on rows of a side we hint for broadcast (a few MB per executor).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` only when a bounded count proves it small.
+
+    ``limit(max_rows + 1).count()`` stops reading as soon as the bound is passed,
+    so the check costs at most ``max_rows`` rows of the (small) dimension.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def join_dim(facts: DataFrame, dim: DataFrame, on, how: str = "left",
+             max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Fact ⋈ dimension with a size-checked broadcast of the dimension side."""
+    return facts.join(checked_broadcast(dim, max_rows), on, how)
