@@ -138,7 +138,7 @@ def severity_level(sev) -> Column:
     """Severity word -> level 1..4 (PRJ16)."""
     s = col_(sev)
     return (F.when(s == "critical", 4).when(s == "high", 3).when(s == "medium", 2)
-            .when(s == "low", 1).otherwise(0))
+            .when(s == "low", 1))
 
 
 def live_status(temp) -> Column:

@@ -36,6 +36,7 @@ def build_session(master: str | None = None, app: str = "fleetscope",
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.ui.enabled", "false")
+    conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
