@@ -58,8 +58,8 @@ def mib_to_bytes(c) -> Column:
 
 
 def mb_per_s_to_bytes(c) -> Column:
-    """MB/s -> bytes/s (PRJ2)."""
-    return F.coalesce(col_(c).cast("double"), F.lit(0.0)) * F.lit(1000000.0)
+    """MB/s -> bytes/s with the sink's binary factor 1024*1024, missing -> 0 (PRJ2)."""
+    return F.coalesce(col_(c).cast("double"), F.lit(0.0)) * F.lit(float(MIB))
 
 
 def bytes_to_mb(c) -> Column:

@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # duplicate keys in parsed label maps: last one wins, as in a Python dict
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -36,6 +38,7 @@ def build_session(master: str | None = None, app: str = "fleetscope",
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.ui.enabled", "false")
+    conf.setdefault("spark.driver.memory", os.environ.get("FLEETSCOPE_DRIVER_MEMORY", "8g"))
     conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.update(extra or {})
     for k, v in conf.items():

@@ -168,3 +168,37 @@ def load_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "mapping": datacenter_mapping(assets),
         "events": events,
     }
+
+
+def device_model(device_index) -> Column:
+    """Model label of a device in the exposition/event stand-ins (by index parity)."""
+    return F.when(device_index % 2 == 0, MODEL_A100_80).otherwise(MODEL_H100_80)
+
+
+def raw_event_stream(metrics: DataFrame) -> DataFrame:
+    """The raw topic as JSON text (``key``, ``value``, ``received_at``, ``time``).
+
+    Events are built from telemetry (PRJ3). A deterministic 1.1 % of them carry
+    sensor faults keyed on the sample's microsecond digits ``g``: a temperature
+    +80 °C (g 0-4), no ``clocks`` section (g 5-7), an empty uuid (g 8), an SM clock
+    of 50 MHz (g 9), SM active 101 % (g 10). ``received_at`` (the validator's
+    clock) lags the sample by ((g mod 90) - 10) minutes, so some arrive late
+    (> 1 h) and some early (> 5 min ahead).
+    """
+    from fleetscope.operators.ingest import build_events
+    g = F.unix_micros(F.col("time")) % 1000
+    ev = build_events(metrics, model=device_model(F.col("device_index")))
+    e = F.col("e")
+    temp = e["metrics"]["health"]["gpu_temp_c"]
+    # each fault rewrites one field in place, so the event struct is built once
+    e = (e.withField("metrics.health.gpu_temp_c", F.when(g.between(0, 4), temp + 80.0).otherwise(temp))
+          .withField("gpu.gpu_uuid", F.when(g == 8, F.lit("")).otherwise(e["gpu"]["gpu_uuid"]))
+          .withField("metrics.clocks.sm_clock_mhz",
+                     F.when(g == 9, F.lit(50)).otherwise(e["metrics"]["clocks"]["sm_clock_mhz"]))
+          .withField("metrics.performance.sm_active_pct",
+                     F.when(g == 10, F.lit(101.0)).otherwise(e["metrics"]["performance"]["sm_active_pct"])))
+    text = F.to_json(e)
+    text = F.when(g.between(5, 7), F.regexp_replace(text, r',"clocks":\{[^}]*\}', "")).otherwise(text)
+    lag_min = (g % 90 - 10).cast("int")
+    return ev.select(F.col("gpu_uuid").alias("key"), text.alias("value"),
+                     (F.col("time") + F.make_interval(mins=lag_min)).alias("received_at"), "time")
