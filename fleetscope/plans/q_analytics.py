@@ -411,10 +411,13 @@ decisions AS (
       AS confidence,
     h AS health_score, p30 AS failure_prob_30d, util AS utilization, o.as_of AS analyzed_at
   FROM er, as_of o)"""
-    return sql(rnd("SELECT * FROM decisions", ["utilization"]), ctes)
+    return ctes
 
 
-@register("ana05_economic_decisions", _econ_sql())
+ECON_CTES = _econ_sql()
+
+
+@register("ana05_economic_decisions", sql(rnd("SELECT * FROM decisions", ["utilization"]), ECON_CTES))
 def ana05_economic_decisions(spark, sf):
     t, a, h = _health(spark, sf)
     _, _, p = _predictions(spark, sf)

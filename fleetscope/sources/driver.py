@@ -150,7 +150,7 @@ def price_texts_from_parts(part: DataFrame) -> DataFrame:
         F.col("p_brand").alias("model"),
         F.when(pk % 2 == 0, "used_good").otherwise("used_fair").alias("condition"),
         F.concat(F.lit("<html><body>"), F.col("p_name"), body, F.lit("</body></html>")).alias("html"),
-        (F.lit(DEPLOY_ANCHOR).cast("timestamp") + F.make_interval(mins=(pk % 1440).cast("int"))).alias("fetched_at"),
+        (F.lit(DEPLOY_ANCHOR).cast("timestamp") + F.make_interval(mins=pk.cast("int"))).alias("fetched_at"),
         F.col("p_retailprice").alias("original_cost_usd"),
     )
 
