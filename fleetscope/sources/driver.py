@@ -26,8 +26,20 @@ FB_TOTAL_MIB = 81920
 MIB = 1048576
 
 
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the cluster's cores.
+
+    A table stored as one parquet row group is read by one task. When a scan
+    yields fewer partitions than ``defaultParallelism`` it is round-robin
+    repartitioned (not by key, so a hot device cannot skew it); a table of many
+    files, as at scale, already has enough splits and is left untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _pci_bus(index: Column) -> Column:
