@@ -349,7 +349,7 @@ predictions AS (
          WHEN s_pw = greatest(greatest(s_mem, s_th, s_pw), CASE WHEN greatest(s_mem, s_th, s_pw) < 0.1 THEN 1.0 ELSE 0.0 END) THEN 'power'
          ELSE 'other' END AS predicted_failure_type,
     CAST(CASE WHEN p30 > 0.1 THEN floor(30.0 / p30) ELSE 365 END AS INTEGER) AS estimated_ttf_days,
-    'heuristic' AS model_name, '1.0' AS model_version, 0.6 AS confidence, time AS predicted_at
+    'heuristic' AS model_name, '1.0' AS model_version, 0.6::DOUBLE AS confidence, time AS predicted_at
   FROM fp)"""
 
 
