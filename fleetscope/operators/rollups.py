@@ -50,7 +50,10 @@ def rollup(metrics: DataFrame, every: str = "5 minutes", power_min: bool = True,
         F.sum(F.col("ecc_dbe_volatile").cast("long")).alias("ecc_dbe_count"),
         F.count(F.lit(1)).alias("sample_count"),
     ]
-    return (metrics.groupBy(bucket(time_col, every).alias("time"), *keys).agg(*aggs))
+    # group on the window struct itself (not its start) so a streaming input's
+    # watermark applies to the bucket and append mode can close it
+    out = metrics.groupBy(F.window(F.col(time_col), every).alias("_w"), *keys).agg(*aggs)
+    return out.select(F.col("_w.start").alias("time"), *[c for c in out.columns if c != "_w"])
 
 
 def rollup_level(metrics: DataFrame, level: str) -> DataFrame:

@@ -126,9 +126,9 @@ def agg13_decision_summary(spark, sf):
 
 @register("agg14_model_breakdown", sql("""
 SELECT a.model, count(*) AS total,
-  sum(CASE WHEN d.decision = 'sell' THEN 1 ELSE 0 END) AS sell_n,
-  sum(CASE WHEN d.decision = 'keep' THEN 1 ELSE 0 END) AS keep_n,
-  sum(CASE WHEN d.decision = 'repurpose' THEN 1 ELSE 0 END) AS repur_n,
+  CAST(sum(CASE WHEN d.decision = 'sell' THEN 1 ELSE 0 END) AS BIGINT) AS sell_n,
+  CAST(sum(CASE WHEN d.decision = 'keep' THEN 1 ELSE 0 END) AS BIGINT) AS keep_n,
+  CAST(sum(CASE WHEN d.decision = 'repurpose' THEN 1 ELSE 0 END) AS BIGINT) AS repur_n,
   CAST(round(CAST(avg(h.overall_score) AS DECIMAL(28,10)), 1) AS DOUBLE) AS avg_health,
   CAST(round(CAST(sum(CASE WHEN d.decision = 'sell' THEN 1 ELSE 0 END) / count(*) * 100.0 AS DECIMAL(28,10)), 1)
     AS DOUBLE) AS sell_share_pct

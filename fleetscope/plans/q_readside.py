@@ -25,7 +25,7 @@ SELECT time_bucket(INTERVAL '{width}', time) AS time, gpu_uuid, hostname,
   avg(power_usage) AS power_usage_avg, max(power_usage) AS power_usage_max, {pm}
   avg(sm_active) AS sm_active_avg, max(sm_active) AS sm_active_max,
   avg(memory_utilization) AS memory_util_avg, max(memory_utilization) AS memory_util_max,
-  sum(ecc_sbe_volatile) AS ecc_sbe_count, sum(ecc_dbe_volatile) AS ecc_dbe_count,
+  CAST(sum(ecc_sbe_volatile) AS BIGINT) AS ecc_sbe_count, CAST(sum(ecc_dbe_volatile) AS BIGINT) AS ecc_dbe_count,
   count(*) AS sample_count
 FROM gpu_metrics GROUP BY 1, 2, 3"""
     return sql(rnd(body, ROLLUP_DOUBLES + (["power_usage_min"] if power_min else [])))
@@ -57,8 +57,8 @@ def win01_latest_per_gpu(spark, sf):
 @register("agg06_fleet_summary", sql(rnd("""
 SELECT count(DISTINCT gpu_uuid) AS total_gpus, avg(gpu_temp) AS avg_temp, max(gpu_temp) AS max_temp,
   avg(power_usage) AS avg_power,
-  sum(CASE WHEN throttle_reasons > 0 THEN 1 ELSE 0 END) AS throttling_count,
-  sum(CASE WHEN ecc_dbe_volatile > 0 THEN 1 ELSE 0 END) AS dbe_error_count
+  CAST(sum(CASE WHEN throttle_reasons > 0 THEN 1 ELSE 0 END) AS BIGINT) AS throttling_count,
+  CAST(sum(CASE WHEN ecc_dbe_volatile > 0 THEN 1 ELSE 0 END) AS BIGINT) AS dbe_error_count
 FROM (SELECT DISTINCT ON (gpu_uuid) * FROM gpu_metrics ORDER BY gpu_uuid, time DESC) l""",
                                          ["avg_temp", "max_temp", "avg_power"])))
 def agg06_fleet_summary(spark, sf):
@@ -67,7 +67,7 @@ def agg06_fleet_summary(spark, sf):
 
 @register("agg07_fleet_scalars", sql(rnd("""
 SELECT avg(gpu_temp) AS avg_temp, max(gpu_temp) AS max_temp, sum(power_usage) AS total_power,
-  avg(sm_active) AS avg_utilization, sum(ecc_sbe_aggregate) AS total_sbe, sum(ecc_dbe_aggregate) AS total_dbe
+  avg(sm_active) AS avg_utilization, CAST(sum(ecc_sbe_aggregate) AS BIGINT) AS total_sbe, CAST(sum(ecc_dbe_aggregate) AS BIGINT) AS total_dbe
 FROM (SELECT DISTINCT ON (m.gpu_uuid) m.* FROM gpu_metrics m LEFT JOIN gpu_assets a ON m.gpu_uuid = a.gpu_uuid
       ORDER BY m.gpu_uuid, m.time DESC) l""", ["avg_temp", "max_temp", "total_power", "avg_utilization"])))
 def agg07_fleet_scalars(spark, sf):
@@ -80,8 +80,8 @@ WITH l AS (SELECT DISTINCT ON (gpu_uuid) * FROM gpu_metrics ORDER BY gpu_uuid, t
  lf AS (SELECT DISTINCT ON (gpu_uuid) * FROM gpu_metrics
         WHERE time > (SELECT as_of FROM as_of) - INTERVAL '1 day' ORDER BY gpu_uuid, time DESC),
  c AS (SELECT datacenter, count(DISTINCT gpu_uuid) AS total_gpus FROM gpu_datacenter_mapping GROUP BY 1),
- a AS (SELECT m.datacenter, avg(l.sm_active) AS avg_utilization, sum(l.ecc_sbe_aggregate) AS total_sbe,
-              sum(l.ecc_dbe_aggregate) AS total_dbe
+ a AS (SELECT m.datacenter, avg(l.sm_active) AS avg_utilization, CAST(sum(l.ecc_sbe_aggregate) AS BIGINT) AS total_sbe,
+              CAST(sum(l.ecc_dbe_aggregate) AS BIGINT) AS total_dbe
        FROM l JOIN gpu_datacenter_mapping m ON l.gpu_uuid = m.gpu_uuid GROUP BY 1),
  f AS (SELECT m.datacenter, avg(lf.gpu_temp) AS avg_temp, sum(lf.power_usage) AS total_power
        FROM lf JOIN gpu_datacenter_mapping m ON lf.gpu_uuid = m.gpu_uuid GROUP BY 1)
@@ -118,8 +118,8 @@ def agg09_rack_summary(spark, sf):
 SELECT gpu_uuid, count(*) AS sample_count, avg(gpu_temp) AS avg_temp, min(gpu_temp) AS min_temp,
   max(gpu_temp) AS max_temp, avg(power_usage) AS avg_power, max(power_usage) AS max_power,
   avg(sm_active) AS avg_utilization,
-  sum(CASE WHEN throttle_reasons > 0 THEN 1 ELSE 0 END) AS throttle_events,
-  sum(CASE WHEN ecc_dbe_volatile > 0 THEN 1 ELSE 0 END) AS dbe_error_events
+  CAST(sum(CASE WHEN throttle_reasons > 0 THEN 1 ELSE 0 END) AS BIGINT) AS throttle_events,
+  CAST(sum(CASE WHEN ecc_dbe_volatile > 0 THEN 1 ELSE 0 END) AS BIGINT) AS dbe_error_events
 FROM gpu_metrics WHERE time > (SELECT as_of FROM as_of) - INTERVAL '7 days'
 GROUP BY gpu_uuid""", ["avg_temp", "min_temp", "max_temp", "avg_power", "max_power", "avg_utilization"])))
 def agg10_gpu_stats_window(spark, sf):
@@ -176,7 +176,7 @@ def top02_status_table(spark, sf):
 
 
 @register("top01_latest_20_per_gpu", sql(rnd("""
-SELECT time, gpu_uuid, gpu_temp, memory_temp, power_usage, sm_active, memory_utilization, recency_rank
+SELECT time, gpu_uuid, gpu_temp, memory_temp, power_usage, sm_active, memory_utilization, CAST(recency_rank AS INTEGER) AS recency_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY gpu_uuid ORDER BY time DESC) AS recency_rank FROM gpu_metrics)
 WHERE recency_rank <= 20""", ["gpu_temp", "memory_temp", "power_usage", "sm_active", "memory_utilization"])))
 def top01_latest_20_per_gpu(spark, sf):
