@@ -34,8 +34,12 @@ def ensure_parallel(df: DataFrame) -> DataFrame:
     repartitioned (not by key, so a hot device cannot skew it); a table of many
     files, as at scale, already has enough splits and is left untouched.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a Spark Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
