@@ -154,21 +154,27 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
     Grouping is by (device, scrape timestamp): a bounded group of series lines.
     """
     ln = F.trim(F.col(line_col))
+    after = F.substr(ln, F.instr(ln, "{") + 1)  # text after the first "{"
+    close = F.instr(after, "}")
     d = lines.where((ln != "") & ~ln.startswith("#") & ln.contains("{")).select(
         F.col(order_col).alias("_ord"),
-        F.split_part(ln, F.lit("{"), F.lit(1)).alias("metric"),
-        F.regexp_extract(ln, r"\{([^}]*)\}", 1).alias("_labels"),
-        F.split(F.trim(F.regexp_extract(ln, r"\}(.*)$", 1)), r"\s+").alias("_rest"))
-    pair = lambda p: F.struct(  # noqa: E731  key=value label pair, quotes and blanks stripped
-        p.contains("=").alias("ok"),
-        F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"),
-        F.regexp_replace(F.regexp_extract(p, r"=(.*)$", 1), r'^[ "]+|[ "]+$', "").alias("v"))
-    kv = F.filter(F.transform(F.split(F.col("_labels"), ","), pair), lambda s: s["ok"])
-    d = d.select("*", F.map_from_entries(F.transform(kv, lambda s: F.struct(s["k"], s["v"]))).alias("labels"))
+        F.substring_index(ln, "{", 1).alias("metric"),
+        after.alias("_after"), close.alias("_close"))
+    d = d.where(F.col("_close") > 0).select(  # no "}": the line cannot be split, skip it
+        "_ord", "metric",
+        F.substring_index("_after", "}", 1).alias("_labels"),
+        F.split(F.trim(F.substr(F.col("_after"), F.col("_close") + 1)), r"\s+").alias("_rest"))
+    # key=value pairs: blanks around "," and "=" removed, then one str_to_map
+    # (codegen'd, no lambdas); values are stripped of blanks and quotes on lookup
+    norm = F.regexp_replace(F.trim(F.col("_labels")), r"\s*([,=])\s*", "$1")
+    labels = F.str_to_map(norm, F.lit(","), F.lit("="))
+
+    def label(k: str) -> Column:
+        return F.regexp_replace(labels[k], r'^[ "]+|[ "]+$', "")
     d = d.select("_ord", "metric",
-                 F.col("labels")["UUID"].alias("gpu_uuid"),
-                 F.col("labels")["modelName"].alias("model"),
-                 F.coalesce(F.col("labels")["gpu"].try_cast("int"), F.lit(0)).alias("device_index"),
+                 label("UUID").alias("gpu_uuid"),
+                 label("modelName").alias("model"),
+                 F.coalesce(label("gpu").try_cast("int"), F.lit(0)).alias("device_index"),
                  F.col("_rest")[0].try_cast("double").alias("value"),
                  F.col("_rest")[1].try_cast("long").alias("ts_ms"))
     d = d.where(F.col("gpu_uuid").isNotNull() & F.col("value").isNotNull())
