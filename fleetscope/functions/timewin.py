@@ -9,14 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_of_col(df: DataFrame, as_of=None, time_col: str = "time") -> Column:
+def as_of_col(df: DataFrame, as_of=None, time_col: str = "time", lazy: bool = True) -> Column:
     """``as_of`` as a Column.
 
-    A given value becomes a literal; otherwise it is ``max(time)`` of the input as
-    a lazy scalar subquery, so results are reproducible and nothing is collected.
+    A given value becomes a literal. Otherwise it is ``max(time)`` of the input,
+    by default as a lazy scalar subquery (reused across the plan). With
+    ``lazy=False`` it is resolved once by a one-row aggregation (a scalar, not
+    data, reaches the driver) and inlined as a literal, so the time filters are
+    plain comparisons the parquet scan can push down — worth it on large
+    date-partitioned tables, where callers usually pass ``as_of`` explicitly.
     """
     if as_of is None:
-        return df.select(F.max(F.col(time_col)).cast("timestamp")).scalar()
+        agg = df.select(F.max(F.col(time_col)).cast("timestamp").alias("a"))
+        if lazy:
+            return agg.scalar()
+        v = agg.first()[0]
+        return F.lit(v).cast("timestamp") if v is not None else F.lit(None).cast("timestamp")
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
