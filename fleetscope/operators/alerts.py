@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from fleetscope.functions.timewin import since
 from fleetscope.operators.latest import latest_per_key
 
-# Alert tiers by failure probability and confidence (design tier).
+# Alert tiers of the design document — (level, probability column,
+# probability above, confidence above or None, action), checked in this order.
 ALERT_TIERS = [
-    ("critical", 0.8, 0.7),
-    ("high", 0.6, 0.6),
-    ("medium", 0.4, 0.5),
+    ("CRITICAL", "failure_prob_7d", 0.80, 0.85, "Remove from production immediately"),
+    ("HIGH", "failure_prob_30d", 0.70, 0.80, "Schedule replacement within 7 days"),
+    ("MEDIUM", "failure_prob_90d", 0.50, 0.75, "Schedule replacement within 30 days"),
+    ("LOW", "failure_prob_90d", 0.30, None, "Add to watchlist, monitor trends"),
 ]
 
 
@@ -30,19 +32,22 @@ def recent_critical_health(scores: DataFrame, as_of: Column, window: str = "30 m
                   .orderBy(F.col("time").desc(), F.col("gpu_uuid")).limit(top))
 
 
-def alert_level(prob: Column, confidence: Column) -> Column:
-    """Four-tier alert level from failure probability and confidence ([D])."""
+def alert_level(confidence: Column | None = None) -> Column:
+    """Struct (level, action) of the first matching tier, NULL below every tier ([D])."""
+    confidence = confidence if confidence is not None else F.col("confidence")
     expr = None
-    for name, p, c in ALERT_TIERS:
-        cond = (prob >= p) & (confidence >= c)
-        expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return expr.otherwise("low")
+    for level, col, p, c, action in ALERT_TIERS:
+        cond = F.col(col) > p
+        if c is not None:
+            cond = cond & (confidence > c)
+        val = F.struct(F.lit(level).alias("level"), F.lit(action).alias("action"))
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return expr
 
 
 def alert_events(predictions: DataFrame) -> DataFrame:
-    """Typed alert records (STR10): one struct per prediction above the low tier."""
-    lvl = alert_level(F.col("failure_prob_30d"), F.col("confidence"))
-    return (predictions.withColumn("level", lvl).where(F.col("level") != "low")
-            .select(F.col("time").alias("alert_time"), "gpu_uuid", "level",
-                    F.struct("failure_prob_7d", "failure_prob_30d", "failure_prob_90d",
-                             "predicted_failure_type", "estimated_ttf_days").alias("details")))
+    """Typed alert records (STR10): one per prediction that reaches a tier."""
+    return (predictions.withColumn("_a", alert_level()).where(F.col("_a").isNotNull())
+            .select(F.col("time").alias("alert_time"), "gpu_uuid", F.col("_a.level").alias("level"),
+                    F.col("_a.action").alias("action"), "failure_prob_7d", "failure_prob_30d", "failure_prob_90d",
+                    "predicted_failure_type", "estimated_ttf_days", "confidence"))

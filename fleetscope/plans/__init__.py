@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_maintenance")
+_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_extra")
 
 
 def load_all():

@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # top-k per device up to 10,000 rows is planned as a partial limit before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # duplicate keys in parsed label maps: last one wins, as in a Python dict
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
