@@ -156,3 +156,19 @@ def nan_to_null(c) -> Column:
 def money_to_double(c) -> Column:
     """``$7,000`` -> 7000.0, NULL when not a number (PRJ21)."""
     return F.trim(F.regexp_replace(col_(c), r"[$,]", "")).try_cast("double")
+
+
+def json_text_field(c, field: str) -> Column:
+    """``tags->>'field'`` of a JSON text column (PRJ11)."""
+    return F.get_json_object(col_(c), f"$.{field}")
+
+
+def epoch_seconds(ts) -> Column:
+    """``EXTRACT(EPOCH FROM ts)`` as double seconds (PRJ12)."""
+    return F.unix_micros(col_(ts).cast("timestamp")) / F.lit(1e6)
+
+
+def age_months(later, earlier) -> Column:
+    """Whole months between two dates (PRJ12); the reference's ``EXTRACT(MONTH FROM
+    interval)`` is 0 for day-based intervals, ``months_between`` is the intended value."""
+    return F.floor(F.months_between(col_(later), col_(earlier))).cast("int")

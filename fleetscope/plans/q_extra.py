@@ -181,3 +181,18 @@ def prj28_scaled_features(spark, sf):
         out.append(F.try_divide(F.col(c) - lo, F.nullif(hi - lo, F.lit(0.0))).alias(f"{c}_minmax"))
         out.append(F.try_divide(F.col(c) - mu, F.nullif(sd, F.lit(0.0))).alias(f"{c}_z"))
     return finish(f.select(*out))
+
+
+@register("prj11_asset_profiles", sql(rnd("""
+SELECT a.gpu_uuid, json_extract_string(a.tags, '$.profile') AS profile, a.model,
+  CAST(floor((epoch_us(o.as_of) - epoch_us(CAST(a.deployment_date AS TIMESTAMP))) / 1e6 / 86400.0) AS INTEGER)
+    AS age_days,
+  epoch_us(CAST(a.deployment_date AS TIMESTAMP)) / 1e6 AS deployed_epoch
+FROM gpu_assets a, as_of o""", ["deployed_epoch"])))
+def prj11_asset_profiles(spark, sf):
+    from fleetscope.functions.columns import days_floor, epoch_seconds, json_text_field
+    t = load_fleet(spark, sf)
+    a = as_of_col(t["metrics"])
+    return finish(t["assets"].select("gpu_uuid", json_text_field("tags", "profile").alias("profile"), "model",
+                                     days_floor(a, F.col("deployment_date")).alias("age_days"),
+                                     epoch_seconds("deployment_date").alias("deployed_epoch")))
