@@ -196,3 +196,38 @@ def prj11_asset_profiles(spark, sf):
     return finish(t["assets"].select("gpu_uuid", json_text_field("tags", "profile").alias("profile"), "model",
                                      days_floor(a, F.col("deployment_date")).alias("age_days"),
                                      epoch_seconds("deployment_date").alias("deployed_epoch")))
+
+
+# ANA11 backtest: predictions made BACKTEST_DAYS before as_of, scored against the
+# first uncorrectable-ECC event of each device within the 30-day horizon.
+BACKTEST_DAYS = 15
+_BT = f"bt AS (SELECT as_of - INTERVAL '{BACKTEST_DAYS} days' AS as_of FROM as_of),"
+BT_PREDICT_CTE = _BT + PREDICT_CTE.replace("FROM gpu_metrics m, as_of a WHERE", "FROM gpu_metrics m, bt a WHERE") \
+                                  .replace("LEFT JOIN gpu_assets a USING (gpu_uuid), as_of x)",
+                                           "LEFT JOIN gpu_assets a USING (gpu_uuid), bt x)")
+
+
+@register("ana11_outcome_backtest", sql("""
+WITH fails AS (SELECT gpu_uuid, CAST(min(time) AS DATE) AS failure_date FROM gpu_metrics
+               WHERE ecc_dbe_volatile > 0 GROUP BY 1),
+ per AS (SELECT p.gpu_uuid, p.time, p.failure_prob_30d,
+           max(CAST(CAST(f.failure_date AS TIMESTAMP) > p.time
+                    AND CAST(f.failure_date AS TIMESTAMP) <= p.time + INTERVAL 30 DAY AS INTEGER)) AS failed
+         FROM predictions p LEFT JOIN fails f ON p.gpu_uuid = f.gpu_uuid GROUP BY 1, 2, 3),
+ lab AS (SELECT *, CAST(failure_prob_30d >= 0.5 AS INTEGER) AS predicted FROM per)
+SELECT date_trunc('month', time) AS month,
+  CAST(sum(CAST(predicted = 1 AND failed = 1 AS INTEGER)) AS BIGINT) AS tp,
+  CAST(sum(CAST(predicted = 1 AND coalesce(failed, 0) = 0 AS INTEGER)) AS BIGINT) AS fp,
+  CAST(sum(CAST(predicted = 0 AND failed = 1 AS INTEGER)) AS BIGINT) AS fn,
+  CAST(sum(CAST(predicted = 0 AND coalesce(failed, 0) = 0 AS INTEGER)) AS BIGINT) AS tn
+FROM lab GROUP BY 1""", BT_PREDICT_CTE))
+def ana11_outcome_backtest(spark, sf):
+    from fleetscope.operators import features, predict
+    t = load_fleet(spark, sf)
+    m = t["metrics"]
+    bt = as_of_col(m) - F.make_interval(days=F.lit(BACKTEST_DAYS))
+    f = features.gpu_features(m, t["assets"], bt, f"{P['lookback_days']} days", trend_bucket="1 day")
+    preds = predict.predict_failures(f, bt)
+    fails = m.where(F.col("ecc_dbe_volatile") > 0).groupBy("gpu_uuid") \
+             .agg(F.to_date(F.min("time")).alias("failure_date"))
+    return design.outcome_confusion(preds, fails, 30, 0.5)
