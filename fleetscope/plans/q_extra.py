@@ -231,3 +231,21 @@ def ana11_outcome_backtest(spark, sf):
     fails = m.where(F.col("ecc_dbe_volatile") > 0).groupBy("gpu_uuid") \
              .agg(F.to_date(F.min("time")).alias("failure_date"))
     return design.outcome_confusion(preds, fails, 30, 0.5)
+
+
+@register("jon14_weekly_score_deltas", None,
+          note="rows-only: score history of four weekly scoring runs; exactness is tested against brute force")
+def jon14_weekly_score_deltas(spark, sf):
+    """Score history from weekly scoring runs (as_of, -7 d, -14 d, -21 d), then
+    ``score_deltas`` fills delta_7d / delta_30d / degradation_rate per row."""
+    from fleetscope.operators import health
+    t = load_fleet(spark, sf)
+    m = t["metrics"]
+    a = as_of_col(m)
+    runs = None
+    for wk in range(4):
+        at = a - F.make_interval(days=F.lit(7 * wk))
+        h = health.health_scores(m, at, P["lookback_days"], "7 days", P["gap_seconds"], P["sample_seconds"],
+                                 gap_bucket="1 day").select("time", "gpu_uuid", "overall_score")
+        runs = h if runs is None else runs.unionByName(h)
+    return finish(health.score_deltas(runs.drop("score_delta_7d", "score_delta_30d", "degradation_rate")))
