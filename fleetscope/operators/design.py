@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import since
 from fleetscope.operators.joins import checked_broadcast
-from fleetscope.operators.latest import latest_per_key
 from fleetscope.operators.ordered import with_row_index
 
 # 5-point quadratic (Savitzky-Golay) weights and divisor.

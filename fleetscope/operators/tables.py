@@ -101,7 +101,6 @@ def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=N
     values of ``update_cols`` (all non-key columns when None) and keep the rest.
     The touched partitions are then overwritten. Returns the written frame.
     """
-    spark = df.sparkSession
     new = _first_per_key(with_date(df, time_col), keys, order_col, newest=True)
     old = _touched(new, path)
     keys = list(keys)
@@ -110,10 +109,10 @@ def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=N
     else:
         cols = [c for c in old.columns if c not in keys]
         upd = set(update_cols) if update_cols is not None else set(c for c in new.columns if c not in keys)
-        n, o = new.alias("n"), old.alias("o")
+        n = new.withColumn("_is_new", F.lit(True)).alias("n")
+        o = old.alias("o")
         j = o.join(n, keys, "full_outer")
-        has_new = F.col(f"n.{time_col}").isNotNull() if time_col not in keys else F.lit(True)
-        present_new = F.struct(*[F.col(f"n.{c}") for c in new.columns if c not in keys]).isNotNull()
+        present_new = F.coalesce(F.col("n._is_new"), F.lit(False))  # this key has a new row
         sel = [F.col(k) for k in keys]
         for c in cols:
             if c == "updated_at" and updated_at is not None:
@@ -124,7 +123,6 @@ def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=N
                 sel.append(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c))
             else:
                 sel.append(F.col(f"o.{c}").alias(c))
-        del has_new
         # the result reads the partitions it replaces: cut the lineage through a
         # reliable checkpoint (shared checkpoint dir) before overwriting them
         out = cut_lineage(j.select(*sel))

@@ -31,7 +31,11 @@ def test_upsert_partial(spark, tmp_path_str):
     got = spark.read.parquet(p)
     assert got.count() == 50
     assert got.where("note = 'b'").count() == 0  # note not in update_cols: kept
-    assert got.where("value = 2.0 * 1").count() == 1  # row i=1 updated to 2*1
+    assert got.where("value IS NULL").count() == 0  # rows without an update keep their values
+    orig = {(r.time, r.gpu_uuid): r.value for r in base.collect()}
+    new = {(r.time, r.gpu_uuid): r.value for r in upd.collect()}
+    for r in got.collect():
+        assert r.value == new.get((r.time, r.gpu_uuid), orig[(r.time, r.gpu_uuid)])
 
 
 def test_delete_and_retention(spark, tmp_path_str):
