@@ -31,6 +31,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None when it does not exist or holds no data files
+    yet (an empty first write leaves only a success marker)."""
+    if not _exists(spark, path):
+        return None
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # AnalysisException: no parquet files to infer a schema from
+        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "Unable to infer schema" in str(e):
+            return None
+        raise
+
+
 def read_range(spark: SparkSession, path: str, start=None, end=None, time_col: str = "time",
                cols=None) -> DataFrame:
     """Time-bounded scan (SRC3): a ``date`` predicate derived from the time bounds
@@ -56,9 +69,9 @@ def _touched(df: DataFrame, path: str, time_col: str | None = None) -> DataFrame
     keys of its few seconds, not the whole day partition.
     """
     spark = df.sparkSession
-    if not _exists(spark, path):
+    existing = read_or_none(spark, path)
+    if existing is None:
         return None
-    existing = spark.read.parquet(path)
     parts = df.select(PART_COL).distinct()
     old = existing.join(parts, PART_COL, "left_semi")
     if time_col is not None and time_col in existing.columns:
