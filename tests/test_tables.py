@@ -58,3 +58,31 @@ def test_refresh_rollup_complete_buckets(spark, tmp_path_str):
     out = tables.refresh_rollup(m, tmp_path_str + "/r5", "5min", as_of, "30 days", "1 minute")
     assert out.agg(F.sum("sample_count")).first()[0] <= 1000
     assert out.count() == int((10 * 999 - 60) // 300)  # only buckets closed before as_of - 1 min
+
+
+def test_compact_preserves_rows(spark, tmp_path_str):
+    p = tmp_path_str + "/c"
+    df = frame(spark, n=200).withColumn("hostname", F.lit("h"))
+    tables.append(df, p)
+    before = sorted(tuple(r) for r in spark.read.parquet(p).select("time", "gpu_uuid", "value").collect())
+    tables.compact(spark, p, "2024-01-04")
+    got = spark.read.parquet(p)
+    assert sorted(tuple(r) for r in got.select("time", "gpu_uuid", "value").collect()) == before
+
+
+def test_acknowledge_and_csv_roundtrip(spark, tmp_path_str):
+    p = tmp_path_str + "/a"
+    an = spark.createDataFrame(
+        [(T0, "G0", "temperature", 99.0, False, None, None), (T0, "G1", "power_usage", 500.0, False, None, None)],
+        "time timestamp, gpu_uuid string, anomaly_type string, value double, acknowledged boolean, "
+        "acknowledged_at timestamp, acknowledged_by string")
+    tables.append(an, p)
+    keys = spark.createDataFrame([(T0, "G0", "temperature")], "time timestamp, gpu_uuid string, anomaly_type string")
+    tables.acknowledge(spark, p, keys, "oncall", "2024-01-02 00:00:00")
+    got = {r.gpu_uuid: r for r in spark.read.parquet(p).collect()}
+    assert got["G0"].acknowledged and got["G0"].acknowledged_by == "oncall" and got["G0"].value == 99.0
+    assert not got["G1"].acknowledged and got["G1"].acknowledged_by is None
+    out = tmp_path_str + "/csv"
+    tables.export_csv(spark.read.parquet(p).drop("date"), out)
+    back = tables.import_csv(spark, out, an.schema)
+    assert back.count() == 2
