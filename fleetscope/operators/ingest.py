@@ -178,13 +178,13 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
                  F.col("_rest")[0].try_cast("double").alias("value"),
                  F.col("_rest")[1].try_cast("long").alias("ts_ms"))
     d = d.where(F.col("gpu_uuid").isNotNull() & F.col("value").isNotNull())
-    per_series = (d.groupBy("gpu_uuid", "ts_ms", "metric")
-                   .agg(F.max_by("value", "_ord").alias("value"),
-                        F.min_by(F.struct("model", "device_index"), "_ord").alias("_first"),
-                        F.min("_ord").alias("_o")))
-    return (per_series.groupBy("gpu_uuid", "ts_ms")
-            .agg(F.min_by("_first", "_o").alias("_first"),
-                 F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    # one grouping per (device, scrape): entries sorted by (metric, line order) feed
+    # map_from_entries, whose last-wins key policy keeps the last value of a series
+    return (d.groupBy("gpu_uuid", "ts_ms")
+            .agg(F.min_by(F.struct("model", "device_index"), "_ord").alias("_first"),
+                 F.map_from_entries(F.transform(
+                     F.array_sort(F.collect_list(F.struct("metric", "_ord", "value"))),
+                     lambda e: F.struct(e["metric"], e["value"]))).alias("metrics"))
             .select("gpu_uuid", F.timestamp_millis("ts_ms").alias("time"),
                     F.col("_first.model").alias("model"), F.col("_first.device_index").alias("device_index"),
                     "metrics"))
