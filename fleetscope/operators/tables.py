@@ -192,23 +192,31 @@ def compact(spark: SparkSession, path: str, older_than, segment_by=("gpu_uuid",
     out.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
 
 
-def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offset: str, end_offset: str) -> DataFrame:
-    """Continuous-aggregate refresh (SNK10): recompute the buckets whose start lies
-    in ``[as_of - start_offset, as_of - end_offset)`` and that are complete.
+def refresh_frame(metrics: DataFrame, level: str, as_of, start_offset: str, end_offset: str) -> DataFrame:
+    """Rollup rows a continuous-aggregate refresh produces (SNK10), without writing.
 
-    Dynamic overwrite replaces whole ``date`` partitions, so the refresh
-    recomputes every bucket of each touched day up to the end bound.
+    Buckets are recomputed for every day touched by ``[as_of - start_offset,
+    as_of - end_offset)`` and kept only when complete before the end bound, so
+    the newest, still-filling bucket is held back as the stream would hold it.
     """
     from fleetscope.operators.rollups import rollup_level
-    a = F.lit(str(as_of)).cast("timestamp")
+    a = as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("timestamp")
     lo = a - F.expr(f"INTERVAL {start_offset}")
     hi = a - F.expr(f"INTERVAL {end_offset}")
     day_lo = F.to_date(lo).cast("timestamp")
     src = metrics.where((F.col("time") >= day_lo) & (F.col("time") < hi))
-    r = rollup_level(src, level)
     every = {"1min": 60, "5min": 300, "1hour": 3600}[level]
-    complete = F.col("time") + F.make_interval(secs=F.lit(every)) <= hi
-    out = with_date(r.where(complete))
+    r = rollup_level(src, level)
+    return with_date(r.where(F.col("time") + F.make_interval(secs=F.lit(every)) <= hi))
+
+
+def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offset: str, end_offset: str) -> DataFrame:
+    """Continuous-aggregate refresh (SNK10): recompute and overwrite the touched days.
+
+    Dynamic overwrite replaces whole ``date`` partitions, so the refresh
+    recomputes every bucket of each touched day up to the end bound.
+    """
+    out = refresh_frame(metrics, level, as_of, start_offset, end_offset)
     out.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
     return out
 

@@ -249,3 +249,26 @@ def jon14_weekly_score_deltas(spark, sf):
                                  gap_bucket="1 day").select("time", "gpu_uuid", "overall_score")
         runs = h if runs is None else runs.unionByName(h)
     return finish(health.score_deltas(runs.drop("score_delta_7d", "score_delta_30d", "degradation_rate")))
+
+
+@register("snk10_rollup_refresh_5min", sql(rnd("""
+WITH b AS (SELECT as_of - INTERVAL '30 days' AS lo, as_of - INTERVAL '30 seconds' AS hi FROM as_of)
+SELECT time_bucket(INTERVAL '5 minutes', m.time) AS time, m.gpu_uuid, m.hostname,
+  avg(gpu_temp) AS gpu_temp_avg, max(gpu_temp) AS gpu_temp_max, min(gpu_temp) AS gpu_temp_min,
+  avg(memory_temp) AS memory_temp_avg, max(memory_temp) AS memory_temp_max,
+  avg(power_usage) AS power_usage_avg, max(power_usage) AS power_usage_max, min(power_usage) AS power_usage_min,
+  avg(sm_active) AS sm_active_avg, max(sm_active) AS sm_active_max,
+  avg(memory_utilization) AS memory_util_avg, max(memory_utilization) AS memory_util_max,
+  CAST(sum(ecc_sbe_volatile) AS BIGINT) AS ecc_sbe_count, CAST(sum(ecc_dbe_volatile) AS BIGINT) AS ecc_dbe_count,
+  count(*) AS sample_count, CAST(time_bucket(INTERVAL '5 minutes', m.time) AS DATE) AS date
+FROM gpu_metrics m, b
+WHERE m.time >= CAST(CAST(b.lo AS DATE) AS TIMESTAMP) AND m.time < b.hi
+GROUP BY 1, 2, 3, b.hi
+HAVING time_bucket(INTERVAL '5 minutes', m.time) + INTERVAL 5 MINUTE <= b.hi""",
+    ["gpu_temp_avg", "gpu_temp_max", "gpu_temp_min", "memory_temp_avg", "memory_temp_max", "power_usage_avg",
+     "power_usage_max", "power_usage_min", "sm_active_avg", "sm_active_max", "memory_util_avg", "memory_util_max"])))
+def snk10_rollup_refresh_5min(spark, sf):
+    """Rows a 5-minute refresh policy (start 30 days, end 30 seconds) recomputes at ``as_of``."""
+    from fleetscope.operators import tables as tb
+    m = _m(spark, sf)
+    return finish(tb.refresh_frame(m, "5min", as_of_col(m), "30 days", "30 seconds"))
