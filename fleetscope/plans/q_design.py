@@ -90,7 +90,7 @@ def win11_interpolated_daily_grid(spark, sf):
 @register("ana10_risk_scores", sql(f"""
 WITH g AS (SELECT gpu_uuid, max(ecc_sbe_aggregate) - min(ecc_sbe_aggregate) AS ecc_correctable_7d,
     max(ecc_dbe_aggregate) - min(ecc_dbe_aggregate) AS ecc_uncorrectable_7d, max(gpu_temp) AS temp_max_7d,
-    count_if(throttle_reasons > 0) AS throttle_events_7d, stddev_samp(power_usage) AS power_std_7d
+    CAST(count_if(throttle_reasons > 0) AS BIGINT) AS throttle_events_7d, stddev_samp(power_usage) AS power_std_7d
   FROM gpu_metrics, as_of WHERE time > as_of - INTERVAL '{P['baseline']}' AND time <= as_of GROUP BY 1),
  s AS (SELECT *, CAST(round(CAST(greatest(0.0, least(100.0,
     greatest(0.0, least(100.0, ecc_correctable_7d / 50.0 * 100.0)) * 0.4
@@ -117,7 +117,7 @@ def agg34_grade_distribution(spark, sf):
 
 
 @register("agg33_throttle_leaderboard", sql(f"""
-SELECT gpu_uuid, count_if(throttle_reasons > 0) AS throttle_events, count(*) AS samples,
+SELECT gpu_uuid, CAST(count_if(throttle_reasons > 0) AS BIGINT) AS throttle_events, count(*) AS samples,
   min(time) AS first_sample, max(time) AS last_sample
 FROM gpu_metrics, as_of WHERE time > as_of - INTERVAL '{P['baseline']}'
 GROUP BY 1 ORDER BY throttle_events DESC, gpu_uuid"""))
