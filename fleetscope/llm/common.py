@@ -51,7 +51,7 @@ def commit_bytes(filesystem, tmp_dir: str, final: str, data: bytes) -> None:
     A retried or speculative attempt renames identical bytes over the same name.
     """
     tmp = f"{tmp_dir}/{uuid.uuid4().hex}"
-    with filesystem.open_output_stream(tmp) as out:
+    with filesystem.open_output_stream(tmp, compression=None) as out:
         out.write(data)
     filesystem.move(tmp, final)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_exact_dedup
+from fleetscope.llm import q_exact_dedup, q_simhash_pivots, q_warc_writer
 
 QUERIES = {
+    "op4_warc_writer": q_warc_writer.op4_warc_writer,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
+    "op8_simhash_pivots": q_simhash_pivots.op8_simhash_pivots,
 }
 
 ORACLE_SQL = {
+    "op4_warc_writer": q_warc_writer.SQL,
     "op7_exact_dedup": q_exact_dedup.SQL,
 }
