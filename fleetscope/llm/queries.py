@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_exact_dedup, q_simhash_pivots, q_warc_writer
+from fleetscope.llm import q_exact_dedup, q_language_mixture, q_simhash_pivots, q_warc_writer
 
 QUERIES = {
     "op4_warc_writer": q_warc_writer.op4_warc_writer,
+    "op5_language_mixture": q_language_mixture.op5_language_mixture,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
     "op8_simhash_pivots": q_simhash_pivots.op8_simhash_pivots,
 }
