@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_exact_dedup, q_language_mixture, q_quality_mil, q_simhash_pivots, q_warc_writer
+from fleetscope.llm import q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer
 
 QUERIES = {
     "op2_quality_mil": q_quality_mil.op2_quality_mil,
+    "op3_pii_votes": q_pii_votes.op3_pii_votes,
     "op4_warc_writer": q_warc_writer.op4_warc_writer,
     "op5_language_mixture": q_language_mixture.op5_language_mixture,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
