@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer
+from fleetscope.llm import q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer, q_wavelet_tokens
 
 QUERIES = {
     "op2_quality_mil": q_quality_mil.op2_quality_mil,
     "op3_pii_votes": q_pii_votes.op3_pii_votes,
     "op4_warc_writer": q_warc_writer.op4_warc_writer,
     "op5_language_mixture": q_language_mixture.op5_language_mixture,
+    "op6_wavelet_tokens": q_wavelet_tokens.op6_wavelet_tokens,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
     "op8_simhash_pivots": q_simhash_pivots.op8_simhash_pivots,
 }
