@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer, q_wavelet_tokens
+from fleetscope.llm import q_bm25_packing, q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer, q_wavelet_tokens
 
 QUERIES = {
     "op2_quality_mil": q_quality_mil.op2_quality_mil,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_wavelet_tokens": q_wavelet_tokens.op6_wavelet_tokens,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
     "op8_simhash_pivots": q_simhash_pivots.op8_simhash_pivots,
+    "op10_bm25_packing": q_bm25_packing.op10_bm25_packing,
 }
 
 ORACLE_SQL = {
