@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +92,6 @@ def shard_bounds(docs: DataFrame, id_col: str, weight: Column, target: int,
 
 def shard_column(id_col: Column, bounds: list) -> Column:
     """Number of bounds at or below the id (null ids go to the last shard)."""
-    import bisect
-
-    import pandas as pd
-
     if not bounds:
         return F.lit(0)
 
