@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import q_bm25_packing, q_exact_dedup, q_language_mixture, q_pii_votes, q_quality_mil, q_simhash_pivots, q_warc_writer, q_wavelet_tokens
+from fleetscope.llm import q_bm25_packing, q_exact_dedup, q_language_mixture, q_license_index, q_pii_votes, q_quality_mil, q_simhash_pivots, q_template_leaks, q_warc_writer, q_wavelet_tokens
 
 QUERIES = {
+    "op1_template_leaks": q_template_leaks.op1_template_leaks,
     "op2_quality_mil": q_quality_mil.op2_quality_mil,
     "op3_pii_votes": q_pii_votes.op3_pii_votes,
     "op4_warc_writer": q_warc_writer.op4_warc_writer,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_wavelet_tokens": q_wavelet_tokens.op6_wavelet_tokens,
     "op7_exact_dedup": q_exact_dedup.op7_exact_dedup,
     "op8_simhash_pivots": q_simhash_pivots.op8_simhash_pivots,
+    "op9_license_index": q_license_index.op9_license_index,
     "op10_bm25_packing": q_bm25_packing.op10_bm25_packing,
 }
 
