@@ -37,6 +37,35 @@ def interval(spec: str) -> Column:
     return F.expr(f"INTERVAL {spec}")
 
 
+# Seconds of the units that window specifications use.
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def interval_seconds(spec: str) -> float:
+    """``'30 minutes'`` -> 1800.0."""
+    n, unit = spec.split()
+    return float(n) * UNIT_SECONDS[unit.rstrip("s").lower()]
+
+
+def window_rows(df: DataFrame, as_of: Column, spec: str, strict: bool = True, time_col: str = "time",
+                ahead: bool = False) -> DataFrame:
+    """Rows of ``(as_of - spec, as_of]`` (``[`` unless ``strict``; no upper bound if
+    ``ahead``): the reader that every operator with a time window uses.
+
+    On a table partitioned by ``date`` the bounds are also given for that column, so only
+    the days concerned are opened; ``as_of`` may be a literal or a scalar subquery.
+    """
+    t = F.col(time_col)
+    out = df.where(since(t, as_of, spec, strict))
+    if not ahead:
+        out = out.where(t <= as_of)
+    if "date" in df.columns:
+        out = out.where(F.col("date") >= F.to_date(as_of - interval(spec)))
+        if not ahead:
+            out = out.where(F.col("date") <= F.to_date(as_of))
+    return out
+
+
 def since(time_col, as_of: Column, spec: str, strict: bool = True) -> Column:
     """``time > as_of - spec`` (strict, as most sites) or ``>=``."""
     t = F.col(time_col) if isinstance(time_col, str) else time_col

@@ -18,17 +18,22 @@ ALERT_TIERS = [
 ]
 
 
-def low_health(scores: DataFrame, as_of: Column, threshold: float = 70.0) -> DataFrame:
-    """Latest score per device below ``threshold`` (the API's alert list)."""
+def low_health(scores: DataFrame, assets: DataFrame, as_of: Column, threshold: float = 70.0) -> DataFrame:
+    """Latest score per device below ``threshold`` with model and host, worst first (the
+    API's alert list: ANA6, JON2, TOP3)."""
     last = latest_per_key(scores.where(F.col("time") <= as_of), "gpu_uuid", "time",
-                          ["overall_score", "health_grade"])
-    return last.where(F.col("overall_score") < threshold)
+                          ["overall_score", "health_grade", "degradation_factors"])
+    low = last.where(F.col("overall_score") < threshold)
+    return (low.join(assets.select("gpu_uuid", "model", "hostname"), "gpu_uuid", "left")
+               .select("gpu_uuid", "model", "hostname", "overall_score", "health_grade", "degradation_factors",
+                       F.col("time").alias("scored_at"))
+               .orderBy("overall_score", "gpu_uuid"))
 
 
 def recent_critical_health(scores: DataFrame, as_of: Column, window: str = "30 minutes",
                            threshold: float = 50.0, top: int = 10) -> DataFrame:
-    """Scores below ``threshold`` written within ``window``, newest ``top`` (TOP4)."""
-    return (scores.where(since("time", as_of, window) & (F.col("overall_score") < threshold))
+    """Scores below ``threshold`` since ``as_of - window`` (the bound included), newest ``top`` (TOP4)."""
+    return (scores.where(since("time", as_of, window, strict=False) & (F.col("overall_score") < threshold))
                   .orderBy(F.col("time").desc(), F.col("gpu_uuid")).limit(top))
 
 

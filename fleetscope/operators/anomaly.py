@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import severity_level
-from fleetscope.functions.timewin import as_of_col, since
+from fleetscope.functions.timewin import as_of_col, since, window_rows
 from fleetscope.operators.health import round_half_up
 
 BASELINE_METRICS = {"temp": "gpu_temp", "power": "power_usage", "sm": "sm_active",
@@ -15,7 +15,7 @@ BASELINE_METRICS = {"temp": "gpu_temp", "power": "power_usage", "sm": "sm_active
 
 def baseline_stats(metrics: DataFrame, as_of: Column, window: str = "24 hours") -> DataFrame:
     """Per-device mean and sample std of four metrics over ``time >= as_of - window`` (AGG12)."""
-    rows = metrics.where(since("time", as_of, window, strict=False) & (F.col("time") <= as_of))
+    rows = window_rows(metrics, as_of, window, strict=False)
     aggs = []
     for short, c in BASELINE_METRICS.items():
         aggs += [F.avg(c).alias(f"{short}_mean"), F.stddev_samp(c).alias(f"{short}_std")]
@@ -37,8 +37,7 @@ def detect_anomalies(metrics: DataFrame, as_of=None, baseline: str = "24 hours",
     """
     a = as_of_col(metrics, as_of)
     b = baseline_stats(metrics, a, baseline).where(F.col("temp_std").isNotNull())
-    r = metrics.where(since("time", a, recent, strict=False) & (F.col("time") <= a)) \
-               .select("time", "gpu_uuid", "gpu_temp", "power_usage", "sm_active")
+    r = window_rows(metrics, a, recent, strict=False).select("time", "gpu_uuid", "gpu_temp", "power_usage", "sm_active")
     j = r.join(b, "gpu_uuid", "inner")
     tz = _z(F.col("gpu_temp"), F.col("temp_mean"), F.col("temp_std"))
     pz = _z(F.col("power_usage"), F.col("power_mean"), F.col("power_std"))
@@ -77,8 +76,11 @@ def severity_timeline(anomalies: DataFrame, as_of: Column, window: str = "6 hour
                     severity_level("severity").alias("severity_level")))
 
 
-def unacknowledged_high(anomalies: DataFrame, as_of: Column, window: str = "10 minutes", top: int = 10) -> DataFrame:
-    """Unacknowledged high-severity anomalies detected within ``window``, newest 10 (FLT6, ANA6, TOP4)."""
-    return (anomalies.where(since("detected_at", as_of, window) & ~F.coalesce(F.col("acknowledged"), F.lit(False))
-                            & (F.col("severity") == "high"))
-            .orderBy(F.col("time").desc(), F.col("gpu_uuid")).limit(top))
+def unacknowledged_high(anomalies: DataFrame, as_of: Column, window: str = "10 minutes", top: int = 10,
+                        severity: str = "high") -> DataFrame:
+    """Unacknowledged anomalies of a severity detected since ``as_of - window`` (the bound
+    included), newest 10 (FLT6, ANA6, TOP4)."""
+    return (anomalies.where(since("detected_at", as_of, window, strict=False)
+                            & ~F.coalesce(F.col("acknowledged"), F.lit(False)) & (F.col("severity") == severity))
+            .select("gpu_uuid", "anomaly_type", "value", "z_score", "severity", "time")
+            .orderBy(F.col("time").desc(), F.col("gpu_uuid"), F.col("anomaly_type")).limit(top))

@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.functions.timewin import since
-from fleetscope.operators.joins import checked_broadcast
+from fleetscope.functions.timewin import window_rows
 from fleetscope.operators.ordered import with_row_index
 
 # 5-point quadratic (Savitzky-Golay) weights and divisor.
@@ -160,7 +159,7 @@ def risk_score(metrics: DataFrame, as_of: Column, window: str = "7 days") -> Dat
     thermal 30 % (75-95 °C), throttling 20 % (10 events = full), power
     instability 10 % (std 50 W = full); levels (0,25] low ... (75,100] critical.
     """
-    rows = metrics.where(since("time", as_of, window) & (F.col("time") <= as_of))
+    rows = window_rows(metrics, as_of, window)
     g = rows.groupBy("gpu_uuid").agg(
         (F.max("ecc_sbe_aggregate") - F.min("ecc_sbe_aggregate")).alias("ecc_correctable_7d"),
         (F.max("ecc_dbe_aggregate") - F.min("ecc_dbe_aggregate")).alias("ecc_uncorrectable_7d"),
@@ -192,7 +191,7 @@ def grade_distribution(scores: DataFrame, col: str = "health_grade") -> DataFram
 
 def throttle_leaderboard(metrics: DataFrame, as_of: Column, window: str = "24 hours") -> DataFrame:
     """Throttle events per device, most first (AGG33)."""
-    return (metrics.where(since("time", as_of, window)).groupBy("gpu_uuid")
+    return (window_rows(metrics, as_of, window, ahead=True).groupBy("gpu_uuid")
             .agg(F.count_if(F.col("throttle_reasons") > 0).alias("throttle_events"),
                  F.count(F.lit(1)).alias("samples"), F.min("time").alias("first_sample"),
                  F.max("time").alias("last_sample"))
@@ -227,7 +226,7 @@ def power_util_profile(metrics: DataFrame) -> DataFrame:
 
 def fleet_recent(metrics: DataFrame, as_of: Column, window: str = "5 minutes") -> DataFrame:
     """Fleet aggregates over all rows of the last ``window`` (AGG37)."""
-    return (metrics.where(since("time", as_of, window))
+    return (window_rows(metrics, as_of, window, ahead=True)
             .agg(F.count_distinct("gpu_uuid").alias("gpus"), F.avg("gpu_temp").alias("avg_temp"),
                  F.max("gpu_temp").alias("max_temp"), (F.sum("power_usage") / 1000.0).alias("total_kw"),
                  F.count(F.lit(1)).alias("samples")))
@@ -235,7 +234,7 @@ def fleet_recent(metrics: DataFrame, as_of: Column, window: str = "5 minutes") -
 
 def with_model_averages(latest: DataFrame, assets: DataFrame, value_col: str = "gpu_temp") -> DataFrame:
     """Each device's latest value next to its model's fleet average (JON15)."""
-    j = latest.join(checked_broadcast(assets.select("gpu_uuid", "model")), "gpu_uuid", "left")
+    j = latest.join(assets.select("gpu_uuid", "model"), "gpu_uuid", "left")
     avg = j.groupBy("model").agg(F.avg(value_col).alias("model_avg"), F.count(F.lit(1)).alias("model_devices"))
     return (j.join(avg, j["model"].eqNullSafe(avg["model"]), "left").drop(avg["model"])
              .withColumn("delta_vs_model", F.col(value_col) - F.col("model_avg")))
@@ -243,7 +242,7 @@ def with_model_averages(latest: DataFrame, assets: DataFrame, value_col: str = "
 
 def merged_view(scores: DataFrame, risks: DataFrame, assets: DataFrame) -> DataFrame:
     """Health + risk + asset on the device id (JON13): two joins of one-row-per-device tables."""
-    return scores.join(risks, "gpu_uuid", "inner").join(checked_broadcast(assets), "gpu_uuid", "inner")
+    return scores.join(risks, "gpu_uuid", "inner").join(assets, "gpu_uuid", "inner")
 
 
 def outcome_confusion(predictions: DataFrame, failures: DataFrame, horizon_days: int = 30,
@@ -269,4 +268,4 @@ def outcome_confusion(predictions: DataFrame, failures: DataFrame, horizon_days:
 
 def stream_static_inner(events: DataFrame, dim: DataFrame, key: str = "gpu_uuid") -> DataFrame:
     """Inner stream-static join to a global table (JON12)."""
-    return events.join(checked_broadcast(dim), key, "inner")
+    return events.join(dim, key, "inner")

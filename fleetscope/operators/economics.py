@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.functions.timewin import as_of_col, since
+from fleetscope.functions.timewin import as_of_col, window_rows
 from fleetscope.operators.health import round_half_up
 from fleetscope.operators.latest import latest_per_key
 
@@ -82,14 +82,17 @@ def npv_repurpose(h: Column, p90: Column, fair: Column) -> Column:
 
 def utilization_30d(metrics: DataFrame, as_of: Column, window: str = "30 days") -> DataFrame:
     """avg(sm_active) over ``time >= as_of - window``, 0.5 when NULL or 0 (AGG17)."""
-    return (metrics.where(since("time", as_of, window, strict=False) & (F.col("time") <= as_of))
+    return (window_rows(metrics, as_of, window, strict=False)
             .groupBy("gpu_uuid").agg(F.avg("sm_active").alias("_util")))
 
 
 def decision_context(scores: DataFrame, predictions: DataFrame | None, assets: DataFrame,
-                     metrics: DataFrame, as_of: Column, util_window: str = "30 days") -> DataFrame:
-    """Latest score + latest prediction + asset model + utilisation per device (JON8)."""
-    s = latest_per_key(scores.where(F.col("time") <= as_of), "gpu_uuid", "time",
+                     metrics: DataFrame, as_of: Column, util_window: str = "30 days", active: str = "24 hours") -> DataFrame:
+    """Latest score + latest prediction + asset model + utilisation per device (JON8).
+
+    The driving set is the devices with a score since ``as_of - active``.
+    """
+    s = latest_per_key(window_rows(scores, as_of, active, strict=False), "gpu_uuid", "time",
                        ["overall_score", "health_grade"])
     ctx = s.select("gpu_uuid", F.col("overall_score").alias("_h"), F.col("health_grade").alias("_grade"))
     if predictions is not None:
@@ -99,16 +102,15 @@ def decision_context(scores: DataFrame, predictions: DataFrame | None, assets: D
                                 F.col("failure_prob_90d").alias("_p90")), "gpu_uuid", "left")
     else:
         ctx = ctx.select("*", F.lit(None).cast("double").alias("_p30"), F.lit(None).cast("double").alias("_p90"))
-    from fleetscope.operators.joins import checked_broadcast
-    ctx = ctx.join(checked_broadcast(assets.select("gpu_uuid", F.col("model").alias("_model"))), "gpu_uuid", "left")
+    ctx = ctx.join(assets.select("gpu_uuid", F.col("model").alias("_model")), "gpu_uuid", "left")
     return ctx.join(utilization_30d(metrics, as_of, util_window), "gpu_uuid", "left")
 
 
 def economic_decisions(scores: DataFrame, predictions: DataFrame | None, assets: DataFrame,
-                       metrics: DataFrame, as_of=None, util_window: str = "30 days") -> DataFrame:
-    """``gpu_economic_decisions`` rows for every device with a health score."""
+                       metrics: DataFrame, as_of=None, util_window: str = "30 days", active: str = "24 hours") -> DataFrame:
+    """``gpu_economic_decisions`` rows for every device scored since ``as_of - active``."""
     a = as_of_col(metrics, as_of)
-    d = decision_context(scores, predictions, assets, metrics, a, util_window)
+    d = decision_context(scores, predictions, assets, metrics, a, util_window, active)
     resid = residual_map(F.col("_model"))
     h = F.coalesce(F.col("_h"), F.lit(70.0))
     grade = F.coalesce(F.col("_grade"), F.lit("fair"))
@@ -149,9 +151,11 @@ def economic_decisions(scores: DataFrame, predictions: DataFrame | None, assets:
 
 def rationale(decision: Column, h: Column, p: Column, keep: Column, sell: Column) -> Column:
     """Human-readable rationale per decision (PRJ22)."""
-    hs = F.format_string("%.1f", h)
-    ps = F.concat(F.format_string("%.1f", p * 100.0), F.lit("%"))
-    ks, ss = F.format_string("%.0f", keep), F.format_string("%.0f", sell)
+    # rounded on the decimal value first, so that ties format alike everywhere
+    fixed = lambda c, n: F.format_string(f"%.{n}f", round_half_up(c, n))
+    hs, ps = fixed(h, 1), F.concat(fixed(p * 100.0, 1), F.lit("%"))
+    ks, ss = fixed(keep, 0), fixed(sell, 0)
+    # The four sentences.
     return (F.when(decision == "keep", F.concat(
                 F.lit("Recommended to KEEP: Health score "), hs, F.lit("/100 is good, failure risk "), ps,
                 F.lit(" is acceptable, NPV of continued operation ($"), ks, F.lit(") exceeds resale value ($"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import MIB, mib_to_bytes, parse_iso_ts
 from fleetscope.operators.ingest import iso_text
-from fleetscope.operators.joins import checked_broadcast
 
 ASSET_FIELDS = ["model", "architecture", "compute_capability", "memory_gb", "rack_id", "cluster_id", "datacenter",
                 "region", "purchase_date", "deployment_date", "warranty_expiry", "expected_eol", "sla_tier",
@@ -36,7 +35,7 @@ def enrich(events: DataFrame, assets: DataFrame, now: Column | None = None, even
                                  else F.col(c) for c in ASSET_FIELDS]).alias("_asset"))
     e = F.col(event_col)
     uuid = e["gpu"]["gpu_uuid"]
-    j = events.join(checked_broadcast(a), F.coalesce(uuid, F.lit("")) == F.col("_a_uuid"), "left")
+    j = events.join(a, F.coalesce(uuid, F.lit("")) == F.col("_a_uuid"), "left")
     found = F.col("_a_uuid").isNotNull()
     asset = F.col("_asset")
     host = e["host"]

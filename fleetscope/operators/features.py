@@ -1,9 +1,9 @@
 """Feature store rows for every device at once (ANA3: AGG19-AGG25, PRJ18-PRJ20).
 
-Two passes over the window's rows, both keyed by device: one algebraic
-``groupBy`` (means, sample stds, counts, counter ranges), and one join of the
-per-device mean/std back to the rows for the two-sided outlier counts. The
-temperature trend uses the bucketed row index, never a device-wide window.
+Two passes over the window's rows: one into partials per (device, bucket), from
+which means, sample stds, counts, counter ranges and the temperature trend are
+combined, and one join of the per-device mean/std back to the rows for the
+two-sided outlier counts.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import (BIT_HW_POWER_BRAKE, BIT_HW_THERMAL, BIT_SW_POWER_CAP, bit_set,
                                           days_floor)
-from fleetscope.functions.timewin import as_of_col
-from fleetscope.operators.joins import checked_broadcast
-from fleetscope.operators.ordered import index_slope
+from fleetscope.functions.timewin import as_of_col, window_rows
+from fleetscope.operators.partials import bucket_partials, combine, combined_moments, mean, moment_aggs, std
 
 FEATURE_VERSION = "1.0"
 SAMPLE_SECONDS = 10
@@ -50,50 +49,47 @@ def _two_sided(x: Column, mean: Column, std: Column) -> Column:
 
 
 def gpu_features(metrics: DataFrame, assets: DataFrame, as_of=None, lookback: str = "7 days",
-                 extended: bool = True, trend_bucket: str = "1 hour") -> DataFrame:
-    """One feature row per device with samples in ``[as_of - lookback, as_of]``."""
+                 extended: bool = True, trend_bucket: str = "1 hour", stamp_last: bool = False) -> DataFrame:
+    """One feature row per device with samples in ``[as_of - lookback, as_of]``.
+
+    ``time`` is ``as_of``, or with ``stamp_last`` the device's last sample, as a store has
+    it whose rows were computed when each device last reported.
+    """
     a = as_of_col(metrics, as_of)
-    rows = metrics.where((F.col("time") >= a - F.expr(f"INTERVAL {lookback}")) & (F.col("time") <= a))
-    us = F.unix_micros(F.col("time").cast("timestamp"))
-    g = rows.groupBy("gpu_uuid").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("gpu_temp").alias("gpu_temp_mean"), F.stddev_samp("gpu_temp").alias("gpu_temp_std"),
-        F.min("gpu_temp").alias("gpu_temp_min"), F.max("gpu_temp").alias("gpu_temp_max"),
-        F.avg("power_usage").alias("power_usage_mean"), F.stddev_samp("power_usage").alias("power_usage_std"),
-        F.avg("sm_active").alias("sm_active_mean"), F.stddev_samp("sm_active").alias("sm_active_std"),
-        F.avg("sm_occupancy").alias("sm_occupancy_mean"),
-        F.avg("memory_utilization").alias("memory_util_mean"),
-        F.stddev_samp("memory_utilization").alias("memory_util_std"),
-        F.count_if(bit_set("throttle_reasons", BIT_HW_THERMAL, False)).alias("thermal_throttle_count"),
-        F.count_if(bit_set("throttle_reasons", BIT_HW_POWER_BRAKE, False)).alias("power_brake_count"),
-        F.count_if(bit_set("throttle_reasons", BIT_SW_POWER_CAP, False)).alias("sw_power_cap_count"),
-        F.count_if(F.col("ecc_sbe_volatile") > 0).alias("ecc_sbe_event_count"),
-        F.count_if(F.col("ecc_dbe_volatile") > 0).alias("ecc_dbe_event_count"),
-        F.count_if(F.col("throttle_reasons") > 0).alias("_throttle_rows"),
-        # extended telemetry
-        F.count("sm_clock_mhz").alias("_clk_n"), F.avg("sm_clock_mhz").alias("_clk_mean"),
-        F.stddev_samp("sm_clock_mhz").alias("_clk_std"),
-        F.count("mem_clock_mhz").alias("_mclk_n"), F.stddev_samp("mem_clock_mhz").alias("_mclk_std"),
-        F.count("pcie_rx_bytes_per_sec").alias("_rx_n"), F.avg("pcie_rx_bytes_per_sec").alias("_rx_mean"),
-        F.avg("pcie_tx_bytes_per_sec").alias("_tx_mean"),
-        F.avg(_opt(rows, "fan_speed_pct")).alias("_fan_mean"), F.max(_opt(rows, "fan_speed_pct")).alias("_fan_max"),
-        F.stddev_samp(_opt(rows, "fan_speed_pct")).alias("_fan_std"),
-        F.count(_opt(rows, "nvlink_rx_bytes_per_sec")).alias("_nv_n"),
-        F.avg(_opt(rows, "nvlink_rx_bytes_per_sec")).alias("_nvrx_mean"),
-        F.avg(_opt(rows, "nvlink_tx_bytes_per_sec")).alias("_nvtx_mean"),
-        F.count_if(_opt(rows, "nvlink_rx_bytes_per_sec") > 1e9).alias("_nv_active"),
-        F.count(_opt(rows, "total_energy_consumption_mj")).alias("_en_n"),
-        (F.max(_opt(rows, "total_energy_consumption_mj")) - F.min(_opt(rows, "total_energy_consumption_mj")))
-        .alias("_en_delta"),
-        F.count("ecc_sbe_aggregate").alias("_sbe_n"),
-        (F.max("ecc_sbe_aggregate") - F.min("ecc_sbe_aggregate")).alias("_sbe_delta"),
-        (F.max("ecc_dbe_aggregate") - F.min("ecc_dbe_aggregate")).alias("_dbe_delta"),
-        ((F.max(us) - F.min(us)) / F.lit(3.6e9)).alias("_span_h"),
-        F.count("mem_copy_utilization").alias("_mcu_n"), F.avg("mem_copy_utilization").alias("_mcu_mean"),
-        F.max("mem_copy_utilization").alias("_mcu_max"),
-        F.count("tensor_active").alias("_ta_n"), F.avg("tensor_active").alias("_ta_mean"),
-        F.max("tensor_active").alias("_ta_max"), F.count_if(F.col("tensor_active") > 50).alias("_ta_hi"),
-    )
+    rows = window_rows(metrics, a, lookback, strict=False)
+    moments = {"temp": "gpu_temp", "pw": "power_usage", "sm": "sm_active", "occ": "sm_occupancy", "mem": "memory_utilization",
+               "clk": "sm_clock_mhz", "mclk": "mem_clock_mhz", "rx": "pcie_rx_bytes_per_sec", "tx": "pcie_tx_bytes_per_sec",
+               "nvrx": _opt(rows, "nvlink_rx_throughput"), "nvtx": _opt(rows, "nvlink_tx_throughput"),
+               "en": _opt(rows, "total_energy_consumption"), "sbe": "ecc_sbe_aggregate", "dbe": "ecc_dbe_aggregate",
+               "mcu": "mem_copy_utilization", "ta": "tensor_active"}
+    counts = {
+        "thermal_throttle_count": bit_set("throttle_reasons", BIT_HW_THERMAL, False),
+        "power_brake_count": bit_set("throttle_reasons", BIT_HW_POWER_BRAKE, False),
+        "sw_power_cap_count": bit_set("throttle_reasons", BIT_SW_POWER_CAP, False),
+        "ecc_sbe_event_count": F.col("ecc_sbe_volatile") > 0, "ecc_dbe_event_count": F.col("ecc_dbe_volatile") > 0,
+        "_throttle_rows": F.col("throttle_reasons") > 0, "_nv_active": _opt(rows, "nvlink_rx_throughput") > 1e9,
+        "_ta_hi": F.col("tensor_active") > 50}
+    parts = bucket_partials(rows, a, trend_bucket, [*[F.count_if(c).alias(k) for k, c in counts.items()], *moment_aggs(moments)],
+                            trend="gpu_temp")
+    g = combine(parts, [*[F.sum(k).alias(k) for k in counts], *combined_moments(moments)], trend=True)
+    delta = lambda k: F.col(f"{k}__hi") - F.col(f"{k}__lo")
+    g = g.select(
+        "gpu_uuid", *counts, F.col("n").alias("_n"), F.col("last_us").alias("_last_us"),
+        mean("temp").alias("gpu_temp_mean"), std("temp").alias("gpu_temp_std"), F.col("temp__lo").alias("gpu_temp_min"),
+        F.col("temp__hi").alias("gpu_temp_max"),
+        F.when(F.col("n") >= 3, F.col("slope")).otherwise(F.lit(0.0)).alias("gpu_temp_trend"),
+        mean("pw").alias("power_usage_mean"), std("pw").alias("power_usage_std"),
+        mean("sm").alias("sm_active_mean"), std("sm").alias("sm_active_std"), mean("occ").alias("sm_occupancy_mean"),
+        mean("mem").alias("memory_util_mean"), std("mem").alias("memory_util_std"),
+        F.col("clk__n").alias("_clk_n"), mean("clk").alias("_clk_mean"), std("clk").alias("_clk_std"),
+        F.col("mclk__n").alias("_mclk_n"), std("mclk").alias("_mclk_std"),
+        F.col("rx__n").alias("_rx_n"), mean("rx").alias("_rx_mean"), mean("tx").alias("_tx_mean"),
+        F.col("nvrx__n").alias("_nv_n"), mean("nvrx").alias("_nvrx_mean"), mean("nvtx").alias("_nvtx_mean"),
+        F.col("en__n").alias("_en_n"), delta("en").alias("_en_delta"), F.col("sbe__n").alias("_sbe_n"),
+        delta("sbe").alias("_sbe_delta"), delta("dbe").alias("_dbe_delta"),
+        ((F.col("last_us") - F.col("first_us")) / F.lit(3.6e9)).alias("_span_h"),
+        F.col("mcu__n").alias("_mcu_n"), mean("mcu").alias("_mcu_mean"), F.col("mcu__hi").alias("_mcu_max"),
+        F.col("ta__n").alias("_ta_n"), mean("ta").alias("_ta_mean"), F.col("ta__hi").alias("_ta_max"))
     # two-sided 2-sigma outlier counts: per-device mean/std joined back to the rows
     ms = g.select("gpu_uuid", "gpu_temp_mean", "gpu_temp_std", "power_usage_mean", "power_usage_std")
     out = (rows.select("gpu_uuid", "gpu_temp", "power_usage").join(ms, "gpu_uuid", "inner")
@@ -102,10 +98,8 @@ def gpu_features(metrics: DataFrame, assets: DataFrame, as_of=None, lookback: st
                     .alias("_temp_out"),
                    F.count_if(_two_sided(F.col("power_usage"), F.col("power_usage_mean"), F.col("power_usage_std")))
                     .alias("_power_out")))
-    trend = index_slope(rows, "gpu_temp", "gpu_uuid", "time", trend_bucket).withColumnRenamed("slope", "gpu_temp_trend")
     meta = assets.select("gpu_uuid", "model", "deployment_date", "warranty_expiry")
-    f = (g.join(out, "gpu_uuid", "left").join(trend, "gpu_uuid", "left")
-          .join(checked_broadcast(meta), "gpu_uuid", "left"))
+    f = g.join(out, "gpu_uuid", "left").join(meta, "gpu_uuid", "left")
 
     zero = F.lit(0.0)
     pm = F.col("power_usage_mean")
@@ -167,7 +161,8 @@ def gpu_features(metrics: DataFrame, assets: DataFrame, as_of=None, lookback: st
             "tensor_active_max": F.when(F.col("_ta_n") > 0, F.col("_ta_max")).otherwise(zero),
             "tensor_usage_pct": F.when(F.col("_ta_n") > 0, F.col("_ta_hi") / F.col("_n") * 100.0).otherwise(zero),
         })
-    return f.select(a.alias("time"), "gpu_uuid", *[c.alias(k) for k, c in cols.items()],
+    at = F.timestamp_micros("_last_us") if stamp_last else a
+    return f.select(at.alias("time"), "gpu_uuid", *[c.alias(k) for k, c in cols.items()],
                     F.lit(FEATURE_VERSION).alias("feature_version"), a.alias("computed_at"))
 
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import round_numeric
-from fleetscope.functions.timewin import since
-from fleetscope.operators.joins import checked_broadcast
+from fleetscope.functions.timewin import since, window_rows
 from fleetscope.operators.latest import latest_per_key
 
 LATEST_COLS = ["time", "hostname", "gpu_temp", "memory_temp", "power_usage", "throttle_reasons",
@@ -50,7 +49,7 @@ def fleet_scalars(metrics: DataFrame, assets: DataFrame, datacenter: str = "All"
                   gpu: str = "All") -> DataFrame:
     """Six fleet-overview scalars on the latest row per device (AGG7 + JON1 + FLT3)."""
     latest = latest_metrics(metrics)
-    j = latest.join(checked_broadcast(assets.select("gpu_uuid", "datacenter")), "gpu_uuid", "left")
+    j = latest.join(assets.select("gpu_uuid", "datacenter"), "gpu_uuid", "left")
     j = j.where(param_filter("datacenter", datacenter) & param_filter("gpu_uuid", gpu))
     return j.agg(
         F.avg("gpu_temp").alias("avg_temp"), F.max("gpu_temp").alias("max_temp"),
@@ -69,7 +68,7 @@ def datacenter_scalars(metrics: DataFrame, mapping: DataFrame, as_of: Column,
                                           "ecc_sbe_aggregate", "ecc_dbe_aggregate"])
     latest_fresh = latest_per_key(metrics.where(since("time", as_of, fresh)), "gpu_uuid", "time",
                                   ["gpu_temp", "power_usage"])
-    m = checked_broadcast(mapping.select("gpu_uuid", "datacenter"))
+    m = mapping.select("gpu_uuid", "datacenter")
     a = (latest_all.join(m, "gpu_uuid", "inner").groupBy("datacenter")
          .agg(F.avg("sm_active").alias("avg_utilization"), F.sum("ecc_sbe_aggregate").alias("total_sbe"),
               F.sum("ecc_dbe_aggregate").alias("total_dbe")))
@@ -114,7 +113,7 @@ def status_table(metrics: DataFrame, assets: DataFrame, datacenter: str = "All",
     """Fleet status table: latest ⟕ assets, hottest first, NULLs first as in PostgreSQL (TOP2 + JON1)."""
     latest = latest_metrics(metrics, ["time", "gpu_temp", "memory_temp", "power_usage", "sm_active",
                                       "ecc_sbe_aggregate", "ecc_dbe_aggregate"])
-    j = latest.join(checked_broadcast(assets.select("gpu_uuid", "datacenter")), "gpu_uuid", "left")
+    j = latest.join(assets.select("gpu_uuid", "datacenter"), "gpu_uuid", "left")
     j = j.where(param_filter("datacenter", datacenter) & param_filter("gpu_uuid", gpu))
     return (j.select("gpu_uuid", "datacenter",
                      round_numeric("gpu_temp", 1).alias("gpu_temp"),
@@ -128,7 +127,7 @@ def status_table(metrics: DataFrame, assets: DataFrame, datacenter: str = "All",
 
 def gpu_stats(metrics: DataFrame, as_of: Column, window: str = "24 hours") -> DataFrame:
     """Per-device statistics over the last ``window`` for all devices (AGG10)."""
-    return (metrics.where(since("time", as_of, window)).groupBy("gpu_uuid")
+    return (window_rows(metrics, as_of, window, ahead=True).groupBy("gpu_uuid")
             .agg(F.count(F.lit(1)).alias("sample_count"), F.avg("gpu_temp").alias("avg_temp"),
                  F.min("gpu_temp").alias("min_temp"), F.max("gpu_temp").alias("max_temp"),
                  F.avg("power_usage").alias("avg_power"), F.max("power_usage").alias("max_power"),
@@ -139,15 +138,15 @@ def gpu_stats(metrics: DataFrame, as_of: Column, window: str = "24 hours") -> Da
 
 def list_gpus(metrics: DataFrame, assets: DataFrame, as_of: Column, window: str = "24 hours") -> DataFrame:
     """Devices with data in ``window``: host, model, last_seen (AGG11 + JON1)."""
-    recent = (metrics.where(since("time", as_of, window)).select("gpu_uuid", "hostname", "time")
-              .join(checked_broadcast(assets.select("gpu_uuid", "model")), "gpu_uuid", "left"))
+    recent = (window_rows(metrics, as_of, window, ahead=True).select("gpu_uuid", "hostname", "time")
+              .join(assets.select("gpu_uuid", "model"), "gpu_uuid", "left"))
     return (recent.groupBy("gpu_uuid", "hostname", "model").agg(F.max("time").alias("last_seen"))
             .orderBy("gpu_uuid"))
 
 
 def active_devices(metrics: DataFrame, as_of: Column, window: str = "1 hour", strict: bool = True) -> DataFrame:
     """Devices seen within ``window`` of ``as_of`` (FLT4), for semi joins."""
-    return metrics.where(since("time", as_of, window, strict)).select("gpu_uuid").distinct()
+    return window_rows(metrics, as_of, window, strict, ahead=True).select("gpu_uuid").distinct()
 
 
 def datacenter_racks(assets: DataFrame) -> DataFrame:
@@ -173,18 +172,13 @@ def long_series(metrics: DataFrame, assets: DataFrame, value_col: str, start=Non
         m = m.where(F.col("time") >= F.lit(start).cast("timestamp"))
     if end is not None:
         m = m.where(F.col("time") <= F.lit(end).cast("timestamp"))
-    j = m.join(checked_broadcast(assets.select("gpu_uuid", "datacenter")), "gpu_uuid", "left")
+    j = m.join(assets.select("gpu_uuid", "datacenter"), "gpu_uuid", "left")
     j = j.where(param_filter("datacenter", datacenter) & param_filter("gpu_uuid", gpu))
     return j.select("time", F.col("gpu_uuid").alias("metric"), F.col(value_col).alias("value"))
 
 
-def wide_series(long_df: DataFrame, every: str = "1 hour", metrics_list=None) -> DataFrame:
-    """Long -> wide: one column per device, bucketed (SET6 pivot).
-
-    ``metrics_list`` names the pivot columns; without it Spark first computes the
-    distinct devices (one small aggregation) — fine for a comparison panel, whose
-    width is the number of devices chosen.
-    """
+def wide_series(long_df: DataFrame, metrics_list: list[str], every: str = "1 hour") -> DataFrame:
+    """Long -> wide: one column for each device named in ``metrics_list``, bucketed (SET6 pivot)."""
     from fleetscope.operators.rollups import bucket
-    g = long_df.groupBy(bucket("time", every).alias("time"))
-    return (g.pivot("metric", metrics_list) if metrics_list else g.pivot("metric")).agg(F.avg("value"))
+    chosen = long_df.where(F.col("metric").isin(metrics_list))
+    return chosen.groupBy(bucket("time", every).alias("time")).pivot("metric", metrics_list).agg(F.avg("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions.timewin import since
+from fleetscope.functions.timewin import window_rows
 from fleetscope.operators.latest import latest_per_key
 
 
@@ -17,7 +17,7 @@ def slope_per_unit(df: DataFrame, value_col: str, as_of: Column, unit_seconds: f
     without the cancellation error of raw epoch seconds.
     """
     x = (F.unix_micros(F.col(time_col)) - F.unix_micros(as_of)) / F.lit(unit_seconds * 1e6)
-    return (df.where(since(time_col, as_of, window) & (F.col(time_col) <= as_of)).groupBy(key)
+    return (window_rows(df, as_of, window, time_col=time_col).groupBy(key)
               .agg(F.regr_slope(F.col(value_col), x).alias("slope"),
                    F.stddev_samp(value_col).alias("volatility")))
 

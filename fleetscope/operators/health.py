@@ -1,8 +1,8 @@
 """Five-dimension health scoring for the whole fleet in one job (ANA1, WIN2-WIN4).
 
-One ``groupBy(gpu_uuid)`` of algebraic aggregates carries every dimension; the
-head/tail means use partial window-group limits and the gap count uses the
-bucketed helper, so no device's history is ever gathered in one place.
+Raw rows are read once into partials per (device, bucket); every dimension, the
+head/tail means and the gap count are combined from them, so no device's history
+is ever gathered in one place, and overlapping windows share one pass.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import (BIT_HW_POWER_BRAKE, BIT_HW_THERMAL, BIT_SW_POWER_CAP, bit_set,
                                           clamp, health_grade)
-from fleetscope.functions.timewin import as_of_col, since
-from fleetscope.operators.latest import first_n_per_key, latest_n_per_key
-from fleetscope.operators.ordered import gap_counts
+from fleetscope.functions.timewin import as_of_col, interval, interval_seconds, window_rows
+from fleetscope.operators.partials import bucket_partials, combine, combined_moments, mean, moment_aggs, std
 
 # Dimension weights of the overall score.
 WEIGHTS = {"memory": 0.30, "thermal": 0.25, "performance": 0.20, "power": 0.15, "reliability": 0.10}
@@ -76,30 +75,37 @@ def _reliability(s, lookback_days: float, sample_seconds: float) -> Column:
     return clamp(score)
 
 
-def device_stats(window_rows: DataFrame, gap_seconds: float, gap_bucket: str) -> DataFrame:
-    """Per-device aggregates every dimension reads (one shuffle by device + helpers)."""
+# the columns whose mean, deviation and extremes the dimensions read
+MOMENTS = {"temp": "gpu_temp", "sm": "sm_active", "occ": "sm_occupancy", "pw": "power_usage"}
+COUNTS = ("throttle_rows", "hw_thermal_rows", "power_brake_rows", "sw_cap_rows")
+
+
+def health_partials(rows: DataFrame, as_of: Column, gap_seconds: float, bucket: str) -> DataFrame:
+    """Partials per (device, bucket) from which any window's statistics are combined."""
     thr = F.coalesce(F.col("throttle_reasons"), F.lit(0))
-    g = window_rows.groupBy("gpu_uuid").agg(
-        F.count(F.lit(1)).alias("n"),
+    aggs = [
         F.max_by(F.struct(F.col("ecc_dbe_volatile").alias("d"), F.col("ecc_sbe_volatile").alias("s"),
                           F.col("retired_pages_dbe").alias("r")), F.col("time")).alias("_last"),
-        F.count("gpu_temp").alias("temp_n"), F.avg("gpu_temp").alias("temp_avg"),
-        F.max("gpu_temp").alias("temp_max"), F.stddev_pop("gpu_temp").alias("temp_std"),
         F.count_if(thr > 0).alias("throttle_rows"),
         F.count_if(bit_set("throttle_reasons", BIT_HW_THERMAL)).alias("hw_thermal_rows"),
         F.count_if(bit_set("throttle_reasons", BIT_HW_POWER_BRAKE)).alias("power_brake_rows"),
         F.count_if(bit_set("throttle_reasons", BIT_SW_POWER_CAP)).alias("sw_cap_rows"),
-        F.count("sm_active").alias("sm_n"), F.avg("sm_active").alias("sm_avg"),
-        F.count("sm_occupancy").alias("occ_n"), F.avg("sm_occupancy").alias("occ_avg"),
-        F.count("power_usage").alias("pw_n"), F.avg("power_usage").alias("pw_avg"),
-        F.stddev_pop("power_usage").alias("pw_std"),
-    ).select("*", F.col("_last.d").alias("l_dbe"), F.col("_last.s").alias("l_sbe"),
-             F.col("_last.r").alias("l_ret")).drop("_last")
-    dram = window_rows.select("gpu_uuid", "time", F.coalesce(F.col("dram_active"), F.lit(0.0)).alias("dram"))
-    head = first_n_per_key(dram, HEAD_TAIL).groupBy("gpu_uuid").agg(F.sum("dram").alias("head_sum"))
-    tail = latest_n_per_key(dram, HEAD_TAIL).groupBy("gpu_uuid").agg(F.sum("dram").alias("tail_sum"))
-    gaps = gap_counts(window_rows, "gpu_uuid", "time", gap_seconds, gap_bucket)
-    return g.join(head, "gpu_uuid", "left").join(tail, "gpu_uuid", "left").join(gaps, "gpu_uuid", "left")
+        *moment_aggs(MOMENTS)]
+    cols = ["gpu_uuid", "time", "throttle_reasons", "ecc_dbe_volatile", "ecc_sbe_volatile", "retired_pages_dbe", "dram_active",
+            *MOMENTS.values()]
+    return bucket_partials(rows.select(*cols), as_of, bucket, aggs, gap_seconds, edge=F.coalesce(F.col("dram_active"), F.lit(0.0)))
+
+
+def device_stats(partials: DataFrame, gap_seconds: float, keys=("gpu_uuid",)) -> DataFrame:
+    """Statistics every dimension reads, combined from a window's partials."""
+    aggs = [F.max_by("_last", "last_us").alias("_last"), *[F.sum(c).alias(c) for c in COUNTS], *combined_moments(MOMENTS)]
+    s = combine(partials, aggs, keys, gap_seconds, edge=True)
+    return s.select(*keys, "n", "last_us", "gap_count", "head_sum", "tail_sum", *COUNTS,
+                    F.col("temp__n").alias("temp_n"), mean("temp").alias("temp_avg"), F.col("temp__hi").alias("temp_max"),
+                    std("temp", False).alias("temp_std"), F.col("sm__n").alias("sm_n"), mean("sm").alias("sm_avg"),
+                    F.col("occ__n").alias("occ_n"), mean("occ").alias("occ_avg"), F.col("pw__n").alias("pw_n"),
+                    mean("pw").alias("pw_avg"), std("pw", False).alias("pw_std"),
+                    F.col("_last.d").alias("l_dbe"), F.col("_last.s").alias("l_sbe"), F.col("_last.r").alias("l_ret"))
 
 
 def health_scores(metrics: DataFrame, as_of=None, lookback_days: float = 7, active: str = "1 hour",
@@ -111,14 +117,22 @@ def health_scores(metrics: DataFrame, as_of=None, lookback_days: float = 7, acti
     unrounded overall score; scores are rounded to one decimal last.
     """
     a = as_of_col(metrics, as_of)
-    lb = F.make_interval(days=F.lit(int(lookback_days))) if float(lookback_days).is_integer() \
-        else F.expr(f"INTERVAL {int(lookback_days * 86400)} SECONDS")
-    rows = metrics.where((F.col("time") > a - lb) & (F.col("time") <= a))
-    act = metrics.where(since("time", a, active) & (F.col("time") <= a)).select("gpu_uuid").distinct()
-    s = act.join(device_stats(rows, gap_seconds, gap_bucket), "gpu_uuid", "left")
+    lookback = f"{int(lookback_days * 86400)} seconds"
+    rows = window_rows(metrics, a, lookback)
+    s = device_stats(health_partials(rows, a, gap_seconds, gap_bucket), gap_seconds)
+    live = F.col("last_us") > F.unix_micros(a - interval(active))
+    if interval_seconds(active) <= lookback_days * 86400:
+        s = s.where(live)  # an active device has rows in the window
+    else:
+        s = window_rows(metrics, a, active).select("gpu_uuid").distinct().join(s, "gpu_uuid", "left")
+    return score_rows(s, a, lookback_days, sample_seconds)
+
+
+def score_rows(s: DataFrame, a: Column, lookback_days: float, sample_seconds: float) -> DataFrame:
+    """``gpu_health_scores`` rows from ``device_stats``; a NULL ``n`` means no data."""
     mem, th, perf, pw = _memory(s), _thermal(s), _performance(s), _power(s)
     rel = _reliability(s, lookback_days, sample_seconds)
-    dims = s.select("gpu_uuid", "n", "temp_n", "temp_avg", "hw_thermal_rows", "l_dbe", "l_sbe", "l_ret",
+    dims = s.select(a.alias("_time"), "gpu_uuid", "n", "temp_n", "temp_avg", "hw_thermal_rows", "l_dbe", "l_sbe", "l_ret",
                     mem.alias("m"), th.alias("t"), perf.alias("p"), pw.alias("w"), rel.alias("r"))
     overall = (F.col("m") * WEIGHTS["memory"] + F.col("t") * WEIGHTS["thermal"] + F.col("p") * WEIGHTS["performance"]
                + F.col("w") * WEIGHTS["power"] + F.col("r") * WEIGHTS["reliability"])
@@ -135,7 +149,7 @@ def health_scores(metrics: DataFrame, as_of=None, lookback_days: float = 7, acti
     nodata = F.col("n").isNull()
     zero = F.lit(0.0)
     return dims.select(
-        a.alias("time"), "gpu_uuid",
+        F.col("_time").alias("time"), "gpu_uuid",
         F.when(nodata, zero).otherwise(round_half_up(overall, 1)).alias("overall_score"),
         F.when(nodata, F.lit("unknown")).otherwise(health_grade(overall)).alias("health_grade"),
         F.when(nodata, zero).otherwise(round_half_up(F.col("m"), 1)).alias("memory_health"),
@@ -151,6 +165,29 @@ def health_scores(metrics: DataFrame, as_of=None, lookback_days: float = 7, acti
     )
 
 
+def score_history(metrics: DataFrame, as_of=None, runs: int = 4, every_days: int = 7, lookback_days: int = 7, active: str = "1 hour",
+                  gap_seconds: float = 300, sample_seconds: float = 10, bucket: str = "1 day") -> DataFrame:
+    """Scores of ``runs`` scoring runs, ``every_days`` apart, from one pass over the rows.
+
+    A bucket's partial is copied to every run whose window holds it (at most
+    lookback / every + 1 copies of a row per device and bucket). ``lookback_days``,
+    ``every_days`` and ``active`` must be whole buckets.
+    """
+    width = interval_seconds(bucket)
+    per_run, look, act = every_days * 86400 / width, lookback_days * 86400 / width, interval_seconds(active) / width
+    if any(x != int(x) for x in (per_run, look, act)) or act > look:
+        raise ValueError("the run step, lookback and active span must be whole buckets, active within lookback")
+    a = as_of_col(metrics, as_of)
+    span = int((runs - 1) * every_days * 86400 + lookback_days * 86400)
+    parts = health_partials(window_rows(metrics, a, f"{span} seconds"), a, gap_seconds, bucket)
+    of = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)),
+                  lambda r: (F.col("_b") >= r * int(per_run)) & (F.col("_b") < r * int(per_run) + int(look)))
+    s = device_stats(parts.withColumn("run", F.explode(of)), gap_seconds, ("run", "gpu_uuid"))
+    at = a - F.make_interval(days=F.col("run") * every_days)
+    s = s.where(F.col("last_us") > F.unix_micros(at - interval(active))).withColumn("_at", at)
+    return score_rows(s, F.col("_at"), lookback_days, sample_seconds)
+
+
 def score_deltas(scores: DataFrame, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
     """Fill ``score_delta_7d/30d`` and ``degradation_rate`` from the score history (JON14).
 

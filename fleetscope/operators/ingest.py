@@ -116,52 +116,78 @@ def build_events(metrics: DataFrame, model: Column | None = None, cluster: Colum
     return metrics.select(F.col("time"), F.col("gpu_uuid"), e.alias("e"))
 
 
-# Exposition series name -> flat telemetry column, for the
-# series the collector reads.
+# Exposition series name -> flat telemetry column (or unit conversion
+# of one), for the series that an exporter emits.
 EXPOSITION_SERIES = [
     ("DCGM_FI_DEV_GPU_TEMP", "gpu_temp"),
     ("DCGM_FI_DEV_MEMORY_TEMP", "memory_temp"),
     ("DCGM_FI_DEV_POWER_USAGE", "power_usage"),
+    ("DCGM_FI_DEV_TOTAL_ENERGY_CONSUMPTION", "CAST(floor(power_usage * 1000.0) AS BIGINT)"),
     ("DCGM_FI_DEV_CLOCK_THROTTLE_REASONS", "throttle_reasons"),
+    ("DCGM_FI_DEV_FB_FREE", "fb_free_bytes div 1048576"),
+    ("DCGM_FI_DEV_FB_USED", "fb_used_bytes div 1048576"),
     ("DCGM_FI_DEV_ECC_SBE_VOL_TOTAL", "ecc_sbe_volatile"),
     ("DCGM_FI_DEV_ECC_DBE_VOL_TOTAL", "ecc_dbe_volatile"),
+    ("DCGM_FI_DEV_ECC_SBE_AGG_TOTAL", "ecc_sbe_aggregate"),
+    ("DCGM_FI_DEV_ECC_DBE_AGG_TOTAL", "ecc_dbe_aggregate"),
+    ("DCGM_FI_DEV_RETIRED_SBE", "retired_pages_sbe"),
+    ("DCGM_FI_DEV_RETIRED_DBE", "retired_pages_dbe"),
     ("DCGM_FI_PROF_SM_ACTIVE", "sm_active"),
+    ("DCGM_FI_PROF_SM_OCCUPANCY", "sm_occupancy"),
+    ("DCGM_FI_PROF_PIPE_TENSOR_ACTIVE", "tensor_active"),
+    ("DCGM_FI_PROF_DRAM_ACTIVE", "dram_active"),
+    ("DCGM_FI_PROF_PCIE_TX_BYTES", "CAST(floor(pcie_tx_bytes_per_sec) AS BIGINT)"),
+    ("DCGM_FI_PROF_PCIE_RX_BYTES", "CAST(floor(pcie_rx_bytes_per_sec) AS BIGINT)"),
     ("DCGM_FI_DEV_SM_CLOCK", "sm_clock_mhz"),
+    ("DCGM_FI_DEV_MEM_CLOCK", "mem_clock_mhz"),
+    ("DCGM_FI_DEV_GPU_UTIL", "gpu_utilization"),
+    ("DCGM_FI_DEV_MEM_COPY_UTIL", "mem_copy_utilization"),
 ]
 
 
-def exposition_lines(metrics: DataFrame, model: Column) -> DataFrame:
-    """Render each telemetry sample as one exporter scrape: a comment, one line per
-    series, and a line without ``UUID`` (which the parser must ignore)."""
+def exposition_lines(metrics: DataFrame, model: Column, stamped: Column | None = None) -> DataFrame:
+    """Each telemetry sample as one exporter scrape: ``scrape_id`` (device and sample
+    time), ``scraped_at``, ``line_no``, ``line``.
+
+    A scrape has a comment, a line per series (with the optional timestamp where
+    ``stamped``), and lines that the parser must skip: one without ``UUID``, one with a
+    ``gpu`` label that is not a number, and one whose value is not.
+    """
     labels = F.format_string('gpu="%d",UUID="%s",modelName="%s"', F.col("device_index").cast("int"),
                              F.col("gpu_uuid"), model)
-    ts_ms = (F.unix_micros(F.col("time")) / 1000).cast("long")
+    ts_ms = (F.unix_micros(F.col("time")) / 1000).cast("long").cast("string")
+    tail = F.concat(F.lit(" "), ts_ms)
+    if stamped is not None:
+        tail = F.when(stamped, tail).otherwise(F.lit(""))
     lines = [F.lit("# HELP DCGM_FI_DEV_GPU_TEMP GPU temperature (in C).")]
     for name, c in EXPOSITION_SERIES:
-        lines.append(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col(c).cast("string"), F.lit(" "),
-                              ts_ms.cast("string")))
+        lines.append(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.expr(c).cast("string"), tail))
     lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="'), F.col("device_index").cast("string"), F.lit('"} 0')))
+    lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="none",UUID="'), F.col("gpu_uuid"), F.lit('"} 1')))
+    lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="0",UUID="'), F.col("gpu_uuid"), F.lit('"} n/a')))
     lines.append(F.lit(""))
-    return metrics.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    return metrics.select(F.concat_ws("@", "gpu_uuid", F.unix_micros("time").cast("string")).alias("scrape_id"),
+                          F.col("time").alias("scraped_at"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
-def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
-    """Exposition text -> one row per (scrape time, device) with a metrics map (SRC1).
+def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str = "line_no", scrape_col: str = "scrape_id",
+                     time_col: str = "scraped_at") -> DataFrame:
+    """Exposition text -> one row per (scrape, device) with a metrics map (SRC1).
 
-    Blank and ``#`` lines are skipped, only ``name{labels} value [ts]`` lines are
-    read, lines without ``UUID`` are dropped, unparsable values are dropped, the
-    last value of a series wins, and model/index come from the device's first line.
-    Grouping is by (device, scrape timestamp): a bounded group of series lines.
+    Only ``name{labels} value [timestamp]`` lines are read; the timestamp is optional
+    and not used, the scrape's own time is. Blank and ``#`` lines, lines without
+    ``UUID``, with a ``gpu`` label that is no integer or without a number as value are
+    skipped; the last value of a series wins, and model and index come from the device's
+    first line. Groups are a scrape's lines of one device.
     """
     ln = F.trim(F.col(line_col))
     after = F.substr(ln, F.instr(ln, "{") + 1)  # text after the first "{"
     close = F.instr(after, "}")
     d = lines.where((ln != "") & ~ln.startswith("#") & ln.contains("{")).select(
-        F.col(order_col).alias("_ord"),
-        F.substring_index(ln, "{", 1).alias("metric"),
-        after.alias("_after"), close.alias("_close"))
+        F.col(scrape_col).alias("_scrape"), F.col(time_col).alias("_at"), F.col(order_col).alias("_ord"),
+        F.substring_index(ln, "{", 1).alias("metric"), after.alias("_after"), close.alias("_close"))
     d = d.where(F.col("_close") > 0).select(  # no "}": the line cannot be split, skip it
-        "_ord", "metric",
+        "_scrape", "_at", "_ord", "metric",
         F.substring_index("_after", "}", 1).alias("_labels"),
         F.split(F.trim(F.substr(F.col("_after"), F.col("_close") + 1)), r"\s+").alias("_rest"))
     # key=value pairs: blanks around "," and "=" removed, then one str_to_map
@@ -171,23 +197,20 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
 
     def label(k: str) -> Column:
         return F.regexp_replace(labels[k], r'^[ "]+|[ "]+$', "")
-    d = d.select("_ord", "metric",
-                 label("UUID").alias("gpu_uuid"),
-                 label("modelName").alias("model"),
-                 F.coalesce(label("gpu").try_cast("int"), F.lit(0)).alias("device_index"),
-                 F.col("_rest")[0].try_cast("double").alias("value"),
-                 F.col("_rest")[1].try_cast("long").alias("ts_ms"))
-    d = d.where(F.col("gpu_uuid").isNotNull() & F.col("value").isNotNull())
-    # one grouping per (device, scrape): entries sorted by (metric, line order) feed
+    index = label("gpu")
+    d = d.select("_scrape", "_at", "_ord", "metric", label("UUID").alias("gpu_uuid"), label("modelName").alias("model"),
+                 F.when(index.isNull(), F.lit(0)).otherwise(index.try_cast("int")).alias("device_index"),
+                 F.get("_rest", F.lit(0)).try_cast("double").alias("value"))
+    d = d.where((F.col("gpu_uuid") != "") & F.col("value").isNotNull() & F.col("device_index").isNotNull())
+    # one grouping per (scrape, device): entries sorted by (metric, line order) feed
     # map_from_entries, whose last-wins key policy keeps the last value of a series
-    return (d.groupBy("gpu_uuid", "ts_ms")
-            .agg(F.min_by(F.struct("model", "device_index"), "_ord").alias("_first"),
+    return (d.groupBy("_scrape", "gpu_uuid")
+            .agg(F.min("_at").alias("time"), F.min_by(F.struct("model", "device_index"), "_ord").alias("_first"),
                  F.map_from_entries(F.transform(
                      F.array_sort(F.collect_list(F.struct("metric", "_ord", "value"))),
                      lambda e: F.struct(e["metric"], e["value"]))).alias("metrics"))
-            .select("gpu_uuid", F.timestamp_millis("ts_ms").alias("time"),
-                    F.col("_first.model").alias("model"), F.col("_first.device_index").alias("device_index"),
-                    "metrics"))
+            .select("gpu_uuid", "time", F.col("_first.model").alias("model"),
+                    F.col("_first.device_index").alias("device_index"), "metrics"))
 
 
 def raw_event_json(events: DataFrame, received_at: Column | None = None) -> DataFrame:

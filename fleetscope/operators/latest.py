@@ -24,27 +24,31 @@ def latest_per_key(df: DataFrame, keys=("gpu_uuid",), time_col: str = "time",
               .select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in cols]))
 
 
-def latest_n_per_key(df: DataFrame, n: int, keys=("gpu_uuid",), time_col: str = "time") -> DataFrame:
-    """Latest ``n`` rows per key (TOP1 fleet-wide).
+def latest_n_per_key(df: DataFrame, n: int, keys=("gpu_uuid",), time_col: str = "time", bucket: str = "1 day") -> DataFrame:
+    """Latest ``n`` rows per key (TOP1 fleet-wide), with ``recency_rank`` from 1."""
+    return _n_per_key(df, n, keys, time_col, bucket, True, "recency_rank")
 
-    ``row_number() <= n`` is planned as a partial WindowGroupLimit before the
-    exchange (n below ``spark.sql.optimizer.windowGroupLimitThreshold``), so each
-    map task forwards at most ``n`` rows per key.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(time_col).desc())
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= n)
-              .withColumnRenamed("_rn", "recency_rank"))
+
+def first_n_per_key(df: DataFrame, n: int, keys=("gpu_uuid",), time_col: str = "time", bucket: str = "1 day") -> DataFrame:
+    """Earliest ``n`` rows per key, with ``age_rank`` from 1."""
+    return _n_per_key(df, n, keys, time_col, bucket, False, "age_rank")
 
 
-def first_n_per_key(df: DataFrame, n: int, keys=("gpu_uuid",), time_col: str = "time") -> DataFrame:
-    """Earliest ``n`` rows per key (same partial-limit plan as ``latest_n_per_key``)."""
+def _n_per_key(df: DataFrame, n: int, keys, time_col: str, bucket: str, newest: bool, out: str) -> DataFrame:
+    """Rows ranked within (key, time bucket); the rows of newer (older) buckets are
+    counted on one row per key and bucket and added. No key's history meets in one
+    window, whatever ``n`` is."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(time_col).asc())
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= n)
-              .withColumnRenamed("_rn", "age_rank"))
+    d = df.withColumn("_b", F.window(F.col(time_col), bucket).start)
+    order = F.col(time_col).desc() if newest else F.col(time_col).asc()
+    sizes = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    past = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if newest else F.col("_b").asc())
+    ahead = F.coalesce(F.sum("_n").over(past.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # only buckets that can hold one of the n rows are joined back
+    near = sizes.select(*keys, "_b", ahead.alias("_ahead")).where(F.col("_ahead") < n)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
+    return (d.join(near, [*keys, "_b"]).withColumn(out, (F.col("_ahead") + rank).cast("int"))
+             .where(F.col(out) <= n).drop("_b", "_ahead"))
 
 
 def rows_at_group_max(df: DataFrame, keys, value_col: str) -> DataFrame:

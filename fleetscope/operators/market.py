@@ -17,6 +17,13 @@ RANGE = r"\$[\d,]+\s*[-–—]\s*\$[\d,]+"
 USED_SECTION = r"(?s)[Uu]sed.*?(" + RANGE + r")"
 SECONDARY_SECTION = r"(?s)[Ss]econdary.*?(" + RANGE + r")"
 
+# Sections tried in order, and whether any price on the page will do.
+PRICE_RULES = {
+    "NVIDIA A100-SXM4-80GB": ((USED_SECTION,), True),
+    "NVIDIA H100-SXM5-80GB": ((SECONDARY_SECTION, USED_SECTION), False),
+}
+DEFAULT_RULE = ((SECONDARY_SECTION, USED_SECTION), True)
+
 # Sanity bounds per model (low and high must both fall inside).
 PRICE_BOUNDS = {
     "NVIDIA A100-SXM4-80GB": (1000, 50000),
@@ -46,17 +53,20 @@ def parse_range(text: Column) -> Column:
             .when(one.isNotNull(), F.struct(one.alias("low"), one.alias("high"), one.alias("mid"))))
 
 
-def extract_prices(pages: DataFrame, html_col: str = "html", sections=(SECONDARY_SECTION, USED_SECTION),
-                   wide_fallback: bool = True) -> DataFrame:
-    """Add ``price`` (low, high, mid) from a page: the first matching section
-    pattern wins, then (optionally) the first price anywhere (SRC6)."""
-    text = page_text(F.col(html_col))
-    d = pages.withColumn("_text", text)
-    picks = [F.nullif(F.regexp_extract(F.col("_text"), p, 1), F.lit("")) for p in sections]
-    section_hit = F.coalesce(*picks) if picks else F.lit(None).cast("string")
-    price = F.when(section_hit.isNotNull(), parse_range(section_hit))
-    if wide_fallback:
-        price = F.coalesce(price, parse_range(F.col("_text")))
+def _page_price(text: Column, sections, anywhere: bool) -> Column:
+    """The price of the first section pattern that matches; else, if ``anywhere``, the first price."""
+    picks = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in sections]
+    hits = [F.when(p.isNotNull(), parse_range(p)) for p in picks]
+    return F.coalesce(*hits, *([parse_range(text)] if anywhere else []))
+
+
+def extract_prices(pages: DataFrame, html_col: str = "html", model_col: str = "model") -> DataFrame:
+    """Add ``price`` (low, high, mid) from a page by its model's rule in ``PRICE_RULES`` (SRC6);
+    models without one take ``DEFAULT_RULE``."""
+    d = pages.withColumn("_text", page_text(F.col(html_col)))
+    price = _page_price(F.col("_text"), *DEFAULT_RULE)
+    for model, rule in PRICE_RULES.items():
+        price = F.when(F.col(model_col) == model, _page_price(F.col("_text"), *rule)).otherwise(price)
     return d.withColumn("price", price).drop("_text")
 
 
@@ -78,8 +88,7 @@ def price_rows(extracted: DataFrame, fallback: DataFrame, fetched_at: Column, de
     ok = p.isNotNull() & inside(p["low"]) & inside(p["high"])
     fb = fallback.select("model", "condition", F.col("low").alias("_fl"), F.col("high").alias("_fh"),
                          F.col("mid").alias("_fm"), F.col("original_cost_usd").alias("_fo"))
-    from fleetscope.operators.joins import checked_broadcast
-    d = extracted.join(checked_broadcast(fb), ["model", "condition"], "left")
+    d = extracted.join(fb, ["model", "condition"], "left")
     out = d.select(
         fetched_at.alias("fetched_at"), "model", "condition",
         F.when(ok, p["low"]).otherwise(F.col("_fl")).alias("price_low_usd"),
@@ -122,8 +131,7 @@ def model_breakdown(decisions: DataFrame, scores: DataFrame, assets: DataFrame)
     """Per-model decision counts and mean health, with the sell share (AGG14, JON6)."""
     d = latest_per_key(decisions, "gpu_uuid", "time", ["decision"])
     h = latest_per_key(scores, "gpu_uuid", "time", ["overall_score"])
-    from fleetscope.operators.joins import checked_broadcast
-    j = checked_broadcast(assets.select("gpu_uuid", "model")).join(d, "gpu_uuid").join(h, "gpu_uuid")
+    j = assets.select("gpu_uuid", "model").join(d, "gpu_uuid").join(h, "gpu_uuid")
     return (j.groupBy("model")
             .agg(F.count(F.lit(1)).alias("total"),
                  F.sum(F.when(F.col("decision") == "sell", 1).otherwise(0)).alias("sell_n"),

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions.timewin import as_of_col
+from fleetscope.functions.timewin import as_of_col, window_rows
 from fleetscope.operators.health import round_half_up
+from fleetscope.operators.latest import latest_per_key
 
 MODEL_VERSION = "1.0"
 # Failure types in tie-break order.
@@ -39,7 +40,8 @@ def failure_type(temp: Column, throttle: Column, dbe: Column, sbe: Column, brake
     return (F.when(mem == top, "memory").when(th == top, "thermal").when(pw == top, "power").otherwise("other"))
 
 
-def predictions_from_p30(df: DataFrame, p30: Column, model_name: str, confidence: float, as_of: Column) -> DataFrame:
+def predictions_from_p30(df: DataFrame, p30: Column, model_name: str, confidence: float, as_of: Column,
+                         importance: dict[str, float] | None = None) -> DataFrame:
     temp, thr = _f("gpu_temp_mean", 70.0), _f("thermal_throttle_count", 0)
     dbe, sbe, brake = _f("ecc_dbe_event_count", 0), _f("ecc_sbe_event_count", 0), _f("power_brake_count", 0)
     d = df.withColumn("_p30", p30)
@@ -53,27 +55,27 @@ def predictions_from_p30(df: DataFrame, p30: Column, model_name: str, confidence
         F.when(p > 0.1, F.floor(F.lit(30.0) / p)).otherwise(F.lit(365)).cast("int").alias("estimated_ttf_days"),
         F.lit(model_name).alias("model_name"), F.lit(MODEL_VERSION).alias("model_version"),
         F.lit(confidence).alias("confidence"),
-        F.lit(None).cast("map<string,double>").alias("feature_importance"),
+        (F.create_map(*[F.lit(x) for kv in importance.items() for x in kv]) if importance
+         else F.lit(None).cast("map<string,double>")).alias("feature_importance"),
         as_of.alias("predicted_at"),
     )
 
 
-def latest_features(features: DataFrame, as_of: Column, active_ids: DataFrame | None = None) -> DataFrame:
-    """Latest feature row per device (WIN1), optionally restricted to active devices (FLT4)."""
-    from fleetscope.operators.latest import latest_per_key
-    f = latest_per_key(features.where(F.col("time") <= as_of), "gpu_uuid", "time")
-    return f.join(active_ids, "gpu_uuid", "left_semi") if active_ids is not None else f
+def latest_features(features: DataFrame, as_of: Column, active: str = "24 hours") -> DataFrame:
+    """Latest feature row of each device with one since ``as_of - active`` (WIN1, FLT4)."""
+    return latest_per_key(window_rows(features, as_of, active, strict=False), "gpu_uuid", "time")
 
 
-def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=None) -> DataFrame:
-    """``gpu_failure_predictions`` rows from the latest features of each device.
+def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=None, active: str = "24 hours") -> DataFrame:
+    """``gpu_failure_predictions`` rows from the latest features of each device that has
+    features since ``as_of - active``.
 
     Without a model: the rule score (model ``heuristic``, confidence 0.60). With a
     fitted ``PipelineModel`` from ``train_model``: its class-1 probability (model
     ``gbt_v1``, confidence 0.75), NULL features filled with 0.
     """
     a = as_of_col(features, as_of)
-    f = latest_features(features, a)
+    f = latest_features(features, a, active)
     if model is None:
         p30 = heuristic_p30(_f("gpu_temp_mean", 70.0), _f("thermal_throttle_count", 0), _f("ecc_dbe_event_count", 0),
                             _f("ecc_sbe_event_count", 0), _f("gpu_age_days", 0))
@@ -82,7 +84,17 @@ def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=
     names = feature_names or _model_features(model)
     scored = model.transform(f.fillna(0, subset=names))
     p30 = vector_to_array(F.col("probability"))[1]
-    return predictions_from_p30(scored, p30, "gbt_v1", 0.75, a)
+    return predictions_from_p30(scored, p30, "gbt_v1", 0.75, a, feature_importance(model))
+
+
+def feature_importance(model) -> dict[str, float]:
+    """Importance of each input of a fitted model (PRJ: ``feature_importance`` column)."""
+    return dict(zip(_model_features(model), map(float, model.stages[-1].featureImportances.toArray())))
+
+
+def top_features(importance: dict[str, float], n: int = 10) -> list[tuple[str, float]]:
+    """The ``n`` most important features, largest first (TOP5)."""
+    return sorted(importance.items(), key=lambda x: (-x[1], x[0]))[:n]
 
 
 def weak_label(features: DataFrame) -> Column:

@@ -70,11 +70,10 @@ def group_series(metrics: DataFrame, members: DataFrame, every: str = "10 second
     ``gpu_uuid IN (SELECT ...)`` becomes a join to that small dimension, for every
     group at once.
     """
-    from fleetscope.operators.joins import checked_broadcast
     agg = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[how]
     m = members.select("gpu_uuid", group_col)
     return (metrics.select("gpu_uuid", time_col, value_col)
-                   .join(checked_broadcast(m), "gpu_uuid", "inner")
+                   .join(m, "gpu_uuid", "inner")
                    .groupBy(F.col(group_col), bucket(time_col, every).alias("time"))
                    .agg(agg(value_col).alias(out or f"{how}_{value_col}")))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions.columns import parse_iso_ts, seconds_between
+from fleetscope.functions.columns import parse_iso_ts, round_numeric, seconds_between
 from fleetscope.operators.ingest import EVENT_SCHEMA, iso_text
 
 # Required keys and sections, and the numeric bounds of the rules.
@@ -175,7 +175,8 @@ def dead_letters(checked: DataFrame, now: Column | None = None, value_col: str =
 
 
 def error_breakdown(checked: DataFrame) -> DataFrame:
-    """Error counts by type (text before ``:``) plus valid/invalid totals (VAL7).
+    """Error counts by type (text before ``:``) plus valid/invalid totals with their
+    percentage of all events (VAL7): totals first, then error types, most frequent first.
 
     One pass: each event emits its error types and one ``__valid__`` /
     ``__invalid__`` tag, and a single partial aggregation counts them.
@@ -183,7 +184,16 @@ def error_breakdown(checked: DataFrame) -> DataFrame:
     types = F.transform("errors", lambda e: F.split_part(e, F.lit(":"), F.lit(1)))
     tag = F.array(F.when(F.col("is_valid"), F.lit("__valid__")).otherwise(F.lit("__invalid__")))
     return (checked.select(F.explode(F.concat(types, tag)).alias("error_type"))
-            .groupBy("error_type").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+            .transform(_with_percentages))
+
+
+def _with_percentages(counts: DataFrame) -> DataFrame:
+    """A row per error type and tag: few rows, so the total is a scalar subquery over them."""
+    tag = F.col("error_type").startswith("__")
+    total = counts.where(tag).agg(F.sum("n")).scalar()
+    return (counts.withColumn("pct", F.when(tag, round_numeric(F.col("n") / total * 100.0, 1)))
+                  .orderBy((~tag).cast("int"), F.col("n").desc(), "error_type"))
 
 
 def quality_flags(events: DataFrame, now: Column, time_col: str = "time") -> DataFrame:

@@ -3,10 +3,12 @@ economics, alerts, with their DuckDB oracles (driver windows, see DRIVER_PARAMS)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import as_of_col
-from fleetscope.operators import anomaly, economics, features, health, ordered, predict
+from fleetscope.operators import alerts, anomaly, economics, features, health, ordered, predict
 from fleetscope.plans.catalog import DRIVER_PARAMS as P
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
@@ -341,7 +343,7 @@ fp AS (SELECT *, least(
       + CASE WHEN coalesce(thermal_throttle_count, 0) > 20 THEN 0.4 ELSE 0.0 END AS s_th,
     CASE WHEN coalesce(power_brake_count, 0) > 10 THEN 0.5 ELSE 0.0 END AS s_pw
   FROM features),
-predictions AS (
+predictions AS (  -- devices whose features are older than the active span get none
   SELECT time, gpu_uuid, {r('p30 * 0.25', 4)} AS failure_prob_7d, {r('p30', 4)} AS failure_prob_30d,
     {r('least(p30 * 2.5, 0.99)', 4)} AS failure_prob_90d,
     CASE WHEN s_mem = greatest(greatest(s_mem, s_th, s_pw), CASE WHEN greatest(s_mem, s_th, s_pw) < 0.1 THEN 1.0 ELSE 0.0 END) THEN 'memory'
@@ -349,18 +351,21 @@ predictions AS (
          WHEN s_pw = greatest(greatest(s_mem, s_th, s_pw), CASE WHEN greatest(s_mem, s_th, s_pw) < 0.1 THEN 1.0 ELSE 0.0 END) THEN 'power'
          ELSE 'other' END AS predicted_failure_type,
     CAST(CASE WHEN p30 > 0.1 THEN floor(30.0 / p30) ELSE 365 END AS INTEGER) AS estimated_ttf_days,
-    'heuristic' AS model_name, '1.0' AS model_version, 0.6::DOUBLE AS confidence, time AS predicted_at
-  FROM fp)"""
+    'heuristic' AS model_name, '1.0' AS model_version, 0.6::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS feature_importance, time AS predicted_at
+  FROM fp JOIN (SELECT gpu_uuid, max(time) AS last_sample FROM fw GROUP BY 1) USING (gpu_uuid)
+  WHERE last_sample >= time - INTERVAL '{P['active']}')"""
 
 
 def _predictions(spark, sf):
-    t, a, f = _features(spark, sf)
-    return t, a, predict.predict_failures(f, a)
+    t = load_fleet(spark, sf)
+    a = as_of_col(t["metrics"])
+    f = features.gpu_features(t["metrics"], t["assets"], a, f"{LB} days", trend_bucket="1 day", stamp_last=True)
+    return t, a, predict.predict_failures(f, a, active=P["active"])
 
 
 @register("ana04_failure_predictions", sql("SELECT * FROM predictions", PREDICT_CTE))
 def ana04_failure_predictions(spark, sf):
-    return _predictions(spark, sf)[2].drop("feature_importance")
+    return _predictions(spark, sf)[2].withColumn("feature_importance", F.to_json("feature_importance"))
 
 
 # ---------------------------------------------------------------- economics
@@ -409,42 +414,112 @@ decisions AS (
     {r('salvage_value', 2)} AS salvage_value, {r('top', 2)} AS expected_value,
     {r('CASE WHEN ranked[1] > 0 THEN least(0.95, 0.5 + (ranked[1] - ranked[2]) / ranked[1] * 0.5) ELSE 0.5 END', 2)}
       AS confidence,
-    h AS health_score, p30 AS failure_prob_30d, util AS utilization, o.as_of AS analyzed_at
-  FROM er, as_of o)"""
+    h AS health_score, p30 AS failure_prob_30d, util AS utilization, o.as_of AS analyzed_at,
+    printf('%.1f', {r('h', 1)}) AS h1, printf('%.1f', {r('p30 * 100.0', 1)}) || '%' AS p1,
+    printf('%.0f', {r('npv_keep', 0)}) AS k0, printf('%.0f', {r('npv_sell', 0)}) AS s0
+  FROM er, as_of o),
+rationales AS (
+  SELECT * EXCLUDE (h1, p1, k0, s0), CASE decision
+    WHEN 'keep' THEN 'Recommended to KEEP: Health score ' || h1 || '/100 is good, failure risk ' || p1
+      || ' is acceptable, NPV of continued operation ($' || k0 || ') exceeds resale value ($' || s0 || ').'
+    WHEN 'sell' THEN 'Recommended to SELL: Current market value ($' || s0 || ') exceeds future operating value ($' || k0
+      || '). Health score ' || h1 || '/100, failure risk ' || p1 || '.'
+    WHEN 'repurpose' THEN 'Recommended to REPURPOSE: Health score ' || h1
+      || '/100 too low for training, but suitable for inference workloads. Failure risk ' || p1 || '.'
+    ELSE 'Recommended to DECOMMISSION: Health score ' || h1 || '/100 critical, failure risk ' || p1
+      || ' too high. Salvage for parts.' END AS rationale
+  FROM decisions)"""
     return ctes
 
 
 ECON_CTES = _econ_sql()
 
 
-@register("ana05_economic_decisions", sql(rnd("SELECT * FROM decisions", ["utilization"]), ECON_CTES))
-def ana05_economic_decisions(spark, sf):
-    t, a, h = _health(spark, sf)
+def _decisions(spark, sf):
+    """Decisions from a score history of two weekly runs: devices that only the older
+    run scored are present in it and get no decision."""
+    t = load_fleet(spark, sf)
+    m = t["metrics"]
+    a = as_of_col(m)
+    h = health.score_history(m, a, 2, 7, LB, P["active"], P["gap_seconds"], P["sample_seconds"], bucket="1 day")
     _, _, p = _predictions(spark, sf)
-    d = economics.economic_decisions(h, p, t["assets"], t["metrics"], a, "30 days")
-    return finish(d.drop("rationale"))
+    return t, economics.economic_decisions(h, p, t["assets"], m, a, "30 days", P["active"])
+
 
+@register("ana05_economic_decisions", sql(rnd("SELECT * FROM rationales", ["utilization"]), ECON_CTES))
+def ana05_economic_decisions(spark, sf):
+    return finish(_decisions(spark, sf)[1])
 
-@register("prj22_decision_rationale", None, note="Java and C format %.Nf differently at decimal ties")
+
+@register("prj22_decision_rationale", sql("SELECT gpu_uuid, decision, rationale FROM rationales", ECON_CTES))
 def prj22_decision_rationale(spark, sf):
-    t, a, h = _health(spark, sf)
-    _, _, p = _predictions(spark, sf)
-    return economics.economic_decisions(h, p, t["assets"], t["metrics"], a, "30 days") \
-                    .select("gpu_uuid", "decision", "rationale")
+    return _decisions(spark, sf)[1].select("gpu_uuid", "decision", "rationale")
 
 
 # ---------------------------------------------------------------- alerts
-@register("ana06_low_health_alerts", sql("""
-SELECT time, gpu_uuid, overall_score, health_grade FROM health WHERE overall_score < 70""", HEALTH_CTE))
+ALERT_LIST = """
+SELECT h.gpu_uuid, a.model, a.hostname, h.overall_score, h.health_grade, h.degradation_factors, h.time AS scored_at
+FROM health h LEFT JOIN gpu_assets a ON h.gpu_uuid = a.gpu_uuid WHERE h.overall_score < {threshold}
+ORDER BY h.overall_score, h.gpu_uuid"""
+
+
+@register("ana06_low_health_alerts", sql(ALERT_LIST.format(threshold=70), HEALTH_CTE))
 def ana06_low_health_alerts(spark, sf):
-    from fleetscope.operators import alerts
+    """The alert list (ANA6, TOP3): every device below 70, worst first."""
+    t, a, h = _health(spark, sf)
+    return _as_json(alerts.low_health(h, t["assets"], a, threshold=70.0))
+
+
+@register("jon02_scores_below_85_with_assets", sql(ALERT_LIST.format(threshold=85), HEALTH_CTE))
+def jon02_scores_below_85_with_assets(spark, sf):
+    """The same list with a higher threshold, which healthy fleets reach too (JON2)."""
     t, a, h = _health(spark, sf)
-    return alerts.low_health(h, a, threshold=70.0)
+    return _as_json(alerts.low_health(h, t["assets"], a, threshold=85.0))
 
 
-@register("top03_lowest_scores", sql("""
+@register("top06_lowest_20_scores", sql("""
 SELECT gpu_uuid, overall_score, health_grade FROM health ORDER BY overall_score ASC, gpu_uuid LIMIT 20""",
-                                     HEALTH_CTE))
-def top03_lowest_scores(spark, sf):
+                                        HEALTH_CTE))
+def top06_lowest_20_scores(spark, sf):
+    """The 20 lowest scores: the limit is the report's feature."""
     t, a, h = _health(spark, sf)
     return h.select("gpu_uuid", "overall_score", "health_grade").orderBy("overall_score", "gpu_uuid").limit(20)
+
+
+@register("flt06_unacknowledged_by_severity", sql(rnd("""
+SELECT gpu_uuid, anomaly_type, value, z_score, severity, time FROM anomalies
+WHERE severity = 'medium' ORDER BY time DESC, gpu_uuid, anomaly_type LIMIT 10""", ["value"]), ANOMALY_CTE))
+def flt06_unacknowledged_by_severity(spark, sf):
+    """The newest ten unacknowledged anomalies of a severity; the data hold few high ones."""
+    m, a, an = _anoms(spark, sf)
+    return finish(anomaly.unacknowledged_high(an, a, "10 minutes", 10, severity="medium"))
+
+
+# ---------------------------------------------------------------- score history
+def _health_run(k: int) -> str:
+    """HEALTH_CTE of the run ``k`` weeks earlier, active within a week, under names of its own."""
+    text = HEALTH_CTE.replace(f"INTERVAL '{P['active']}' AND time <= as_of", "INTERVAL '7 days' AND time <= as_of")
+    text = re.sub(r"\bas_of (a|o)\b", rf"as_of_{k} \1", text)
+    text = text.replace("gpu_metrics, as_of\n", f"gpu_metrics, as_of_{k}\n")
+    for name in ("hw", "hact", "hg", "hr", "hht", "hs", "hd", "health"):
+        text = re.sub(rf"\b{name}\b(?!_)", f"{name}_{k}", text)
+    return f"as_of_{k} AS (SELECT as_of - INTERVAL '{7 * k} days' AS as_of FROM as_of),{text}"
+
+
+HISTORY_CTES = ",\n".join(_health_run(k) for k in range(4)) + ",\nhistory AS (" + " UNION ALL ".join(
+    f"SELECT time, gpu_uuid, overall_score FROM health_{k}" for k in range(4)) + ")"
+
+
+@register("jon14_weekly_score_deltas", sql(rnd("""
+SELECT time, gpu_uuid, overall_score,
+  overall_score - last_value(overall_score) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAY PRECEDING) AS score_delta_7d,
+  overall_score - last_value(overall_score) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 30 DAY PRECEDING) AS score_delta_30d,
+  CASE WHEN count(*) OVER (w RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) > 1 THEN
+    regr_slope(overall_score, epoch(time) / 86400.0) OVER (w RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) END AS degradation_rate
+FROM history WINDOW w AS (PARTITION BY gpu_uuid ORDER BY time)""",
+    ["overall_score", "score_delta_7d", "score_delta_30d", "degradation_rate"]), HISTORY_CTES))
+def jon14_weekly_score_deltas(spark, sf):
+    """Four weekly scoring runs from one pass, then deltas and rate per device."""
+    m = load_fleet(spark, sf)["metrics"]
+    h = health.score_history(m, as_of_col(m), 4, 7, LB, "7 days", P["gap_seconds"], P["sample_seconds"], bucket="1 day")
+    return finish(health.score_deltas(h.select("time", "gpu_uuid", "overall_score")))

@@ -97,11 +97,11 @@ def flt05_throttle_or_dbe_rows(spark, sf):
 
 
 @register("top04_recent_critical_health", sql("""
-SELECT * FROM health, as_of o WHERE time > o.as_of - INTERVAL '30 minutes' AND overall_score < 50
+SELECT * FROM health, as_of o WHERE time >= o.as_of - INTERVAL '30 minutes' AND overall_score < 85
 ORDER BY time DESC, gpu_uuid LIMIT 10""".replace("SELECT *", "SELECT health.*"), HEALTH_CTE))
 def top04_recent_critical_health(spark, sf):
     t, a, h = _health(spark, sf)
-    return alerts.recent_critical_health(h, a, "30 minutes", 50.0, 10) \
+    return alerts.recent_critical_health(h, a, "30 minutes", 85.0, 10) \
                  .withColumn("degradation_factors", F.to_json("degradation_factors"))
 
 
@@ -226,31 +226,13 @@ def ana11_outcome_backtest(spark, sf):
     t = load_fleet(spark, sf)
     m = t["metrics"]
     bt = as_of_col(m) - F.make_interval(days=F.lit(BACKTEST_DAYS))
-    f = features.gpu_features(m, t["assets"], bt, f"{P['lookback_days']} days", trend_bucket="1 day")
-    preds = predict.predict_failures(f, bt)
+    f = features.gpu_features(m, t["assets"], bt, f"{P['lookback_days']} days", trend_bucket="1 day", stamp_last=True)
+    preds = predict.predict_failures(f, bt, active=P["active"])
     fails = m.where(F.col("ecc_dbe_volatile") > 0).groupBy("gpu_uuid") \
              .agg(F.to_date(F.min("time")).alias("failure_date"))
     return design.outcome_confusion(preds, fails, 30, 0.5)
 
 
-@register("jon14_weekly_score_deltas", None,
-          note="rows-only: score history of four weekly scoring runs; exactness is tested against brute force")
-def jon14_weekly_score_deltas(spark, sf):
-    """Score history from weekly scoring runs (as_of, -7 d, -14 d, -21 d), then
-    ``score_deltas`` fills delta_7d / delta_30d / degradation_rate per row."""
-    from fleetscope.operators import health
-    t = load_fleet(spark, sf)
-    m = t["metrics"]
-    a = as_of_col(m)
-    runs = None
-    for wk in range(4):
-        at = a - F.make_interval(days=F.lit(7 * wk))
-        h = health.health_scores(m, at, P["lookback_days"], "7 days", P["gap_seconds"], P["sample_seconds"],
-                                 gap_bucket="1 day").select("time", "gpu_uuid", "overall_score")
-        runs = h if runs is None else runs.unionByName(h)
-    return finish(health.score_deltas(runs.drop("score_delta_7d", "score_delta_30d", "degradation_rate")))
-
-
 @register("snk10_rollup_refresh_5min", sql(rnd("""
 WITH b AS (SELECT as_of - INTERVAL '30 days' AS lo, as_of - INTERVAL '30 seconds' AS hi FROM as_of)
 SELECT time_bucket(INTERVAL '5 minutes', m.time) AS time, m.gpu_uuid, m.hostname,

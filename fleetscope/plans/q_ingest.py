@@ -14,25 +14,23 @@ MODEL_SQL = ("CASE WHEN device_index % 2 = 0 THEN 'NVIDIA A100-SXM4-80GB' "
              "ELSE 'NVIDIA H100-SXM5-80GB' END")
 
 
+# series name -> SQL of the value that the parser must return
+SERIES_SQL = {name: f"CAST({c.replace(' div ', ' // ')} AS DOUBLE)" for name, c in ingest.EXPOSITION_SERIES}
+SERIES_COLS = [name.lower() for name in SERIES_SQL]
+
+
 @register("src01_exposition_parse", sql(rnd(f"""
-SELECT gpu_uuid, make_timestamp((epoch_us(time) // 1000) * 1000) AS time, {MODEL_SQL} AS model,
-  CAST(device_index AS INTEGER) AS device_index,
-  gpu_temp, power_usage, CAST(throttle_reasons AS DOUBLE) AS throttle_reasons,
-  CAST(ecc_dbe_volatile AS DOUBLE) AS ecc_dbe_volatile, sm_active, CAST(sm_clock_mhz AS DOUBLE) AS sm_clock_mhz,
-  8 AS series
-FROM gpu_metrics""", ["gpu_temp", "power_usage", "sm_active"])))
+SELECT gpu_uuid, time, {MODEL_SQL} AS model, CAST(device_index AS INTEGER) AS device_index,
+  {', '.join(f'{c} AS {name.lower()}' for name, c in SERIES_SQL.items())}, {len(SERIES_SQL)} AS series
+FROM gpu_metrics""", SERIES_COLS)))
 def src01_exposition_parse(spark, sf):
+    """Every other sample is rendered without the optional timestamp."""
     m = load_fleet(spark, sf)["metrics"]
-    lines = ingest.exposition_lines(m, device_model(F.col("device_index")))
+    lines = ingest.exposition_lines(m, device_model(F.col("device_index")), stamped=F.unix_micros("time") % 2 == 0)
     p = ingest.parse_exposition(lines)
     mm = F.col("metrics")
-    return finish(p.select(
-        "gpu_uuid", "time", "model", "device_index",
-        mm["DCGM_FI_DEV_GPU_TEMP"].alias("gpu_temp"), mm["DCGM_FI_DEV_POWER_USAGE"].alias("power_usage"),
-        mm["DCGM_FI_DEV_CLOCK_THROTTLE_REASONS"].alias("throttle_reasons"),
-        mm["DCGM_FI_DEV_ECC_DBE_VOL_TOTAL"].alias("ecc_dbe_volatile"),
-        mm["DCGM_FI_PROF_SM_ACTIVE"].alias("sm_active"), mm["DCGM_FI_DEV_SM_CLOCK"].alias("sm_clock_mhz"),
-        F.size(F.map_keys(mm)).alias("series")))
+    return finish(p.select("gpu_uuid", "time", "model", "device_index",
+                           *[mm[name].alias(name.lower()) for name in SERIES_SQL], F.size(F.map_keys(mm)).alias("series")))
 
 
 @register("prj03_build_events", sql(rnd(f"""
@@ -97,9 +95,10 @@ def val05_validation_errors(spark, sf):
 
 
 @register("val07_error_breakdown", sql("""
-SELECT split_part(e, ':', 1) AS error_type, count(*) AS n FROM (SELECT unnest(errors) AS e FROM verr) GROUP BY 1
-UNION ALL SELECT '__valid__', count(*) FROM verr WHERE len(errors) = 0
-UNION ALL SELECT '__invalid__', count(*) FROM verr WHERE len(errors) > 0""", VALIDATION_CTE))
+SELECT split_part(e, ':', 1) AS error_type, count(*) AS n, CAST(NULL AS DOUBLE) AS pct
+FROM (SELECT unnest(errors) AS e FROM verr) GROUP BY 1
+UNION ALL SELECT CASE WHEN len(errors) = 0 THEN '__valid__' ELSE '__invalid__' END, count(*),
+  CAST(round(CAST(count(*) / (SELECT count(*) FROM verr) * 100.0 AS DECIMAL(28,10)), 1) AS DOUBLE) FROM verr GROUP BY 1""", VALIDATION_CTE))
 def val07_error_breakdown(spark, sf):
     t, c = _checked(spark, sf)
     return validate.error_breakdown(c)

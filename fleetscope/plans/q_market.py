@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import as_of_col
-from fleetscope.operators import economics, forecast, market
+from fleetscope.operators import forecast, market
 from fleetscope.plans.catalog import DRIVER_PARAMS as P
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
-from fleetscope.plans.q_analytics import ECON_CTES, HEALTH_CTE, _health, _predictions
-from fleetscope.sources.driver import load_fleet, price_texts_from_parts, read_table
+from fleetscope.plans.q_analytics import ECON_CTES, HEALTH_CTE, _decisions, _health
+from fleetscope.sources.driver import load_fleet, page_model, price_texts_from_parts, read_table
 
 # Sanity bounds applied to the part-brand "models" of the stand-in pages.
 STANDIN_BOUNDS = (5000.0, 25000.0)
@@ -23,7 +23,7 @@ def _pages(spark, sf):
 def _fallback(spark, sf):
     """Fallback rows per (brand, condition), derived from the part list."""
     part = read_table(spark, sf, "part")
-    g = part.groupBy(F.col("p_brand").alias("model")).agg(
+    g = part.groupBy(page_model().alias("model")).agg(
         (F.min("p_retailprice") * 8.0).alias("low"), (F.max("p_retailprice") * 8.0).alias("high"),
         (F.avg("p_retailprice") * 8.0).alias("mid"), (F.avg("p_retailprice") * 20.0).alias("original_cost_usd"))
     return g.select("model", F.explode(F.array(F.lit("used_good"), F.lit("used_fair"))).alias("condition"),
@@ -32,7 +32,7 @@ def _fallback(spark, sf):
 
 PAGES_CTE = r"""
 pg AS (
-  SELECT p_partkey AS page_id, p_brand AS model,
+  SELECT p_partkey AS page_id, {MODEL} AS model,
     CASE WHEN p_partkey % 2 = 0 THEN 'used_good' ELSE 'used_fair' END AS condition,
     CAST(floor(p_retailprice * 10.0) AS BIGINT) AS lo, CAST(floor(p_retailprice * 14.0) AS BIGINT) AS hi,
     TIMESTAMP '2024-01-31 00:00:00' + to_minutes(CAST(p_partkey AS INTEGER)) AS fetched_at,
@@ -40,18 +40,21 @@ pg AS (
   FROM part),
 pt AS (
   SELECT *, CASE WHEN p_partkey % 7 = 6 THEN p_name || ' Listed at $' || format('{:,}', lo) || ' today.'
+            WHEN p_partkey % 11 = 5 THEN p_name || ' Secondary market $' || format('{:,}', hi) || '-$' || format('{:,}', hi + lo)
+              || ' Used (good) $' || format('{:,}', lo) || '-$' || format('{:,}', hi)
             ELSE p_name || ' Used market Secondary range: $' || format('{:,}', lo)
                  || CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '–' ELSE '—' END
                  || '$' || format('{:,}', hi) || ' per unit' END AS txt
   FROM pg),
 px AS (
-  SELECT *, coalesce(nullif(regexp_extract(txt, '(?s)[Ss]econdary.*?(\$[\d,]+\s*[-–—]\s*\$[\d,]+)', 1), ''),
-                     nullif(regexp_extract(txt, '(?s)[Uu]sed.*?(\$[\d,]+\s*[-–—]\s*\$[\d,]+)', 1), '')) AS sec
+  SELECT *, nullif(regexp_extract(txt, '(?s)[Ss]econdary.*?(\$[\d,]+\s*[-–—]\s*\$[\d,]+)', 1), '') AS sec,
+    nullif(regexp_extract(txt, '(?s)[Uu]sed.*?(\$[\d,]+\s*[-–—]\s*\$[\d,]+)', 1), '') AS usd
   FROM pt),
-pr AS (
-  SELECT *, coalesce(sec, txt) AS src,
-    regexp_extract(coalesce(sec, txt), '\$[\d,]+\s*[-–—]\s*\$[\d,]+', 0) AS rng
-  FROM px),
+ps AS (  -- the rule of each model: sections in order, then any price, or nothing
+  SELECT *, CASE model WHEN 'NVIDIA A100-SXM4-80GB' THEN coalesce(usd, txt)
+                       WHEN 'NVIDIA H100-SXM5-80GB' THEN coalesce(sec, usd, '')
+                       ELSE coalesce(sec, usd, txt) END AS src FROM px),
+pr AS (SELECT *, regexp_extract(src, '\$[\d,]+\s*[-–—]\s*\$[\d,]+', 0) AS rng FROM ps),
 prices AS (
   SELECT page_id, model, condition, fetched_at, original_cost_usd,
     CASE WHEN rng <> '' THEN TRY_CAST(regexp_replace(regexp_extract(rng, '(\$[\d,]+)', 1), '[$,]', '', 'g') AS DOUBLE)
@@ -62,12 +65,12 @@ prices AS (
 pm AS (SELECT *, CASE WHEN low IS NULL THEN NULL WHEN low = high THEN low
                       ELSE CAST(round(CAST((low + high) / 2.0 AS DECIMAL(38,12)), 2) AS DOUBLE) END AS mid FROM prices),
 fb AS (
-  SELECT p_brand AS model, c.condition, min(p_retailprice) * 8.0 AS f_low, max(p_retailprice) * 8.0 AS f_high,
+  SELECT {MODEL} AS model, c.condition, min(p_retailprice) * 8.0 AS f_low, max(p_retailprice) * 8.0 AS f_high,
     avg(p_retailprice) * 8.0 AS f_mid, avg(p_retailprice) * 20.0 AS f_orig
   FROM part, (VALUES ('used_good'), ('used_fair')) c(condition) GROUP BY 1, 2),
 mp AS (
   SELECT pm.fetched_at, pm.model, pm.condition,
-    (pm.low IS NOT NULL AND pm.low BETWEEN 5000.0 AND 25000.0 AND pm.high BETWEEN 5000.0 AND 25000.0) AS ok,
+    (pm.low IS NOT NULL AND least(pm.low, pm.high) >= {LOW} AND greatest(pm.low, pm.high) <= {HIGH}) AS ok,
     pm.low, pm.high, pm.mid, pm.original_cost_usd, fb.f_low, fb.f_high, fb.f_mid, fb.f_orig
   FROM pm LEFT JOIN fb ON pm.model = fb.model AND pm.condition = fb.condition),
 market_prices AS (
@@ -76,6 +79,10 @@ market_prices AS (
     CASE WHEN ok THEN mid ELSE f_mid END AS price_mid_usd, coalesce(f_orig, original_cost_usd) AS original_cost_usd,
     CASE WHEN ok THEN 'web_scrape' WHEN f_low IS NOT NULL THEN 'fallback' END AS source
   FROM mp WHERE ok OR f_low IS NOT NULL)"""
+PAGES_CTE = (PAGES_CTE.replace("{MODEL}", """CASE WHEN p_partkey % 5 = 1 THEN 'NVIDIA A100-SXM4-80GB'
+    WHEN p_partkey % 5 = 3 THEN 'NVIDIA H100-SXM5-80GB' ELSE p_brand END""")
+             .replace("{LOW}", "CASE pm.model WHEN 'NVIDIA A100-SXM4-80GB' THEN 1000.0 WHEN 'NVIDIA H100-SXM5-80GB' THEN 5000.0 ELSE 5000.0 END")
+             .replace("{HIGH}", "CASE pm.model WHEN 'NVIDIA A100-SXM4-80GB' THEN 50000.0 WHEN 'NVIDIA H100-SXM5-80GB' THEN 100000.0 ELSE 25000.0 END"))
 
 
 @register("src06_price_extraction", sql("SELECT page_id, model, condition, low, high, mid FROM pm", PAGES_CTE))
@@ -108,12 +115,6 @@ def ana09_latest_used_prices(spark, sf):
     return finish(market.latest_prices(_market_prices(spark, sf), "used_good"))
 
 
-def _decisions(spark, sf):
-    t, a, h = _health(spark, sf)
-    _, _, p = _predictions(spark, sf)
-    return t, h, economics.economic_decisions(h, p, t["assets"], t["metrics"], a, "30 days")
-
-
 @register("agg13_decision_summary", sql("""
 SELECT decision, count(*) AS n,
   CAST(round(CAST(avg(health_score) AS DECIMAL(28,10)), 1) AS DOUBLE) AS avg_health,
@@ -121,7 +122,7 @@ SELECT decision, count(*) AS n,
   CAST(round(CAST(avg(npv_keep) AS DECIMAL(28,10)), 0) AS DOUBLE) AS avg_keep
 FROM decisions GROUP BY decision ORDER BY n DESC, decision""", ECON_CTES))
 def agg13_decision_summary(spark, sf):
-    return market.decision_summary(_decisions(spark, sf)[2])
+    return market.decision_summary(_decisions(spark, sf)[1])
 
 
 @register("agg14_model_breakdown", sql("""
@@ -135,7 +136,8 @@ SELECT a.model, count(*) AS total,
 FROM gpu_assets a JOIN decisions d ON a.gpu_uuid = d.gpu_uuid JOIN health h ON a.gpu_uuid = h.gpu_uuid
 GROUP BY a.model ORDER BY a.model""", ECON_CTES))
 def agg14_model_breakdown(spark, sf):
-    t, h, d = _decisions(spark, sf)
+    t, d = _decisions(spark, sf)
+    h = _health(spark, sf)[2]
     return market.model_breakdown(d, h, t["assets"])
 
 

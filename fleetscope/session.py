@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,8 +18,6 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
-    # top-k per device up to 10,000 rows is planned as a partial limit before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # duplicate keys in parsed label maps: last one wins, as in a Python dict
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
@@ -74,12 +73,16 @@ def find_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (local tests) do we create one of our
-    own, so lineage cuts always land in storage every executor can reach.
+    Only a local session (driver and executors in one process, as in tests) may leave
+    it unset; a folder of its own is then made. On a cluster an unset folder is an
+    error: executors would write to disks that no other machine can read.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="fleetscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

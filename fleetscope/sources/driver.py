@@ -26,27 +26,9 @@ FB_TOTAL_MIB = 81920
 MIB = 1048576
 
 
-def ensure_parallel(df: DataFrame) -> DataFrame:
-    """Spread an under-split scan over the cluster's cores.
-
-    A table stored as one parquet row group is read by one task. When a scan
-    yields fewer partitions than ``defaultParallelism`` it is round-robin
-    repartitioned (not by key, so a hot device cannot skew it); a table of many
-    files, as at scale, already has enough splits and is left untouched.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. a Spark Connect session): leave the scan as is
-        return df
-    return df.repartition(target) if parts < target else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
-    """One driver table; ``parallel`` spreads an under-split fact table over the cores
-    (dimension tables are tiny and stay as read)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallel(df) if parallel else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pci_bus(index: Column) -> Column:
@@ -148,12 +130,20 @@ def datacenter_mapping(assets: DataFrame) -> DataFrame:
     )
 
 
+def page_model() -> Column:
+    """Model that a part's price page is about: two fifths of the pages quote the models
+    that have rules and bounds of their own, the others the part's brand."""
+    pk = F.col("p_partkey")
+    return F.when(pk % 5 == 1, MODEL_A100_80).when(pk % 5 == 3, MODEL_H100_80).otherwise(F.col("p_brand"))
+
+
 def price_texts_from_parts(part: DataFrame) -> DataFrame:
     """Price-page texts built from the part list (the driver ``pages`` hold no prices).
 
     Each part yields a small HTML page quoting a used-market range; the dash style
-    cycles through hyphen / en dash / em dash, and every seventh page quotes a
-    single figure, so every branch of the extractor runs.
+    cycles through hyphen / en dash / em dash, every seventh page quotes a single
+    figure and every eleventh a secondary and a used range, so every branch of the
+    extractor and of the models' rules runs.
     """
     pk = F.col("p_partkey")
     lo = F.floor(F.col("p_retailprice") * F.lit(10.0)).cast("long")
@@ -162,11 +152,13 @@ def price_texts_from_parts(part: DataFrame) -> DataFrame:
     money = lambda c: F.format_number(c, 0)  # noqa: E731  '12,345' style with thousands commas
     body = F.when(pk % 7 == 6,
                   F.concat(F.lit("<p>Listed at $"), money(lo), F.lit(" today.</p>")))\
+            .when(pk % 11 == 5, F.concat(F.lit("<div><p>Secondary market $"), money(hi), F.lit("-$"), money(hi + lo),
+                                         F.lit("</p><p>Used (good) $"), money(lo), F.lit("-$"), money(hi), F.lit("</p></div>")))\
             .otherwise(F.concat(F.lit("<div><h2>Used market</h2><p>Secondary range: $"), money(lo),
                                 dash, F.lit("$"), money(hi), F.lit(" per unit</p></div>")))
     return part.select(
         pk.alias("page_id"),
-        F.col("p_brand").alias("model"),
+        page_model().alias("model"),
         F.when(pk % 2 == 0, "used_good").otherwise("used_fair").alias("condition"),
         F.concat(F.lit("<html><body>"), F.col("p_name"), body, F.lit("</body></html>")).alias("html"),
         (F.lit(DEPLOY_ANCHOR).cast("timestamp") + F.make_interval(mins=pk.cast("int"))).alias("fetched_at"),
@@ -176,7 +168,7 @@ def price_texts_from_parts(part: DataFrame) -> DataFrame:
 
 def load_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The fleet tables an operator needs, as lazily-projected DataFrames."""
-    events = read_table(spark, sf_dir, "events", parallel=True)
+    events = read_table(spark, sf_dir, "events")
     supplier = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
