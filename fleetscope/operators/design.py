@@ -3,19 +3,21 @@ rolling and smoothing windows, gap lists, spike detection, interpolation,
 distributions, risk scores, fleet averages and outcome tracking
 (WIN6-WIN14, AGG33-AGG37, JON12, JON13, JON15, ANA10, ANA11).
 
-Windows never partition by device alone: row-based neighbours come from the
-skew-safe row index plus an equi-join on (device, index +- k), whose key is
-unique; range windows replicate a halo of the previous ``window`` into each
-time bucket, so each window partition is bounded by rate x (bucket + window).
+Windows over raw rows never partition by device alone: row-based neighbours come
+from windows over (device, bucket) joined up at the buckets' edge rows; range windows
+replicate a halo of the previous ``window`` into each time bucket, so each group is
+bounded by rate x (bucket + window).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import window_rows
-from fleetscope.operators.ordered import with_row_index
+from fleetscope.operators.ordered import with_neighbours
 
 # 5-point quadratic (Savitzky-Golay) weights and divisor.
 SAVGOL_WEIGHTS = [-3, 12, 17, 12, -3]
@@ -24,44 +26,105 @@ SAVGOL_NORM = 35.0
 RISK_LEVELS = [(25, "low"), (50, "medium"), (75, "high"), (100, "critical")]
 
 
-def neighbours(df: DataFrame, value_col: str, offsets, key: str = "gpu_uuid", time_col: str = "time",
-               bucket: str = "1 hour") -> DataFrame:
-    """Attach ``value_col`` of the rows ``offsets`` positions away (lag < 0 < lead).
-
-    Each offset is an equi-join on (device, row_index + k): the key is unique,
-    so a hot device spreads over all partitions instead of one window task.
-    """
-    idx = with_row_index(df.select(key, time_col, value_col), key, time_col, bucket)
-    out = idx
-    for k in offsets:
-        name = f"_{'m' if k < 0 else 'p'}{abs(k)}"
-        shifted = idx.select(key, (F.col("row_index") - k).alias("row_index"), F.col(value_col).alias(name))
-        out = out.join(shifted, [key, "row_index"], "left")
-    return out
-
-
-def moving_average(df: DataFrame, value_col: str, n: int = 3, **kw) -> DataFrame:
+def moving_average(df: DataFrame, value_col: str, n: int = 3, key: str = "gpu_uuid", time_col: str = "time",
+                   bucket: str = "1 hour") -> DataFrame:
     """Mean of the current and previous ``n - 1`` samples; the first ``n - 1`` rows are dropped (WIN10)."""
-    offs = list(range(-(n - 1), 0))
-    d = neighbours(df, value_col, offs, **kw)
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], n - 1, 0, key, time_col, bucket)
     total = F.col(value_col)
-    for k in offs:
-        total = total + F.col(f"_m{abs(k)}")
-    return (d.where(F.col("row_index") >= n - 1)
-             .select(kw.get("key", "gpu_uuid"), kw.get("time_col", "time"), "row_index",
-                     (total / float(n)).alias("moving_avg")))
+    for k in range(n - 1, 0, -1):
+        total = total + F.col(f"{value_col}_m{k}")
+    return d.where(F.col("row_index") >= n - 1).select(key, time_col, "row_index", (total / float(n)).alias("moving_avg"))
 
 
-def savgol5(df: DataFrame, value_col: str, **kw) -> DataFrame:
+def savgol5(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time", bucket: str = "1 hour") -> DataFrame:
     """5-point quadratic smoothing; edge rows (missing neighbours) are NULL (WIN12)."""
-    d = neighbours(df, value_col, [-2, -1, 1, 2], **kw)
-    cols = ["_m2", "_m1", value_col, "_p1", "_p2"]
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 2, key, time_col, bucket)
+    cols = [f"{value_col}_m2", f"{value_col}_m1", value_col, f"{value_col}_p1", f"{value_col}_p2"]
     s = None
     for w, c in zip(SAVGOL_WEIGHTS, cols):
         term = F.col(c) * float(w)
         s = term if s is None else s + term
-    return d.select(kw.get("key", "gpu_uuid"), kw.get("time_col", "time"), "row_index",
-                    (s / SAVGOL_NORM).alias("smoothed"))
+    return d.select(key, time_col, "row_index", (s / SAVGOL_NORM).alias("smoothed"))
+
+
+def second_derivative(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time", bucket: str = "1 hour") -> DataFrame:
+    """Change of the change between successive samples: x[i] - 2 x[i-1] + x[i-2] (AGG36)."""
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 0, key, time_col, bucket)
+    second = F.col(value_col) - 2.0 * F.col(f"{value_col}_m1") + F.col(f"{value_col}_m2")
+    return d.select(key, time_col, "row_index", second.alias("second_derivative"))
+
+
+def _window_extreme(x: np.ndarray, lo: np.ndarray, better) -> np.ndarray:
+    """``better`` of x[lo[i] .. i] for each i, from tables over runs of 2, 4, 8, ... values."""
+    size = np.arange(len(x)) - lo + 1
+    level = np.floor(np.log2(size)).astype(int)
+    out, table, width = np.empty_like(x), x.copy(), 1
+    for k in range(int(level.max()) + 1 if len(x) else 0):
+        at = np.flatnonzero(level == k)  # two runs of length 2**k cover the window
+        out[at] = better(table[at - width + 1], table[lo[at]])
+        grown = table.copy()  # table[i]: best of the run that ends (and, shifted, begins) there
+        if len(x) > width:
+            grown[:-width] = better(table[:-width], table[width:])
+        table, width = grown, width * 2
+    return out
+
+
+def _rolling(key: str, time_col: str, value_col: str, window_us: int):
+    """Arrow batches sorted by (key, bucket, time) -> rows with their window's statistics.
+
+    Vectorised over all groups of a batch: prefix sums of centred values give mean and
+    deviation, run tables the extremes. A group that goes on in the next batch is carried over.
+    """
+    def stats(t: pa.Table) -> pa.Table:
+        us, group = t.column("_s").to_numpy(), t.column("_g").to_numpy()
+        x = t.column(value_col).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        which = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
+        base = us.min()
+        span = int(us.max() - base) + window_us + 1
+        line = which * span + (us - base)  # one ascending axis for all groups
+        lo = np.maximum(np.searchsorted(line, line - window_us, "left"), start[which])
+        hi = np.searchsorted(line, line, "right")  # peers with the same time count too
+        ok = ~np.isnan(x)
+        filled = np.where(ok, x, 0.0)
+        centre = (np.add.reduceat(filled, start) / np.maximum(np.add.reduceat(ok.astype(np.int64), start), 1))[which]
+        c = np.where(ok, x - centre, 0.0)
+        total = lambda v: np.concatenate([[0], np.cumsum(v)])
+        n, s, q = total(ok), total(c), total(c * c)
+        n, s, q = n[hi] - n[lo], s[hi] - s[lo], q[hi] - q[lo]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(n > 0, centre + s / n, np.nan)
+            std = np.where(n > 1, np.sqrt(np.maximum(q - s * s / n, 0) / (n - 1)), np.nan)
+        last = hi - 1
+        big = _window_extreme(np.where(ok, x, -np.inf), lo, np.maximum)
+        small = _window_extreme(np.where(ok, x, np.inf), lo, np.minimum)
+        # rows with equal times share the window that ends at the last of them
+        same = last != np.arange(len(last))
+        if same.any():
+            both = np.arange(len(last))[same]
+            big[both] = [np.where(ok[a:z], x[a:z], -np.inf).max() for a, z in zip(lo[both], hi[both])]
+            small[both] = [np.where(ok[a:z], x[a:z], np.inf).min() for a, z in zip(lo[both], hi[both])]
+        flat = np.where(big == small, 0.0, std)
+        std = np.where(n > 1, flat, np.nan)
+        nulled = lambda v: pa.array(v, pa.float64(), mask=~np.isfinite(v))
+        home = t.column("_home").to_numpy() == t.column("_b").to_numpy()
+        out = pa.table({key: t.column(key), time_col: t.column(time_col), value_col: t.column(value_col), "roll_mean": nulled(mean),
+                        "roll_std": nulled(std), "roll_max": nulled(big), "roll_min": nulled(small), "roll_n": pa.array(n, pa.int64())})
+        return out.filter(pa.array(home))
+
+    def run(batches):
+        carry = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if carry is None else pa.concat_tables([carry, t])
+            group = t.column("_g").to_numpy()
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if len(group) and (group != group[-1]).any() else 0
+            carry = t.slice(cut)
+            if cut:
+                yield from stats(t.slice(0, cut)).to_batches()
+        if carry is not None and carry.num_rows:
+            yield from stats(carry).to_batches()
+    return run
 
 
 def rolling_stats(df: DataFrame, value_col: str, window_seconds: int, key: str = "gpu_uuid",
@@ -70,8 +133,8 @@ def rolling_stats(df: DataFrame, value_col: str, window_seconds: int, key: str =
 
     Rows are assigned to fixed time buckets; each row is also copied as a halo
     into every later bucket whose rows can see it (t within ``window`` of the
-    bucket start). The range window then runs per (device, bucket) and halo
-    rows are dropped from the output — exact, and bounded per partition.
+    bucket start). One shuffle by (device, bucket), then prefix sums within each
+    group: exact, linear in the rows, and bounded per group by rate x (bucket + window).
     """
     b = (bucket_seconds or max(86400, window_seconds)) * 1_000_000
     wu = window_seconds * 1_000_000
@@ -79,13 +142,11 @@ def rolling_stats(df: DataFrame, value_col: str, window_seconds: int, key: str =
     home = F.floor(us / b).cast("long")
     last_b = F.floor((us + wu) / b).cast("long")
     d = df.select(key, time_col, value_col, us.alias("_s"), home.alias("_home"),
-                  F.explode(F.sequence(home, last_b)).alias("_b"))
-    w = Window.partitionBy(key, "_b").orderBy("_s").rangeBetween(-wu, 0)
-    return (d.select(key, time_col, value_col, "_home", "_b",
-                     F.avg(value_col).over(w).alias("roll_mean"), F.stddev_samp(value_col).over(w).alias("roll_std"),
-                     F.max(value_col).over(w).alias("roll_max"), F.min(value_col).over(w).alias("roll_min"),
-                     F.count(value_col).over(w).alias("roll_n"))
-             .where(F.col("_home") == F.col("_b")).drop("_home", "_b"))
+                  F.explode(F.sequence(home, last_b)).alias("_b")).withColumn("_g", F.xxhash64(key, "_b"))
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    schema = (f"{key} {kinds[key]}, {time_col} {kinds[time_col]}, {value_col} {kinds[value_col]}, roll_mean double, roll_std double, "
+              "roll_max double, roll_min double, roll_n long")
+    return d.repartition(key, "_b").sortWithinPartitions("_g", "_s").mapInArrow(_rolling(key, time_col, value_col, wu), schema)
 
 
 def sustained_condition(df: DataFrame, value_col: str, threshold: float, window_seconds: int = 300,
@@ -111,14 +172,12 @@ def largest_gaps(df: DataFrame, n: int = 10, key: str = "gpu_uuid", time_col: st
                  bucket: str = "1 hour") -> DataFrame:
     """``lead(time) - time`` per device, largest first, top ``n`` (WIN7).
 
-    The next sample comes from the row index (equi-join on index + 1); the
-    last sample of a device has a NULL gap, ordered last as in the SQL.
+    The last sample of a device has a NULL gap, ordered last as in the SQL.
     """
-    idx = with_row_index(df.select(key, time_col), key, time_col, bucket)
-    nxt = idx.select(key, (F.col("row_index") - 1).alias("row_index"), F.col(time_col).alias("_next"))
-    g = idx.join(nxt, [key, "row_index"], "left")
-    gap = (F.unix_micros("_next") - F.unix_micros(time_col)) / 1e6
-    return (g.select(key, time_col, F.col("_next").alias("next_time"), gap.alias("gap_seconds"))
+    g = with_neighbours(df.select(key, time_col), [time_col], 0, 1, key, time_col, bucket)
+    nxt = F.col(f"{time_col}_p1")
+    gap = (F.unix_micros(nxt) - F.unix_micros(time_col)) / 1e6
+    return (g.select(key, time_col, nxt.alias("next_time"), gap.alias("gap_seconds"))
              .orderBy(F.col("gap_seconds").desc_nulls_last(), key, time_col).limit(n))
 
 
@@ -141,10 +200,11 @@ def interpolate_grid(df: DataFrame, value_col: str, every_seconds: int = 3600, k
                        .alias("time"))
     g = grid.join(r, [key, "time"], "left").withColumn("_s", F.unix_seconds("time"))
     wb = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    wf = Window.partitionBy(key).orderBy("_s").rowsBetween(0, Window.unboundedFollowing)
+    # the next value: the last one seen when going backwards, so that no frame is re-read per row
+    wf = Window.partitionBy(key).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*",
                  F.last(F.when(F.col("value").isNotNull(), F.struct("_s", "value")), True).over(wb).alias("_prev"),
-                 F.first(F.when(F.col("value").isNotNull(), F.struct("_s", "value")), True).over(wf).alias("_next"))
+                 F.last(F.when(F.col("value").isNotNull(), F.struct("_s", "value")), True).over(wf).alias("_next"))
     frac = F.try_divide((F.col("_s") - F.col("_prev._s")).cast("double"),
                         (F.col("_next._s") - F.col("_prev._s")).cast("double"))
     interp = F.col("_prev.value") + (F.col("_next.value") - F.col("_prev.value")) * F.coalesce(frac, F.lit(0.0))

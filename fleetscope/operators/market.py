@@ -53,21 +53,21 @@ def parse_range(text: Column) -> Column:
             .when(one.isNotNull(), F.struct(one.alias("low"), one.alias("high"), one.alias("mid"))))
 
 
-def _page_price(text: Column, sections, anywhere: bool) -> Column:
-    """The price of the first section pattern that matches; else, if ``anywhere``, the first price."""
+def _price_source(text: Column, sections, anywhere: bool) -> Column:
+    """The text to read a price from: the first section that matches; else, if ``anywhere``, the page."""
     picks = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in sections]
-    hits = [F.when(p.isNotNull(), parse_range(p)) for p in picks]
-    return F.coalesce(*hits, *([parse_range(text)] if anywhere else []))
+    return F.coalesce(*picks, text if anywhere else F.lit(None).cast("string"))
 
 
 def extract_prices(pages: DataFrame, html_col: str = "html", model_col: str = "model") -> DataFrame:
     """Add ``price`` (low, high, mid) from a page by its model's rule in ``PRICE_RULES`` (SRC6);
     models without one take ``DEFAULT_RULE``."""
     d = pages.withColumn("_text", page_text(F.col(html_col)))
-    price = _page_price(F.col("_text"), *DEFAULT_RULE)
+    source = _price_source(F.col("_text"), *DEFAULT_RULE)
     for model, rule in PRICE_RULES.items():
-        price = F.when(F.col(model_col) == model, _page_price(F.col("_text"), *rule)).otherwise(price)
-    return d.withColumn("price", price).drop("_text")
+        source = F.when(F.col(model_col) == model, _price_source(F.col("_text"), *rule)).otherwise(source)
+    d = d.withColumn("_source", source)
+    return d.withColumn("price", parse_range(F.col("_source"))).drop("_text", "_source")
 
 
 def _bounds(model: Column, default=(None, None)) -> tuple[Column, Column]:

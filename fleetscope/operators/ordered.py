@@ -40,6 +40,38 @@ def gap_counts(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time",
                  .select(key, (F.coalesce("_g_in", F.lit(0)) + F.coalesce("_g_x", F.lit(0))).alias("gap_count")))
 
 
+def with_neighbours(df: DataFrame, cols, back: int = 0, ahead: int = 0, key: str = "gpu_uuid", time_col: str = "time",
+                    bucket: str = DEFAULT_BUCKET) -> DataFrame:
+    """Each row with its 0-based ``row_index`` and the values of ``cols`` in the ``back``
+    previous (``_m1``, ``_m2``, ...) and ``ahead`` following (``_p1``, ...) rows of its key.
+
+    Neighbour columns are ``<col>_m1`` and so on. One shuffle by (key, bucket) gives the
+    neighbours inside a bucket. The first and last few rows of each bucket
+    take the others from a window over those edge rows alone, a fixed number per
+    bucket, which also holds the running row count; the remaining rows get that count
+    by a join on (key, bucket), the partitioning they already have.
+    """
+    d = _bucketed(df, key, time_col, bucket)
+    w = Window.partitionBy(key, "_b").orderBy(time_col)
+    shifts = [(f"{c}_m{k}", c, k) for c in cols for k in range(1, back + 1)] + [
+        (f"{c}_p{k}", c, -k) for c in cols for k in range(1, ahead + 1)]
+    d = d.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(key, "_b")),
+                       **{name: F.lag(c, k).over(w) for name, c, k in shifts}})
+    reach = max(1, back, ahead)  # a head row looks back to the tail rows of the bucket before, and so on
+    first, last = F.col("_rn") <= reach, F.col("_rn") > F.col("_n") - reach
+    across = Window.partitionBy(key).orderBy("_b", "_rn")
+    run = F.sum(F.when(F.col("_rn") == 1, F.col("_n")).otherwise(0)).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    edges = d.where(first | last).withColumns({"_off": run - F.col("_n"), **{
+        f"{name}__x": F.lag(c, k).over(across) for name, c, k in shifts}})
+    # a neighbour outside the bucket exists only where the bucket has too few rows on that side
+    inside = lambda k: (F.col("_rn") > k) if k > 0 else (F.col("_rn") <= F.col("_n") + k)
+    edges = edges.withColumns({name: F.when(inside(k), F.col(name)).otherwise(F.col(f"{name}__x")) for name, _, k in shifts})
+    offsets = edges.where("_rn = 1").select(key, "_b", "_off")
+    rest = d.where(~(first | last)).join(offsets, [key, "_b"])
+    out = [*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias("row_index"), *[name for name, _, _ in shifts]]
+    return edges.select(*out).unionByName(rest.select(*out))
+
+
 def with_row_index(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time",
                    bucket: str = DEFAULT_BUCKET, out: str = "row_index") -> DataFrame:
     """0-based position of each row in its key's time order (WIN5).
