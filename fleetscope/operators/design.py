@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import window_rows
 from fleetscope.operators.ordered import with_neighbours
+from fleetscope.operators.rollups import bucket_percentile
 
 # 5-point quadratic (Savitzky-Golay) weights and divisor.
 SAVGOL_WEIGHTS = [-3, 12, 17, 12, -3]
@@ -249,6 +250,33 @@ def grade_distribution(scores: DataFrame, col: str = "health_grade") -> DataFram
     return scores.groupBy(col).agg(F.count(F.lit(1)).alias("devices"))
 
 
+def hourly_fleet_kw(metrics: DataFrame, every: str = "1 hour") -> DataFrame:
+    """Mean power per device and bucket, summed over the fleet, in kW (AGG33)."""
+    per = metrics.groupBy(F.window("time", every).start.alias("time"), "gpu_uuid").agg(F.avg("power_usage").alias("_w"))
+    return per.groupBy("time").agg((F.sum("_w") / 1000.0).alias("fleet_kw"), F.count(F.lit(1)).alias("gpus"))
+
+
+def under_sampled(metrics: DataFrame, every: str = "1 minute", least: int = 5) -> DataFrame:
+    """(device, bucket) pairs with fewer than ``least`` samples (AGG33)."""
+    return (metrics.groupBy("gpu_uuid", F.window("time", every).start.alias("time")).agg(F.count(F.lit(1)).alias("samples"))
+            .where(F.col("samples") < least))
+
+
+def above_quantile(metrics: DataFrame, value_col: str = "gpu_temp", every: str = "1 day", p: float = 0.99) -> DataFrame:
+    """Rows above the exact fleet quantile of their bucket (FLT11)."""
+    q = bucket_percentile(metrics, every, value_col, p).select(F.col("time").alias("_t"), F.col("value").alias("limit"))
+    d = metrics.withColumn("_t", F.window("time", every).start)
+    return d.join(q, "_t").where(F.col(value_col) > F.col("limit")).select("time", "gpu_uuid", value_col, "limit")
+
+
+def valuation_totals(decisions: DataFrame, as_of: Column, metrics: DataFrame, window: str = "24 hours") -> DataFrame:
+    """Fleet valuation totals and the ECC errors of the window (AGG37)."""
+    ecc = window_rows(metrics, as_of, window).agg(F.sum("ecc_sbe_volatile").alias("sbe"), F.sum("ecc_dbe_volatile").alias("dbe"))
+    return decisions.agg(F.count(F.lit(1)).alias("gpus"), F.sum("npv_keep").alias("total_npv_keep"), F.sum("npv_sell").alias("total_npv_sell"),
+                         F.sum("expected_value").alias("total_expected_value")).select(
+        "*", ecc.select("sbe").scalar().alias("ecc_sbe_24h"), ecc.select("dbe").scalar().alias("ecc_dbe_24h"))
+
+
 def throttle_leaderboard(metrics: DataFrame, as_of: Column, window: str = "24 hours") -> DataFrame:
     """Throttle events per device, most first (AGG33)."""
     return (window_rows(metrics, as_of, window, ahead=True).groupBy("gpu_uuid")
@@ -274,10 +302,11 @@ def successive_change(metrics: DataFrame, value_col: str = "ecc_sbe_aggregate")
 
 
 def power_util_profile(metrics: DataFrame) -> DataFrame:
-    """Correlation of power and utilisation plus approximate percentiles (AGG36).
+    """Correlation of power and utilisation plus percentiles of the temperature (AGG36).
 
-    Percentiles use the mergeable sketch (bounded memory per device); the exact
-    ``percentile`` would buffer a hot device's whole history in one task.
+    Percentiles use the mergeable sketch (bounded memory per device, rank error 1 / 10,000:
+    exact up to 10,000 samples); the exact ``percentile`` would buffer a hot device's
+    whole history in one task.
     """
     return metrics.groupBy("gpu_uuid").agg(
         F.corr("power_usage", "sm_active").alias("power_util_corr"),

@@ -54,10 +54,11 @@ def components_long(latest_scores: DataFrame, baseline: float = 85.0) -> DataFra
 
 
 def replicate_to(df: DataFrame, target_rows: int, current_rows: int) -> DataFrame:
-    """Repeat rows ``ceil(target / current)`` times (SET5), as the trainer pads small sets.
+    """Repeat rows ``ceil(target / current)`` times (SET5), as the trainer pads small sets,
+    with ``copy_no`` from 1.
 
     ``current_rows`` is the known size of ``df`` (the caller's count of a small
     training frame); each row is expanded by a generator, no self-join.
     """
     k = max(1, -(-target_rows // max(1, current_rows)))
-    return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_copy")).drop("_copy")
+    return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("copy_no"))

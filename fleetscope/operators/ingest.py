@@ -211,11 +211,3 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
                      lambda e: F.struct(e["metric"], e["value"]))).alias("metrics"))
             .select("gpu_uuid", "time", F.col("_first.model").alias("model"),
                     F.col("_first.device_index").alias("device_index"), "metrics"))
-
-
-def raw_event_json(events: DataFrame, received_at: Column | None = None) -> DataFrame:
-    """Nested events as JSON text (the topic's ``value``), keyed by device."""
-    cols = [F.col("gpu_uuid").alias("key"), F.to_json(F.col("e")).alias("value")]
-    if received_at is not None:
-        cols.append(received_at.alias("received_at"))
-    return events.select(*cols)

@@ -15,6 +15,7 @@ LEVELS = {
     "1min": ("1 minute", False),
     "5min": ("5 minutes", True),
     "1hour": ("1 hour", True),
+    "1day": ("1 day", True),
 }
 
 

@@ -1,18 +1,22 @@
 """Table maintenance on date-partitioned parquet tables (SRC3, SRC7, SNK2-SNK11).
 
-Writes use dynamic partition overwrite, so every operation rewrites only the
-``date`` partitions its rows touch; existing rows are read back through a
-partition filter (pruned), never the whole table. ``MERGE INTO`` needs a v2
-table format that this install lacks; these are its plain-parquet equivalents.
+Every operation evaluates its input once, into a staging folder beside the table, and
+rewrites only the partitions its rows concern. New partition folders are prepared
+aside and exchanged by renames; a swap that was cut short is undone or finished by
+the next operation (``recover``). ``MERGE INTO`` needs a v2 table format that this
+install lacks; these are its plain-parquet equivalents. One writer per table at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import date_bounds
-from fleetscope.session import cut_lineage
+from fleetscope.session import checkpoint_dir
 
 PART_COL = "date"
 
@@ -25,10 +29,40 @@ def with_date(df: DataFrame, time_col: str = "time") -> DataFrame:
     return df if PART_COL in df.columns else df.withColumn(PART_COL, F.to_date(F.col(time_col)))
 
 
+class Files:
+    """The few file-system calls that table maintenance needs, on any Hadoop path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._path(path))] if self.exists(path) else []
+
+    def newest(self, path: str, skip: str) -> int:
+        """Latest change (ms) of a folder's files, one name left out; 0 if there are none."""
+        return max([x.getModificationTime() for x in self._fs.listStatus(self._path(path)) if x.getPath().getName() != skip], default=0)
+
+    def changed(self, path: str) -> int:
+        return self._fs.getFileStatus(self._path(path)).getModificationTime()
+
+    def move(self, old: str, new: str) -> None:
+        self._fs.mkdirs(self._path(new).getParent())
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"cannot rename {old} to {new}")
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def touch(self, path: str) -> None:
+        self._fs.create(self._path(path), True).close()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return Files(spark, path).exists(path)
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -59,109 +93,174 @@ def read_range(spark: SparkSession, path: str, start=None, end=None, time_col: s
     return df.select(*cols) if cols else df
 
 
-def _touched(df: DataFrame, path: str, time_col: str | None = None) -> DataFrame:
-    """Existing rows of the partitions ``df`` touches (dynamic partition pruning
-    turns the semi join into a partition filter on the scan).
-
-    With ``time_col`` the read is further bounded to the batch's own time range,
-    resolved as two literals (one small aggregation), so the parquet scan pushes
-    the range down and skips row groups: a 5-second micro-batch reads the stored
-    keys of its few seconds, not the whole day partition.
-    """
+@contextmanager
+def staged(df: DataFrame):
+    """``df`` evaluated once into a folder of the shared checkpoint directory, which goes at the end."""
     spark = df.sparkSession
-    existing = read_or_none(spark, path)
-    if existing is None:
-        return None
-    parts = df.select(PART_COL).distinct()
-    old = existing.join(parts, PART_COL, "left_semi")
-    if time_col is not None and time_col in existing.columns:
-        lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
-        if lo is None:
-            return old.limit(0)
-        old = old.where(F.col(time_col).between(F.lit(lo), F.lit(hi)))
-    return old
+    path = f"{checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        Files(spark, path).delete(path)
+
+
+SWAP = "_swap-"
+MARKER = "_compacted"
 
 
-def _first_per_key(df: DataFrame, keys, order_col: str | None, newest: bool = False) -> DataFrame:
-    if order_col is None:
-        return df.dropDuplicates(list(keys))
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish what an interrupted swap left: old partitions whose successor is not in
+    place go back, everything else of the swap goes."""
+    files = Files(spark, path)
+    for swap in [n for n in files.names(path) if n.startswith(SWAP)]:
+        for part in files.names(f"{path}/{swap}/old"):
+            if not files.exists(f"{path}/{part}"):
+                files.move(f"{path}/{swap}/old/{part}", f"{path}/{part}")
+        files.delete(f"{path}/{swap}")
+
+
+def _replace_partitions(rows: DataFrame, path: str, part_col: str | None, gone=(), mark: str | None = None) -> None:
+    """Exchange the partitions of ``rows`` (and drop those of ``gone`` that it has no rows for).
+
+    The new folders are complete before the first rename; each partition is then moved
+    aside and replaced, and the old folders go last. Without ``part_col`` the data files
+    of the whole table are one such unit.
+    """
+    spark = rows.sparkSession
+    files, swap = Files(spark, path), f"{path.rstrip('/')}/{SWAP}{uuid.uuid4().hex}"
+    if part_col is None:
+        rows.write.parquet(f"{swap}/new")
+        old = [n for n in files.names(path) if not n.startswith("_")]
+        for n in old:
+            files.move(f"{path}/{n}", f"{swap}/old/{n}")
+        for n in files.names(f"{swap}/new"):
+            if not n.startswith("_"):
+                files.move(f"{swap}/new/{n}", f"{path}/{n}")
+        files.delete(swap)
+        return
+    rows.write.partitionBy(part_col).parquet(f"{swap}/new")
+    new = [n for n in files.names(f"{swap}/new") if n.startswith(f"{part_col}=")]
+    for part in dict.fromkeys([*new, *(f"{part_col}={g}" for g in gone)]):
+        if files.exists(f"{path}/{part}"):
+            files.move(f"{path}/{part}", f"{swap}/old/{part}")
+        if part in new:
+            files.move(f"{swap}/new/{part}", f"{path}/{part}")
+            if mark:
+                files.touch(f"{path}/{part}/{mark}")
+    files.delete(swap)
+
+
+def first_per_key(df: DataFrame, keys, order_col: str, newest: bool = False) -> DataFrame:
+    """One row per key: the first (or newest) by ``order_col``."""
     o = F.col(order_col).desc() if newest else F.col(order_col).asc()
     w = Window.partitionBy(*keys).orderBy(o)
     return df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
 
 
+def ignore_frame(new: DataFrame, old: DataFrame | None, keys, order_col: str) -> DataFrame:
+    """Rows that INSERT ... ON CONFLICT DO NOTHING inserts (SNK2), without writing."""
+    d = first_per_key(new, keys, order_col)
+    return d if old is None else d.join(old.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def upsert_frame(new: DataFrame, old: DataFrame | None, keys, update_cols=None, updated_at: Column | None = None) -> DataFrame:
+    """Old rows with the new ones merged in (SNK3, SNK4, SNK7), without writing.
+
+    ``new`` has one row per key. New keys insert whole rows; known keys take the new values
+    of ``update_cols`` (all non-key columns when None) and keep the rest.
+    """
+    if old is None:
+        return new if updated_at is None else new.withColumn("updated_at", updated_at)
+    keys = list(keys)
+    update = set(update_cols) if update_cols is not None else {c for c in new.columns if c not in keys}
+    j = old.alias("o").join(new.withColumn("_is_new", F.lit(True)).alias("n"), keys, "full_outer")
+    fresh = F.coalesce(F.col("n._is_new"), F.lit(False))
+    out = [F.col(k) for k in keys]
+    for c in [c for c in old.columns if c not in keys]:
+        if c == "updated_at" and updated_at is not None:
+            out.append(F.when(fresh, updated_at).otherwise(F.col(f"o.{c}")).alias(c))
+        elif c in update and c in new.columns:
+            out.append(F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
+        elif c in new.columns:
+            out.append(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c))
+        else:
+            out.append(F.col(f"o.{c}").alias(c))
+    return j.select(*out)
+
+
 def append(df: DataFrame, path: str, time_col: str = "time") -> None:
     """Plain append (SNK5)."""
     with_date(df, time_col).write.mode("append").partitionBy(PART_COL).parquet(path)
 
 
 def append_ignore(df: DataFrame, path: str, keys, time_col: str = "time", order_col: str | None = None) -> None:
-    """INSERT ... ON CONFLICT DO NOTHING (SNK2, STR4): first row per key wins inside
-    the batch, keys already stored are skipped, so a replayed batch is a no-op."""
-    d = _first_per_key(with_date(df, time_col), keys, order_col)
-    old = _touched(d, path, time_col if time_col in keys else None)
-    if old is not None:
-        d = d.join(old.select(*keys).distinct(), list(keys), "left_anti")
-    d.write.mode("append").partitionBy(PART_COL).parquet(path)
-
+    """INSERT ... ON CONFLICT DO NOTHING (SNK2, STR4): the first row per key wins inside
+    the batch, keys already stored are skipped, so a replayed batch is a no-op.
 
-def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=None,
-           updated_at: Column | None = None, order_col: str | None = None) -> DataFrame:
+    First is the smallest ``order_col``, else the arrival order of the batch, which the
+    staging folder fixes. Stored keys are read from the batch's own dates and, with
+    ``time_col`` among the keys, its own time range, both literals that prune the scan.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    with staged(with_date(df, time_col).withColumn("_arrival", F.monotonically_increasing_id())) as batch:
+        old = read_or_none(spark, path)
+        if old is not None:
+            dates = [r[0] for r in batch.select(PART_COL).distinct().collect()]  # a batch's days
+            old = old.where(F.col(PART_COL).isin(dates))
+            if time_col in keys:
+                lo, hi = batch.agg(F.min(time_col), F.max(time_col)).first()
+                old = old.where(F.col(time_col).between(F.lit(lo), F.lit(hi))) if lo is not None else old.limit(0)
+        fresh = ignore_frame(batch, old, keys, order_col or "_arrival").drop("_arrival")
+        fresh.write.mode("append").partitionBy(PART_COL).parquet(path)
+
+
+def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=None, updated_at: Column | None = None,
+           order_col: str | None = None, part_col: str | None = PART_COL) -> None:
     """INSERT ... ON CONFLICT DO UPDATE (SNK3 full, SNK4 partial, SNK7 ``updated_at``).
 
-    New and stored rows of the touched partitions are combined with a full outer
-    join on the keys: new keys insert whole rows; existing keys take the new
-    values of ``update_cols`` (all non-key columns when None) and keep the rest.
-    The touched partitions are then overwritten. Returns the written frame.
+    ``part_col`` is the table's partition column, None for a plain table such as a
+    dimension. If the keys hold ``time_col``, from which the date derives, a key can only
+    be stored under its own date; otherwise keys are matched over the whole table, and a
+    row whose partition changes leaves the old one. Of several new rows per key the
+    newest by ``order_col`` (else the last to arrive) counts.
     """
-    new = _first_per_key(with_date(df, time_col), keys, order_col, newest=True)
-    old = _touched(new, path)
-    keys = list(keys)
-    if old is None:
-        out = new if updated_at is None else new.withColumn("updated_at", updated_at)
-    else:
-        cols = [c for c in old.columns if c not in keys]
-        upd = set(update_cols) if update_cols is not None else set(c for c in new.columns if c not in keys)
-        n = new.withColumn("_is_new", F.lit(True)).alias("n")
-        o = old.alias("o")
-        j = o.join(n, keys, "full_outer")
-        present_new = F.coalesce(F.col("n._is_new"), F.lit(False))  # this key has a new row
-        sel = [F.col(k) for k in keys]
-        for c in cols:
-            if c == "updated_at" and updated_at is not None:
-                sel.append(F.when(present_new, updated_at).otherwise(F.col(f"o.{c}")).alias(c))
-            elif c in upd and c in new.columns:
-                sel.append(F.when(present_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-            elif c in new.columns:
-                sel.append(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c))
-            else:
-                sel.append(F.col(f"o.{c}").alias(c))
-        # the result reads the partitions it replaces: cut the lineage through a
-        # reliable checkpoint (shared checkpoint dir) before overwriting them
-        out = cut_lineage(j.select(*sel))
-    out.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
-    return out
+    spark = df.sparkSession
+    recover(spark, path)
+    new = with_date(df, time_col) if part_col == PART_COL else df
+    with staged(new.withColumn("_arrival", F.monotonically_increasing_id())) as batch:
+        rows = first_per_key(batch, keys, order_col or "_arrival", newest=True).drop("_arrival")
+        stored = read_or_none(spark, path)
+        if stored is None:
+            _replace_partitions(upsert_frame(rows, None, keys, update_cols, updated_at), path, part_col)
+            return
+        if part_col is None:
+            _replace_partitions(upsert_frame(rows, stored, keys, update_cols, updated_at), path, None)
+            return
+        parts = {r[0] for r in rows.select(part_col).distinct().collect()}
+        if time_col not in keys or part_col != PART_COL:
+            where = stored.join(rows.select(*keys), list(keys), "left_semi").select(part_col).distinct()
+            parts |= {r[0] for r in where.collect()}
+        old = stored.where(F.col(part_col).isin(list(parts)))
+        _replace_partitions(upsert_frame(rows, old, keys, update_cols, updated_at), path, part_col, gone=parts)
 
 
 def delete_where(spark: SparkSession, path: str, predicate: Column) -> None:
     """DELETE ... WHERE (SNK6): partitions holding matches are rewritten without
     them; partitions left empty are removed."""
+    recover(spark, path)
     df = spark.read.parquet(path)
-    hit_parts = [r[0] for r in df.where(predicate).select(PART_COL).distinct().collect()]
-    if not hit_parts:
-        return
-    keep = cut_lineage(df.where(F.col(PART_COL).isin(hit_parts) & ~predicate))
-    kept_parts = {r[0] for r in keep.select(PART_COL).distinct().collect()}
-    keep.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
-    _drop_partitions(spark, path, [p for p in hit_parts if p not in kept_parts])
+    hit = [r[0] for r in df.where(predicate).select(PART_COL).distinct().collect()]
+    if hit:
+        keep = df.where(F.col(PART_COL).isin(hit) & ~F.coalesce(predicate, F.lit(False)))
+        _replace_partitions(keep, path, PART_COL, gone=hit)
 
 
 def _drop_partitions(spark: SparkSession, path: str, dates) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = Files(spark, path)
     for d in dates:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{PART_COL}={d}")
-        p.getFileSystem(conf).delete(p, True)
+        files.delete(f"{path.rstrip('/')}/{PART_COL}={d}")
 
 
 def apply_retention(spark: SparkSession, path: str, days: int, as_of) -> list:
@@ -170,6 +269,7 @@ def apply_retention(spark: SparkSession, path: str, days: int, as_of) -> list:
     Only the list of partition values is read (a distinct over the partition
     column, answered from the directory listing), never the rows.
     """
+    recover(spark, path)
     df = spark.read.parquet(path)
     cutoff = F.date_sub(F.to_date(F.lit(str(as_of)).cast("timestamp")), days)
     old = [r[0] for r in df.select(PART_COL).distinct().where(F.col(PART_COL) < cutoff).collect()]
@@ -178,18 +278,29 @@ def apply_retention(spark: SparkSession, path: str, days: int, as_of) -> list:
 
 
 def compact(spark: SparkSession, path: str, older_than, segment_by=("gpu_uuid", "hostname"),
-            time_col: str = "time") -> None:
+            time_col: str = "time") -> list:
     """Rewrite cold partitions clustered by device, newest first (SNK9), so parquet
-    row-group min/max statistics prune device and time predicates.
+    row-group min/max statistics prune device and time predicates. Returns their dates.
 
-    Range partitioning on (date, device, time) uses sampled boundaries, so a
-    device holding a third of a day's rows is split across several tasks.
+    A compacted partition carries a marker file; it is done again only if a data file
+    is newer than that. Range partitioning on (date, device, time) uses sampled
+    boundaries, so a device holding a third of a day's rows is split across tasks.
     """
+    recover(spark, path)
+    files = Files(spark, path)
     df = spark.read.parquet(path)
-    cold = df.where(F.col(PART_COL) < F.to_date(F.lit(str(older_than)).cast("timestamp")))
-    out = cut_lineage(cold.repartitionByRange(PART_COL, *segment_by, time_col)
-                          .sortWithinPartitions(PART_COL, *segment_by, F.col(time_col).desc()))
-    out.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
+    cold = [r[0] for r in df.where(F.col(PART_COL) < F.to_date(F.lit(str(older_than)).cast("timestamp")))
+            .select(PART_COL).distinct().collect()]
+
+    def due(date) -> bool:
+        part = f"{path.rstrip('/')}/{PART_COL}={date}"
+        return not files.exists(f"{part}/{MARKER}") or files.newest(part, MARKER) > files.changed(f"{part}/{MARKER}")
+    cold = sorted(d for d in cold if due(d))
+    if cold:
+        rows = df.where(F.col(PART_COL).isin(cold))
+        rows = rows.repartitionByRange(PART_COL, *segment_by, time_col)
+        _replace_partitions(rows.sortWithinPartitions(PART_COL, *segment_by, F.col(time_col).desc()), path, PART_COL, mark=MARKER)
+    return cold
 
 
 def refresh_frame(metrics: DataFrame, level: str, as_of, start_offset: str, end_offset: str) -> DataFrame:
@@ -205,30 +316,41 @@ def refresh_frame(metrics: DataFrame, level: str, as_of, start_offset: str, end_
     hi = a - F.expr(f"INTERVAL {end_offset}")
     day_lo = F.to_date(lo).cast("timestamp")
     src = metrics.where((F.col("time") >= day_lo) & (F.col("time") < hi))
-    every = {"1min": 60, "5min": 300, "1hour": 3600}[level]
+    every = {"1min": 60, "5min": 300, "1hour": 3600, "1day": 86400}[level]
     r = rollup_level(src, level)
     return with_date(r.where(F.col("time") + F.make_interval(secs=F.lit(every)) <= hi))
 
 
-def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offset: str, end_offset: str) -> DataFrame:
-    """Continuous-aggregate refresh (SNK10): recompute and overwrite the touched days.
+def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offset: str, end_offset: str) -> None:
+    """Continuous-aggregate refresh (SNK10): recompute and exchange the touched days.
 
-    Dynamic overwrite replaces whole ``date`` partitions, so the refresh
-    recomputes every bucket of each touched day up to the end bound.
+    Whole ``date`` partitions are exchanged, so the refresh recomputes every bucket of
+    each touched day up to the end bound.
     """
     out = refresh_frame(metrics, level, as_of, start_offset, end_offset)
-    out.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
-    return out
-
-
-def acknowledge(spark: SparkSession, path: str, keys_df: DataFrame, by: str, as_of) -> DataFrame:
-    """Mark anomalies acknowledged (SNK11): a partial upsert of three columns."""
-    stored = spark.read.parquet(path).join(keys_df, ["time", "gpu_uuid", "anomaly_type"], "left_semi")
-    upd = stored.withColumn("acknowledged", F.lit(True)) \
-                .withColumn("acknowledged_at", F.lit(str(as_of)).cast("timestamp")) \
-                .withColumn("acknowledged_by", F.lit(by))
-    return upsert(upd.drop(PART_COL), path, ["time", "gpu_uuid", "anomaly_type"],
-                  update_cols=["acknowledged", "acknowledged_at", "acknowledged_by"])
+    recover(out.sparkSession, path)
+    _replace_partitions(out, path, PART_COL)
+
+
+ANOMALY_KEYS = ("time", "gpu_uuid", "anomaly_type")
+
+
+def acknowledge_frame(stored: DataFrame, keys_df: DataFrame, by: str, as_of: Column) -> DataFrame:
+    """``stored`` with the named anomalies marked acknowledged (SNK11), without writing."""
+    named = keys_df.select(*ANOMALY_KEYS).distinct().withColumn("_named", F.lit(True))
+    d = stored.join(named, list(ANOMALY_KEYS), "left")
+    hit = F.col("_named").isNotNull()
+    return d.withColumns({"acknowledged": hit | F.coalesce(F.col("acknowledged"), F.lit(False)),
+                          "acknowledged_at": F.when(hit, as_of).otherwise(F.col("acknowledged_at")),
+                          "acknowledged_by": F.when(hit, F.lit(by)).otherwise(F.col("acknowledged_by"))}).select(*stored.columns)
+
+
+def acknowledge(spark: SparkSession, path: str, keys_df: DataFrame, by: str, as_of) -> None:
+    """Mark anomalies acknowledged (SNK11); only the dates of the named keys are read and rewritten."""
+    recover(spark, path)
+    dates = [r[0] for r in keys_df.select(F.to_date("time")).distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col(PART_COL).isin(dates))
+    _replace_partitions(acknowledge_frame(stored, keys_df, by, F.lit(str(as_of)).cast("timestamp")), path, PART_COL)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_extra")
+_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_extra", "q_tables", "q_more")
 
 
 def load_all():

@@ -140,10 +140,13 @@ def agg35_successive_change(spark, sf):
 
 @register("agg36_power_util_corr", sql(rnd("""
 SELECT gpu_uuid, CASE WHEN count(*) < 2 OR stddev_pop(power_usage) = 0 OR stddev_pop(sm_active) = 0 THEN NULL
-                      ELSE corr(power_usage, sm_active) END AS power_util_corr
-FROM gpu_metrics GROUP BY 1""", ["power_util_corr"])))
+                      ELSE corr(power_usage, sm_active) END AS power_util_corr,
+  quantile_disc(gpu_temp, 0.5) AS temp_p50, quantile_disc(gpu_temp, 0.95) AS temp_p95, quantile_disc(gpu_temp, 0.99) AS temp_p99
+FROM gpu_metrics GROUP BY 1""", ["power_util_corr", "temp_p50", "temp_p95", "temp_p99"])))
 def agg36_power_util_corr(spark, sf):
-    d = design.power_util_profile(_m(spark, sf)).select("gpu_uuid", "power_util_corr")
+    q = F.col("temp_p50_p95_p99")
+    d = design.power_util_profile(_m(spark, sf)).select("gpu_uuid", "power_util_corr", q[0].alias("temp_p50"), q[1].alias("temp_p95"),
+                                                        q[2].alias("temp_p99"))
     return finish(d.withColumn("power_util_corr", F.when(~F.isnan("power_util_corr"), F.col("power_util_corr"))))
 
 

@@ -105,13 +105,19 @@ def val07_error_breakdown(spark, sf):
 
 
 @register("snk01_dead_letters", sql("""
-SELECT key, time, to_json(errors)::VARCHAR AS validation_errors, '1.0' AS validator_version
-FROM verr WHERE len(errors) > 0""", VALIDATION_CTE))
+SELECT key, verr.time, to_json(errors)::VARCHAR AS validation_errors, '1.0' AS validator_version,
+  strftime(verr.time + to_minutes(CAST(vraw.g % 90 - 10 AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp,
+  CASE WHEN vraw.g = 8 THEN '' ELSE key END AS original_uuid,
+  strftime(verr.time, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS original_timestamp
+FROM verr JOIN vraw ON verr.key = vraw.gpu_uuid AND verr.time = vraw.time WHERE len(errors) > 0""", VALIDATION_CTE))
 def snk01_dead_letters(spark, sf):
     t, c = _checked(spark, sf)
     d = validate.dead_letters(c, now=F.col("received_at"))
     return d.select("key", "time", F.to_json(F.col("dead_letter.validation_errors")).alias("validation_errors"),
-                    F.col("dead_letter.validator_version").alias("validator_version"))
+                    F.col("dead_letter.validator_version").alias("validator_version"),
+                    F.col("dead_letter.timestamp").alias("timestamp"),
+                    F.get_json_object("dead_letter.original_event", "$.gpu.gpu_uuid").alias("original_uuid"),
+                    F.get_json_object("dead_letter.original_event", "$.timestamp").alias("original_timestamp"))
 
 
 FLAT_DOUBLES = ["gpu_temp", "memory_temp", "power_usage", "memory_utilization", "sm_active", "sm_occupancy",

@@ -32,7 +32,8 @@ FROM gpu_metrics GROUP BY 1, 2, 3"""
 
 
 for _lvl, (_w, _pm) in rollups.LEVELS.items():
-    _key = {"1min": "agg01_rollup_1min", "5min": "agg02_rollup_5min", "1hour": "agg03_rollup_1hour"}[_lvl]
+    _key = {"1min": "agg01_rollup_1min", "5min": "agg02_rollup_5min", "1hour": "agg03_rollup_1hour",
+            "1day": "agg38_rollup_1day"}[_lvl]
 
     def _mk(level=_lvl):
         def q(spark, sf):

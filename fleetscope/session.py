@@ -87,12 +87,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def cut_lineage(df):
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)

@@ -4,8 +4,8 @@
 The reference's three services joined by topics become one streaming query:
 each micro-batch is validated once (persisted), split into the dead-letter
 and valid outputs, enriched against the asset dimension re-read per batch,
-flattened, and appended with key-level dedup, so a replayed batch after a
-failure writes nothing twice (checkpoint + idempotent sink = exactly-once).
+flattened, and appended with key-level dedup. Dead letters are kept per batch id, so
+a replayed batch after a failure writes nothing twice to either output.
 """
 
 from __future__ import annotations
@@ -40,13 +40,17 @@ def read_raw(spark: SparkSession, source: str, fmt: str = "text", max_files_per_
 
 
 def process_batch(batch: DataFrame, assets: DataFrame, metrics_path: str, dead_letter_path: str,
-                  now=None) -> None:
-    """One micro-batch of the pipeline (validate -> split -> enrich -> flatten -> sink)."""
+                  now=None, epoch_id: int = 0) -> None:
+    """One micro-batch of the pipeline (validate -> split -> enrich -> flatten -> sink).
+
+    Dead letters go to a folder of the batch's own, overwritten when the batch is replayed;
+    stored rows are skipped by key. So a replay changes neither output.
+    """
     now = now if now is not None else F.current_timestamp()
     checked = validate.validate(batch, now=now).persist()
     try:
         validate.dead_letters(checked, now=now).select("dead_letter.*") \
-                .write.mode("append").json(dead_letter_path)
+                .write.mode("overwrite").json(f"{dead_letter_path.rstrip('/')}/batch_id={epoch_id}")
         ok = validate.valid_events(checked, now=now)
         flat = enrich_op.flatten(enrich_op.enrich(ok, assets, now=now))
         tables.append_ignore(flat, metrics_path, ["time", "gpu_uuid"])
@@ -82,13 +86,13 @@ class RefreshingDimension:
 
 def start_ingest(spark: SparkSession, source: str, metrics_path: str, dead_letter_path: str,
                  checkpoint: str, load_assets: Callable[[], DataFrame], fmt: str = "text",
-                 trigger_seconds: int = 5, available_now: bool = False, max_files_per_trigger: int | None = None):
+                 trigger_seconds: int = 5, available_now: bool = False, max_files_per_trigger: int | None = None, now=None):
     """Start the ingest query (STR1, STR3). ``load_assets`` is called per batch; wrap
     it in ``RefreshingDimension`` to re-read the assets at most every 300 s."""
     raw = read_raw(spark, source, fmt, max_files_per_trigger)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(batch, load_assets(), metrics_path, dead_letter_path)
+        process_batch(batch, load_assets(), metrics_path, dead_letter_path, now, epoch_id)
 
     w = raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
@@ -116,9 +120,3 @@ def start_rollup(metrics_stream: DataFrame, path: str, checkpoint: str, every: s
            .option("path", path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
-
-
-def alert_stream(predictions_stream: DataFrame) -> DataFrame:
-    """Typed alert records from a prediction stream (STR10)."""
-    from fleetscope.operators.alerts import alert_events
-    return alert_events(predictions_stream)

@@ -66,7 +66,56 @@ def test_stateful_detector(spark, tmp_path_str):
     q.awaitTermination()
     got = spark.sql("SELECT * FROM anoms").collect()
     assert any(r.value == 99.0 and r.severity == "high" for r in got)
-    os.environ.pop("unused", None)
+
+
+def test_detector_takes_null_only_devices_and_late_chunks(spark, tmp_path_str):
+    from fleetscope.streaming.stateful import running_zscore_anomalies
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=10 * i)
+    rows = [(at(i), "NULLS", None) for i in range(10)] + [(at(i), "G", 60.0 + i % 3) for i in reversed(range(300))]
+    rows += [(at(301), "G", 99.0)]
+    src = tmp_path_str + "/n"
+    schema = "time timestamp, gpu_uuid string, gpu_temp double"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(src)
+    q = running_zscore_anomalies(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("anoms2") \
+        .outputMode("append").option("checkpointLocation", tmp_path_str + "/ckn").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.gpu_uuid, r.value) for r in spark.sql("SELECT * FROM anoms2").collect()] == [("G", 99.0)]
+
+
+def test_fold_equals_welford():
+    import numpy as np
+    from fleetscope.streaming.stateful import fold
+    x = np.random.default_rng(0).normal(70, 5, 500)
+    n, mean, m2 = 0, 0.0, 0.0
+    before = []
+    for v in x:
+        before.append((n, mean, m2))
+        n += 1
+        d = v - mean
+        mean += d / n
+        m2 += d * (v - mean)
+    c1, a1, q1, state = fold(x[:200], 0, 0.0, 0.0)
+    c2, a2, q2, end = fold(x[200:], *state)
+    assert np.allclose(np.concatenate([a1, a2])[1:], [b[1] for b in before][1:])
+    assert np.allclose(np.concatenate([q1, q2]), [b[2] for b in before]) and np.allclose(end, (n, mean, m2))
+
+
+def test_start_ingest_with_refreshed_assets_and_replay(spark, tmp_path_str):
+    t = load_fleet(spark, SF_SMALL)
+    src, out, dead = tmp_path_str + "/raw2", tmp_path_str + "/out2", tmp_path_str + "/dead2"
+    raw_event_stream(t["metrics"]).select("value").repartition(3).write.text(src)
+    now = F.lit(dt.datetime(2024, 1, 30, 23, 59, 59))
+    assets = sing.RefreshingDimension(lambda: t["assets"], ttl_seconds=300)
+    q = sing.start_ingest(spark, src, out, dead, tmp_path_str + "/ck2", assets, available_now=True, max_files_per_trigger=1, now=now)
+    q.awaitTermination()
+    assert assets.refreshes == 1 and len({f for f in os.listdir(dead) if f.startswith("batch_id=")}) == 3
+    stored, letters = spark.read.parquet(out).count(), spark.read.json(dead).count()
+    assert stored and letters
+    for i in range(3):  # every batch again, as after a lost commit
+        batch = spark.read.text(src)
+        sing.process_batch(batch, assets(), out, f"{dead}_replay", now=now, epoch_id=0)
+    assert spark.read.parquet(out).count() == stored
+    assert spark.read.json(f"{dead}_replay").count() == letters
 
 
 def test_refreshing_dimension_ttl(spark):

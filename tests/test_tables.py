@@ -55,7 +55,8 @@ def test_refresh_rollup_complete_buckets(spark, tmp_path_str):
                                     "memory_temp double, power_usage double, sm_active double, "
                                     "memory_utilization double, ecc_sbe_volatile int, ecc_dbe_volatile int")
     as_of = T0 + dt.timedelta(seconds=10 * 999)
-    out = tables.refresh_rollup(m, tmp_path_str + "/r5", "5min", as_of, "30 days", "1 minute")
+    tables.refresh_rollup(m, tmp_path_str + "/r5", "5min", as_of, "30 days", "1 minute")
+    out = spark.read.parquet(tmp_path_str + "/r5")
     assert out.agg(F.sum("sample_count")).first()[0] <= 1000
     assert out.count() == int((10 * 999 - 60) // 300)  # only buckets closed before as_of - 1 min
 
@@ -65,8 +66,9 @@ def test_compact_preserves_rows(spark, tmp_path_str):
     df = frame(spark, n=200).withColumn("hostname", F.lit("h"))
     tables.append(df, p)
     before = sorted(tuple(r) for r in spark.read.parquet(p).select("time", "gpu_uuid", "value").collect())
-    tables.compact(spark, p, "2024-01-04")
+    done = tables.compact(spark, p, "2024-01-04")
     got = spark.read.parquet(p)
+    assert len(done) == 3 and tables.compact(spark, p, "2024-01-04") == []  # marked: not done again
     assert sorted(tuple(r) for r in got.select("time", "gpu_uuid", "value").collect()) == before
 
 
@@ -86,3 +88,58 @@ def test_acknowledge_and_csv_roundtrip(spark, tmp_path_str):
     tables.export_csv(spark.read.parquet(p).drop("date"), out)
     back = tables.import_csv(spark, out, an.schema)
     assert back.count() == 2
+
+
+def test_first_row_of_a_batch_wins(spark, tmp_path_str):
+    p = tmp_path_str + "/f"
+    rows = [(T0, f"G{i % 5}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "time timestamp, gpu_uuid string, value double").coalesce(1)
+    tables.append_ignore(df, p, ["time", "gpu_uuid"])
+    assert sorted(r.value for r in spark.read.parquet(p).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_input_is_evaluated_once(spark, tmp_path_str):
+    p = tmp_path_str + "/once"
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+    base = frame(spark)
+    tables.append(base, p)
+    tables.append_ignore(base.mapInPandas(tick, base.schema), p, ["time", "gpu_uuid"])
+    assert seen.value == 50
+
+
+def test_upsert_moves_a_key_whose_date_changes(spark, tmp_path_str):
+    p = tmp_path_str + "/move"
+    day = lambda d, v: spark.createDataFrame([("G0", dt.datetime(2024, 1, d), v)], "gpu_uuid string, time timestamp, v int")
+    other = spark.createDataFrame([("G1", dt.datetime(2024, 1, 1), 9)], "gpu_uuid string, time timestamp, v int")
+    tables.upsert(day(1, 1).union(other), p, ["gpu_uuid"])
+    tables.upsert(day(2, 2), p, ["gpu_uuid"])
+    assert sorted((r.gpu_uuid, r.v, str(r.date)) for r in spark.read.parquet(p).collect()) == [
+        ("G0", 2, "2024-01-02"), ("G1", 9, "2024-01-01")]
+
+
+def test_dimension_upsert_without_time(spark, tmp_path_str):
+    p = tmp_path_str + "/dim"
+    schema = "gpu_uuid string, model string, rack string, updated_at timestamp"
+    tables.upsert(spark.createDataFrame([("G0", "a", "r0", T0), ("G1", "b", "r1", T0)], schema), p, ["gpu_uuid"], part_col=None)
+    late = T0 + dt.timedelta(days=1)
+    tables.upsert(spark.createDataFrame([("G1", "c", "r9", None), ("G2", "d", "r2", None)], schema), p, ["gpu_uuid"],
+                  update_cols=["rack"], updated_at=F.lit(late), part_col=None)
+    got = sorted(tuple(r) for r in spark.read.parquet(p).collect())
+    assert got == [("G0", "a", "r0", T0), ("G1", "b", "r9", late), ("G2", "d", "r2", late)]
+
+
+def test_interrupted_swap_is_recovered(spark, tmp_path_str):
+    p = tmp_path_str + "/swap"
+    tables.append(frame(spark), p)
+    before = sorted(tuple(r) for r in spark.read.parquet(p).collect())
+    files = tables.Files(spark, p)
+    part = next(n for n in files.names(p) if n.startswith("date="))
+    files.move(f"{p}/{part}", f"{p}/_swap-x/old/{part}")  # the writer died between its two renames
+    tables.recover(spark, p)
+    assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == before
+    assert not [n for n in files.names(p) if n.startswith("_swap")]
