@@ -44,7 +44,8 @@ KINDS = {"number": -1, "name": -2, "unit": -3}
 def tokens(text: Column) -> Column:
     """Lower-cased tokens; names carry a mark in front, units another, numbers start with a digit."""
     units = "|".join(UNITS.split())
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x01\\x02]", " ")
+    # symbols and runs of white space become one space, so that they hide no name or unit
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,;:!?]+", " ")
     t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
     t = F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})", " ")
     # a capitalised word that does not open a sentence
