@@ -222,7 +222,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each component, with all columns: its smallest id, and one row of it."""
+    """One row of each component, with all columns: that of its smallest id.
+
+    Rows that repeat an id and a text count once; other texts under that id stay.
+    """
     found = simhash_components(docs, id_col, text_col, shingle, max_bits)
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi").dropDuplicates([id_col])
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi").dropDuplicates([id_col, text_col])
