@@ -13,13 +13,17 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters on which both libraries' character classes surely agree.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]")
+CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 GPT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The word-end files' split pattern, for the characters above.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -46,7 +50,7 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._fast(spec)
-        if self.fast and self.fast(PROBE).tolist() != self._slow(PROBE).tolist():
+        if self.fast and self.fast([PROBE])[0].tolist() != self._slow(PROBE).tolist():
             self.fast = None
 
     def _slow(self, text: str) -> np.ndarray:
@@ -87,28 +91,50 @@ class Bpe:
         split = r"[^\x00]+\x00" if words else GPT_SPLIT
         core = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=rank, special_tokens={})
         apart = re.compile("|".join(map(re.escape, added))) if added else None
-
-        def run(text: str) -> np.ndarray:
-            if apart and apart.search(text):
-                return self._slow(text)
-            if words:
-                found = WORD_SPLIT.findall(text.lower())
-                if not found:
-                    return np.zeros(0, np.uint32)
-                found.append("")
-                text = "\0".join(found)
-            return ids[core.encode_to_numpy(text, disallowed_special=())]
+        closing = np.zeros(len(ids), bool)
+        closing[[r for key, r in rank.items() if len(key) > 1 and key.endswith(b"\0")]] = True
+
+        def by_text(texts: list[str]) -> list[np.ndarray]:
+            return [ids[core.encode_to_numpy(t, disallowed_special=())] for t in texts]
+
+        def by_word(texts: list[str]) -> list[np.ndarray]:
+            """White space always separates, so each different run between white space is
+            split and merged once; texts are then put together from these."""
+            runs = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+            per_text = np.diff(runs.offsets.to_numpy())
+            coded = runs.flatten().dictionary_encode()
+            run_of, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            pieces = [(r,) if r.isalpha() else WORD_SPLIT.findall(r) for r in different]
+            if not any(pieces):
+                return [np.zeros(0, np.uint32) for _ in texts]
+            tokens = core.encode_to_numpy("\0".join(chain.from_iterable(pieces)) + "\0", disallowed_special=())
+            # a token that closes a piece is its last
+            closed = np.concatenate([[0], np.flatnonzero(closing[tokens]) + 1])
+            n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            end, start = closed[np.cumsum(n)], closed[np.cumsum(n) - n]
+            size = (end - start)[run_of]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            flat = np.repeat(start[run_of] - upto[:-1], size)
+            flat += np.arange(len(flat))
+            return np.split(ids[tokens][flat], upto[np.cumsum(per_text)][:-1])
+
+        def run(texts: list[str]) -> list[np.ndarray]:
+            plain = [i for i, t in enumerate(texts) if not (apart and apart.search(t))]
+            out: list = [None] * len(texts)
+            for i, tokens in zip(plain, (by_word if words else by_text)([texts[i] for i in plain])):
+                out[i] = tokens
+            return [self._slow(t) if x is None else x for t, x in zip(texts, out)]
         return run
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            t = t or ""
-            plain = self.fast is not None and (t.isascii() and "\0" not in t or not UNUSUAL.search(t))
-            if plain and t.isascii():
-                plain = not re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", t)
-            out.append(self.fast(t) if plain else self._slow(t))
-        return out
+        """Ids of each text; the more texts at once, the less is merged twice."""
+        texts = [t or "" for t in texts]
+        plain = [i for i, t in enumerate(texts) if self.fast is not None and not (CONTROL if t.isascii() else UNUSUAL).search(t)]
+        out: list = [None] * len(texts)
+        if plain:
+            for i, tokens in zip(plain, self.fast([texts[i] for i in plain])):
+                out[i] = tokens
+        return [self._slow(t) if x is None else x for t, x in zip(texts, out)]
 
 
 @lru_cache(maxsize=4)

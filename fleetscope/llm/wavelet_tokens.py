@@ -52,11 +52,17 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], []
         for k in reversed(range(levels)):
-            bit = (now >> now.dtype.type(k) & now.dtype.type(1)).view(now.dtype).astype(bool)
+            bit = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit))
-            low = now[~bit]
+            if not k:  # what the last partition would give is never read
+                zeros.append(len(bit) - int(np.count_nonzero(bit)))
+                break
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            parted = np.empty_like(now)
+            now.take(low, out=parted[:len(low)], mode="clip")
+            now.take(high, out=parted[len(low):], mode="clip")
+            now = parted
         return cls(planes, zeros, len(ids))
 
     def _bit(self, level: int, i: int) -> int:
@@ -130,14 +136,16 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence: the partitions undone from the lowest plane up."""
-        now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
-        for k in reversed(range(self.levels)):
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        now = np.unpackbits(self.planes[-1], count=self.n).astype(kind)
+        for k in reversed(range(self.levels - 1)):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             out = np.empty_like(now)
-            out[~bit] = now[:self.zeros[k]]
-            out[bit] = now[self.zeros[k]:] | now.dtype.type(1 << (self.levels - 1 - k))
+            now[self.zeros[k]:] |= now.dtype.type(1 << (self.levels - 1 - k))
+            out[np.flatnonzero(~bit)] = now[:self.zeros[k]]
+            out[np.flatnonzero(bit)] = now[self.zeros[k]:]
             now = out
-        return now.astype(np.uint32)
+        return now.astype("<u4")
 
 
 def dump(ids: np.ndarray, doc_ids: list, starts: list[int], levels: int, level: int = 3) -> bytes:
@@ -179,6 +187,8 @@ def _writer(root: str, tokenizer: str, end_id: int, roll_tokens: int):
         filesystem, base = file_system(root)
         end = np.array([end_id], np.uint32)
         shard, seq, held, parts, ids, starts, done = None, 0, 0, [], [], [], []
+        waiting: list[tuple] = []  # (id, text) read but not encoded yet
+        chars = 0
 
         def close():
             nonlocal seq, held, parts, ids, starts
@@ -190,19 +200,28 @@ def _writer(root: str, tokenizer: str, end_id: int, roll_tokens: int):
                 seq += 1
             held, parts, ids, starts = 0, [], [], []
 
-        for b in batches:
-            keys, names = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s, i, text in zip(keys, names, b.column(2).to_pylist()):
-                if s != shard:
-                    close()
-                    shard, seq = s, 0
-                tokens = bpe.encode([text])[0]
+        def take():
+            nonlocal held, waiting, chars
+            for (i, _), tokens in zip(waiting, bpe.encode([t for _, t in waiting])):
                 ids.append(i)
                 starts.append(held)
-                parts += [tokens, end]
+                parts.extend([tokens, end])
                 held += len(tokens) + 1
                 if held >= roll_tokens:
                     close()
+            waiting, chars = [], 0
+
+        for b in batches:
+            for s, i, text in zip(*(c.to_pylist() for c in b.columns)):
+                if s != shard:
+                    take()
+                    close()
+                    shard, seq = s, 0
+                waiting.append((i, text))
+                chars += len(text or "")
+                if chars >= 4 << 20:
+                    take()
+        take()
         close()
         names = [c.split()[0] for c in MANIFEST.split(", ")]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -239,7 +258,7 @@ def read_tokens(spark: SparkSession, root: str, with_ids: bool = False) -> DataF
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 matrix, docs, starts = open_shard(root, name)
-                ids = matrix.decode().astype("<u4")
+                ids = matrix.decode()
                 ends = [*starts[1:], len(ids)]
                 parts = [ids[a:z] for a, z in zip(starts, ends)]
                 columns = [pa.array(docs, pa.int64()), pa.array([base + a for a in starts], pa.int64()),
