@@ -245,6 +245,61 @@ def risk_score(metrics: DataFrame, as_of: Column, window: str = "7 days") -> Dat
     return g.withColumn("risk_score", score).withColumn("risk_level", level)
 
 
+# Fixed values of the three-dimension score: weights of the parts.
+PART_WEIGHTS = {"thermal": 0.35, "memory": 0.45, "power": 0.20}
+
+
+def _percent(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+
+
+def three_part_score(metrics: DataFrame, as_of: Column, window: str = "7 days") -> DataFrame:
+    """Thermal, memory and power score per device and their rounded weighted mean (ANA10)."""
+    g = window_rows(metrics, as_of, window).groupBy("gpu_uuid").agg(
+        F.avg("gpu_temp").alias("t"), F.max("gpu_temp").alias("tx"), F.count_if(F.col("throttle_reasons") > 0).alias("thr"),
+        F.sum("ecc_sbe_volatile").alias("sbe"), F.sum("ecc_dbe_volatile").alias("dbe"), F.stddev_samp("power_usage").alias("pv"))
+    g = g.select("gpu_uuid", "thr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "tx", "sbe", "dbe", "pv")])
+    over = lambda c, limit, factor: F.when(F.col(c) > limit, (F.col(c) - limit) * factor).otherwise(0.0)
+    memory = F.lit(100.0) - F.least(F.lit(50.0), F.col("sbe") / 7.0)
+    parts = {"thermal": _percent(100.0 - over("t", 75.0, 2.0) - over("tx", 85.0, 5.0) - F.col("thr") * 10.0),
+             "memory": _percent(F.when(F.col("dbe") > 0, F.least(memory, F.lit(70.0))).otherwise(memory)),
+             "power": _percent(100.0 - over("pv", 50.0, 0.5))}
+    d = g.select("gpu_uuid", *[c.alias(f"{k}_score") for k, c in parts.items()])
+    total = sum((F.col(f"{k}_score") * w for k, w in PART_WEIGHTS.items()), F.lit(0.0))
+    return d.withColumn("overall", F.bround(total.cast("decimal(38,12)"), 0).cast("int"))
+
+
+# Fixed values of the rule calculator: (price, hourly rate) per model, monthly cost,
+# utilisation by health, shares of price.
+RULE_PRICES = {"NVIDIA H100-SXM5-80GB": (40000.0, 3.50), "NVIDIA A100-SXM4-80GB": (15000.0, 1.50)}
+RULE_MONTHLY_COST = 60.0 + 18.0 + 100.0 + 50.0
+RULE_UTILISATION = ((85, 0.90), (70, 0.75), (50, 0.50))
+RULE_LOWEST_UTILISATION = 0.25
+RULE_HOURS = 730
+
+
+def rule_valuation(scores: DataFrame, assets: DataFrame) -> DataFrame:
+    """Value, monthly profit and recommendation per device of a priced model (ANA10)."""
+    d = scores.select("gpu_uuid", F.col("overall_score").alias("h")).join(
+        assets.select("gpu_uuid", "model").where(F.col("model").isin(list(RULE_PRICES))), "gpu_uuid")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, v in RULE_PRICES.items() for x in (m, v[i])]), F.col("model"))
+    use = F.lit(RULE_LOWEST_UTILISATION)
+    for floor, u in reversed(RULE_UTILISATION):
+        use = F.when(F.col("h") >= floor, u).otherwise(use)
+    d = d.select("gpu_uuid", "model", "h", pick(0).alias("price"), (pick(1) * RULE_HOURS * use).alias("revenue"),
+                 (RULE_MONTHLY_COST + (100 - F.col("h")) * 2).alias("cost"))
+    d = d.withColumns({"residual": F.col("price") * (0.5 + F.col("h") / 100.0 * 0.7), "keep": (F.col("revenue") - F.col("cost")) * 12})
+    what = F.when((F.col("h") >= 70) & (F.col("keep") > F.col("residual")), "KEEP").when(
+        F.col("residual") > 0.5 * F.col("price"), "SELL").otherwise("DECOMMISSION")
+    worth = F.when(F.col("what") == "KEEP", F.col("keep")).when(F.col("what") == "SELL", F.col("residual") * 0.95).otherwise(F.col("price") * 0.10)
+    d = d.withColumn("what", what).withColumn("worth", worth)
+    two = lambda c: F.round(c.cast("decimal(38,12)"), 2).cast("double")
+    return d.select("gpu_uuid", "model", F.col("h").alias("health_score"), two(F.col("residual")).alias("residual_value"),
+                    two(F.col("revenue")).alias("monthly_revenue"), two(F.col("cost")).alias("monthly_cost"),
+                    two(F.col("revenue") - F.col("cost")).alias("monthly_profit"), two(F.col("keep")).alias("npv_keep_12m"),
+                    F.col("what").alias("recommendation"), two(F.col("worth")).alias("expected_value"))
+
+
 def grade_distribution(scores: DataFrame, col: str = "health_grade") -> DataFrame:
     """Count of devices per grade / level (AGG34)."""
     return scores.groupBy(col).agg(F.count(F.lit(1)).alias("devices"))

@@ -20,9 +20,24 @@ LATEST_COLS = ["time", "hostname", "gpu_temp", "memory_temp", "power_usage", "th
                "ecc_sbe_aggregate", "ecc_dbe_aggregate"]
 
 
-def latest_metrics(metrics: DataFrame, cols=LATEST_COLS) -> DataFrame:
-    """``v_latest_gpu_metrics`` (WIN1)."""
-    return latest_per_key(metrics, "gpu_uuid", "time", cols)
+def latest_metrics(metrics: DataFrame, cols=LATEST_COLS, as_of: Column | None = None, lookback: str | None = None) -> DataFrame:
+    """``v_latest_gpu_metrics`` (WIN1).
+
+    With ``as_of`` and ``lookback`` only devices seen in that span are listed and only its
+    days are read; without, every stored row is.
+    """
+    rows = metrics if lookback is None else window_rows(metrics, as_of, lookback)
+    return latest_per_key(rows, "gpu_uuid", "time", cols)
+
+
+def recent_metrics(metrics: DataFrame, gpu: str, as_of: Column, window: str = "24 hours") -> DataFrame:
+    """One device's samples of the last ``window``, newest first (the API's metrics endpoint)."""
+    return window_rows(metrics, as_of, window, ahead=True).where(F.col("gpu_uuid") == gpu).orderBy(F.col("time").desc())
+
+
+def recent_scores(scores: DataFrame, gpu: str, limit: int = 100) -> DataFrame:
+    """One device's newest ``limit`` scores (the API's health endpoint; the limit is its parameter)."""
+    return scores.where(F.col("gpu_uuid") == gpu).orderBy(F.col("time").desc()).limit(limit)
 
 
 def fleet_summary(latest: DataFrame) -> DataFrame:

@@ -143,3 +143,45 @@ def labels_within_horizon(features: DataFrame, failure_labels: DataFrame, days:
     hit = (F.col("_fd") > F.col("time")) & (F.col("_fd") <= F.col("time") + F.make_interval(days=F.lit(days)))
     keys = [c for c in features.columns]
     return j.groupBy(*keys).agg(F.max(F.when(hit, 1).otherwise(0)).alias("label"))
+
+
+def fold_of(key: str, folds: int, seed: int = 42) -> Column:
+    """Fold 0 .. folds - 1 of a row by the hash of its key: reproducible, needs no shuffle, and
+    as the hash knows nothing of the label, each fold has its share of failures up to chance."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
+
+
+def classification_report(scored: DataFrame, label_col: str = "label", predicted_col: str = "predicted") -> DataFrame:
+    """Precision, recall, f1 and support per class, from one aggregation (ANA4)."""
+    y, p = F.col(label_col).cast("int"), F.col(predicted_col).cast("int")
+    n = scored.agg(*[F.count_if((y == a) & (p == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
+    per_class = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"n{c}{c}").alias("hit"), (F.col(f"n0{c}") + F.col(f"n1{c}")).alias("said"),
+                                   (F.col(f"n{c}0") + F.col(f"n{c}1")).alias("support")) for c in (0, 1)])
+    d = n.select(F.inline(per_class))
+    precision, recall = F.try_divide("hit", "said"), F.try_divide("hit", "support")
+    return d.select("label", precision.alias("precision"), recall.alias("recall"),
+                    F.try_divide(2.0 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
+
+
+def predicted_labels(model, rows: DataFrame) -> DataFrame:
+    """``rows`` with the fitted model's class in ``predicted``."""
+    names = _model_features(model)
+    return model.transform(rows.fillna(0, subset=names)).withColumn("predicted", F.col("prediction").cast("int"))
+
+
+def train_and_report(features: DataFrame, label_col: str = "label", key: str = "gpu_uuid", folds: int = 5, seed: int = 42):
+    """Train on all folds but one; (model, train AUC, report on the fold left out)."""
+    d = features.withColumn("_fold", fold_of(key, folds, seed))
+    model, auc = train_model(d.where("_fold > 0").drop("_fold"), label_col, seed=seed)
+    return model, auc, classification_report(predicted_labels(model, d.where("_fold = 0")), label_col)
+
+
+def cross_validate(features: DataFrame, label_col: str = "label", key: str = "gpu_uuid", folds: int = 5, seed: int = 42) -> list[float]:
+    """Accuracy on each fold of a model trained on the others."""
+    d = features.withColumn("_fold", fold_of(key, folds, seed))
+    out = []
+    for k in range(folds):
+        model, _ = train_model(d.where(F.col("_fold") != k).drop("_fold"), label_col, seed=seed)
+        scored = predicted_labels(model, d.where(F.col("_fold") == k))
+        out.append(scored.agg(F.avg((F.col("predicted") == F.col(label_col).cast("int")).cast("double"))).first()[0])
+    return out

@@ -316,6 +316,8 @@ def refresh_frame(metrics: DataFrame, level: str, as_of, start_offset: str, end_
     hi = a - F.expr(f"INTERVAL {end_offset}")
     day_lo = F.to_date(lo).cast("timestamp")
     src = metrics.where((F.col("time") >= day_lo) & (F.col("time") < hi))
+    if PART_COL in metrics.columns:
+        src = src.where((F.col(PART_COL) >= F.to_date(lo)) & (F.col(PART_COL) <= F.to_date(hi)))
     every = {"1min": 60, "5min": 300, "1hour": 3600, "1day": 86400}[level]
     r = rollup_level(src, level)
     return with_date(r.where(F.col("time") + F.make_interval(secs=F.lit(every)) <= hi))

@@ -25,21 +25,27 @@ from fleetscope.operators import anomaly, economics, features, health, predict,
 TABLES = ("gpu_features", "gpu_failure_predictions", "gpu_health_scores", "anomalies", "gpu_economic_decisions")
 
 
+#: Columns of the stored feature table, in its order.
+FEATURE_TABLE = ["time", "gpu_uuid", *features.STORED_FEATURES, "feature_version", "computed_at"]
+
+
 def run_cycle(spark: SparkSession, metrics: DataFrame, assets: DataFrame, root: str,
               as_of: _dt.datetime, params: dict | None = None) -> dict[str, str]:
     """Run one cycle at ``as_of``; returns the table paths written."""
     p = {"lookback_days": 7, "active": "1 hour", "gap_seconds": 300, "sample_seconds": 10,
          "feature_lookback": "7 days", "baseline": "24 hours", "recent": "5 minutes",
-         "util_window": "30 days", "gap_bucket": "1 hour"}
+         "util_window": "30 days", "gap_bucket": "1 hour", "population": "24 hours"}
     p.update(params or {})
     a = F.lit(as_of).cast("timestamp")
     paths = {t: f"{root.rstrip('/')}/{t}" for t in TABLES}
 
     f = features.gpu_features(metrics, assets, a, p["feature_lookback"], trend_bucket=p["gap_bucket"])
+    f = features.project_to_table(f, FEATURE_TABLE)
     tables.append_ignore(f, paths["gpu_features"], ["time", "gpu_uuid"])
-    stored_f = spark.read.parquet(paths["gpu_features"]).drop(tables.PART_COL)
+    stored_f = spark.read.parquet(paths["gpu_features"])
 
-    pr = predict.predict_failures(stored_f, a).drop("feature_importance")
+    pr = predict.predict_failures(stored_f, a, active=p["population"])
+    pr = pr.withColumn("feature_importance", F.to_json("feature_importance"))
     tables.append_ignore(pr, paths["gpu_failure_predictions"], ["time", "gpu_uuid"])
 
     h = health.health_scores(metrics, a, p["lookback_days"], p["active"], p["gap_seconds"], p["sample_seconds"],
@@ -50,8 +56,8 @@ def run_cycle(spark: SparkSession, metrics: DataFrame, assets: DataFrame, root:
     an = anomaly.detect_anomalies(metrics, a, p["baseline"], p["recent"])
     tables.append_ignore(an, paths["anomalies"], ["time", "gpu_uuid", "anomaly_type"])
 
-    scores = spark.read.parquet(paths["gpu_health_scores"]).drop(tables.PART_COL)
-    preds = spark.read.parquet(paths["gpu_failure_predictions"]).drop(tables.PART_COL)
-    d = economics.economic_decisions(scores, preds, assets, metrics, a, p["util_window"])
+    scores = spark.read.parquet(paths["gpu_health_scores"])
+    preds = spark.read.parquet(paths["gpu_failure_predictions"])
+    d = economics.economic_decisions(scores, preds, assets, metrics, a, p["util_window"], p["population"])
     tables.append_ignore(d, paths["gpu_economic_decisions"], ["time", "gpu_uuid"])
     return paths

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import live_status
 from fleetscope.functions.timewin import as_of_col, between_times
-from fleetscope.operators import design, features, fleet, forecast, health, ingest, latest, rollups
+from fleetscope.operators import design, features, fleet, forecast, health, ingest, latest, predict, rollups
 from fleetscope.plans.catalog import DRIVER_PARAMS as P
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
@@ -72,6 +72,22 @@ def flt03_chosen_datacenter(spark, sf):
     return fleet.status_table(t["metrics"], t["assets"], datacenter="ASIA")
 
 
+@register("flt03_recent_samples_of_a_gpu", sql(rnd("""
+SELECT time, gpu_temp, power_usage FROM gpu_metrics, as_of WHERE gpu_uuid = 'GPU-000001' AND time > as_of - INTERVAL '7 days'
+ORDER BY time DESC""", ["gpu_temp", "power_usage"])))
+def flt03_recent_samples_of_a_gpu(spark, sf):
+    m = _m(spark, sf)
+    return finish(fleet.recent_metrics(m, "GPU-000001", as_of_col(m), "7 days").select("time", "gpu_temp", "power_usage"))
+
+
+@register("flt03_recent_scores_of_a_gpu", sql("""
+SELECT time, gpu_uuid, overall_score FROM history WHERE gpu_uuid = 'GPU-000001' ORDER BY time DESC LIMIT 3""", HISTORY_CTES))
+def flt03_recent_scores_of_a_gpu(spark, sf):
+    m = _m(spark, sf)
+    h = health.score_history(m, as_of_col(m), 4, 7, LB, "7 days", P["gap_seconds"], P["sample_seconds"], bucket="1 day")
+    return fleet.recent_scores(h.select("time", "gpu_uuid", "overall_score"), "GPU-000001", 3)
+
+
 @register("flt11_above_daily_p99", sql(rnd("""
 WITH q AS (SELECT time_bucket(INTERVAL '1 day', time) AS t, quantile_cont(gpu_temp, 0.99) AS lim FROM gpu_metrics GROUP BY 1)
 SELECT m.time, m.gpu_uuid, m.gpu_temp, q.lim AS "limit" FROM gpu_metrics m JOIN q ON time_bucket(INTERVAL '1 day', m.time) = q.t
@@ -204,6 +220,53 @@ def agg37_valuation_totals(spark, sf):
     return finish(design.valuation_totals(d, as_of_col(t["metrics"]), t["metrics"]), 2)
 
 
+@register("ana10_three_part_scores", sql(rnd(f"""
+WITH g AS (SELECT gpu_uuid, avg(gpu_temp) AS t, max(gpu_temp) AS tx, count_if(throttle_reasons > 0) AS thr, sum(ecc_sbe_volatile) AS sbe,
+    sum(ecc_dbe_volatile) AS dbe, coalesce(stddev_samp(power_usage), 0) AS pv
+  FROM gpu_metrics, as_of WHERE time > as_of - INTERVAL '{P['baseline']}' AND time <= as_of GROUP BY 1),
+ p AS (SELECT gpu_uuid,
+    greatest(0.0, least(100.0, 100.0 - CASE WHEN t > 75 THEN (t - 75) * 2 ELSE 0 END - CASE WHEN tx > 85 THEN (tx - 85) * 5 ELSE 0 END - thr * 10)) AS thermal_score,
+    greatest(0.0, least(100.0, least(100.0 - least(50.0, sbe / 7.0), CASE WHEN dbe > 0 THEN 70.0 ELSE 100.0 END))) AS memory_score,
+    greatest(0.0, least(100.0, 100.0 - CASE WHEN pv > 50 THEN (pv - 50) / 2 ELSE 0 END)) AS power_score FROM g)
+SELECT *, CAST(round_even(CAST(thermal_score * 0.35 + memory_score * 0.45 + power_score * 0.20 AS DECIMAL(38,12)), 0) AS INTEGER) AS overall FROM p""",
+    ["thermal_score", "memory_score", "power_score"])))
+def ana10_three_part_scores(spark, sf):
+    m = _m(spark, sf)
+    return finish(design.three_part_score(m, as_of_col(m), P["baseline"]))
+
+
+@register("ana10_rule_valuation", sql(f"""
+WITH v AS (SELECT h.gpu_uuid, a.model, overall_score AS h, CASE WHEN a.model LIKE '%H100%' THEN 40000.0 ELSE 15000.0 END::DOUBLE AS price,
+    (CASE WHEN a.model LIKE '%H100%' THEN 3.50 ELSE 1.50 END * 730 * CASE WHEN overall_score >= 85 THEN 0.90 WHEN overall_score >= 70 THEN 0.75
+     WHEN overall_score >= 50 THEN 0.50 ELSE 0.25 END)::DOUBLE AS revenue, 228.0 + (100 - overall_score) * 2 AS cost
+  FROM health h JOIN gpu_assets a ON h.gpu_uuid = a.gpu_uuid WHERE a.model IN ('NVIDIA H100-SXM5-80GB', 'NVIDIA A100-SXM4-80GB')),
+ w AS (SELECT *, price * (0.5 + h / 100.0 * 0.7) AS residual, (revenue - cost) * 12 AS keep FROM v),
+ x AS (SELECT *, CASE WHEN h >= 70 AND keep > residual THEN 'KEEP' WHEN residual > 0.5 * price THEN 'SELL' ELSE 'DECOMMISSION' END AS what FROM w)
+SELECT gpu_uuid, model, h AS health_score, {', '.join(f"CAST(round(CAST({e} AS DECIMAL(38,12)), 2) AS DOUBLE) AS {n}" for n, e in (
+    ('residual_value', 'residual'), ('monthly_revenue', 'revenue'), ('monthly_cost', 'cost'), ('monthly_profit', 'revenue - cost'),
+    ('npv_keep_12m', 'keep'), ('expected_value', "CASE what WHEN 'KEEP' THEN keep WHEN 'SELL' THEN residual * 0.95 ELSE price * 0.10 END")))},
+  what AS recommendation FROM x""", HEALTH_CTE))
+def ana10_rule_valuation(spark, sf):
+    t, _, h = _health(spark, sf)
+    return design.rule_valuation(h, t["assets"])
+
+
+@register("ana04_rule_report", sql(rnd("""
+WITH x AS (SELECT CAST(f.gpu_temp_mean > 70 OR f.ecc_dbe_event_count > 0 AS INTEGER) AS y, CAST(p.failure_prob_30d >= 0.5 AS INTEGER) AS p
+           FROM features f JOIN predictions p ON f.gpu_uuid = p.gpu_uuid),
+ c AS (SELECT 0 AS label UNION ALL SELECT 1),
+ n AS (SELECT label, count_if(y = label AND p = label) AS hit, count_if(p = label) AS said, count_if(y = label) AS support
+       FROM c CROSS JOIN x GROUP BY 1)
+SELECT label, CASE WHEN said > 0 THEN hit / said END AS precision, CASE WHEN support > 0 THEN hit / support END AS recall,
+  CASE WHEN said + support > 0 THEN 2.0 * hit / (said + support) END AS f1, CAST(support AS BIGINT) AS support FROM n""",
+    ["precision", "recall", "f1"]), PREDICT_CTE))
+def ana04_rule_report(spark, sf):
+    """Precision and recall of the rule score against a stand-in label (hot, or an uncorrectable error)."""
+    f = _features(spark, sf)[2].select("gpu_uuid", ((F.col("gpu_temp_mean") > 70) | (F.col("ecc_dbe_event_count") > 0)).cast("int").alias("label"))
+    p = _predictions(spark, sf)[2].select("gpu_uuid", (F.col("failure_prob_30d") >= 0.5).cast("int").alias("predicted"))
+    return finish(predict.classification_report(f.join(p, "gpu_uuid")))
+
+
 def _rolling_sql(spec: str) -> str:
     return rnd(f"""
 SELECT gpu_uuid, time, gpu_temp, avg(gpu_temp) OVER w AS roll_mean, stddev_samp(gpu_temp) OVER w AS roll_std,
