@@ -175,16 +175,20 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
     """Exposition text -> one row per (scrape, device) with a metrics map (SRC1).
 
     Only ``name{labels} value [timestamp]`` lines are read; the timestamp is optional
-    and not used, the scrape's own time is. Blank and ``#`` lines, lines without
+    and not used where the input names its scrapes: ``scrape_col`` groups the lines and
+    ``time_col`` is the scrape's time. Lines without these columns are grouped by
+    their timestamp (those that lack one being a single scrape without a time). Blank and ``#`` lines, lines without
     ``UUID``, with a ``gpu`` label that is no integer or without a number as value are
     skipped; the last value of a series wins, and model and index come from the device's
     first line. Groups are a scrape's lines of one device.
     """
+    named = scrape_col in lines.columns
+    own = (F.col(scrape_col), F.col(time_col)) if named else (F.lit(None).cast("string"), F.lit(None).cast("timestamp"))
     ln = F.trim(F.col(line_col))
     after = F.substr(ln, F.instr(ln, "{") + 1)  # text after the first "{"
     close = F.instr(after, "}")
     d = lines.where((ln != "") & ~ln.startswith("#") & ln.contains("{")).select(
-        F.col(scrape_col).alias("_scrape"), F.col(time_col).alias("_at"), F.col(order_col).alias("_ord"),
+        own[0].alias("_scrape"), own[1].alias("_at"), F.col(order_col).alias("_ord"),
         F.substring_index(ln, "{", 1).alias("metric"), after.alias("_after"), close.alias("_close"))
     d = d.where(F.col("_close") > 0).select(  # no "}": the line cannot be split, skip it
         "_scrape", "_at", "_ord", "metric",
@@ -197,6 +201,9 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
 
     def label(k: str) -> Column:
         return F.regexp_replace(labels[k], r'^[ "]+|[ "]+$', "")
+    if not named:
+        stamp = F.get("_rest", F.lit(1)).try_cast("long")
+        d = d.withColumns({"_scrape": stamp.cast("string"), "_at": F.timestamp_millis(stamp)})
     index = label("gpu")
     d = d.select("_scrape", "_at", "_ord", "metric", label("UUID").alias("gpu_uuid"), label("modelName").alias("model"),
                  F.when(index.isNull(), F.lit(0)).otherwise(index.try_cast("int")).alias("device_index"),

@@ -118,3 +118,23 @@ def test_exposition_parser_cases(spark):
     assert set(got) == {"GPU-a", "GPU-b"}
     assert got["GPU-a"].metrics == {"DCGM_FI_DEV_GPU_TEMP": 61.0}
     assert got["GPU-a"].model == "NVIDIA A100" and got["GPU-b"].device_index == 1
+
+
+def test_exposition_without_timestamps_and_bad_labels(spark):
+    text = [
+        ("s1", 1, 'DCGM_FI_DEV_GPU_TEMP{gpu="0",UUID="G0",modelName="A"} 50.5'),
+        ("s1", 2, 'DCGM_FI_DEV_POWER_USAGE{gpu="0",UUID="G0",modelName="A"} 300 1700000000000'),
+        ("s1", 3, 'DCGM_FI_DEV_GPU_TEMP{gpu="x",UUID="G0",modelName="A"} 99'),   # index is no integer: skipped
+        ("s1", 4, 'DCGM_FI_DEV_GPU_TEMP{UUID="G1"} 61'),                          # no index: 0
+        ("s1", 5, 'DCGM_FI_DEV_GPU_TEMP{gpu="3",UUID=""} 61'),
+        ("s1", 6, 'DCGM_FI_DEV_GPU_TEMP{gpu="3",UUID="G2"}'),                     # no value
+        ("s2", 1, 'DCGM_FI_DEV_GPU_TEMP{gpu="0",UUID="G0",modelName="A"} 51.5')]
+    at = {"s1": dt.datetime(2024, 1, 1), "s2": dt.datetime(2024, 1, 1, 0, 0, 10)}
+    lines = spark.createDataFrame([(s, at[s], n, x) for s, n, x in text], "scrape_id string, scraped_at timestamp, line_no long, line string")
+    got = {(r.gpu_uuid, r.time): (r.device_index, r.model, dict(r.metrics)) for r in ingest.parse_exposition(lines).collect()}
+    assert got == {
+        ("G0", at["s1"]): (0, "A", {"DCGM_FI_DEV_GPU_TEMP": 50.5, "DCGM_FI_DEV_POWER_USAGE": 300.0}),
+        ("G1", at["s1"]): (0, None, {"DCGM_FI_DEV_GPU_TEMP": 61.0}),
+        ("G0", at["s2"]): (0, "A", {"DCGM_FI_DEV_GPU_TEMP": 51.5})}
+    plain = ingest.parse_exposition(lines.where("scrape_id = 's2'").select("line_no", "line")).collect()
+    assert len(plain) == 1 and plain[0].time is None
