@@ -35,9 +35,15 @@ def first_n_per_key(df: DataFrame, n: int, keys=("gpu_uuid",), time_col: str = "
 
 
 def _n_per_key(df: DataFrame, n: int, keys, time_col: str, bucket: str, newest: bool, out: str) -> DataFrame:
-    """Rows ranked within (key, time bucket); the rows of newer (older) buckets are
-    counted on one row per key and bucket and added. No key's history meets in one
-    window, whatever ``n`` is."""
+    """Up to the ``n`` that Spark plans as a partial limit, each map task forwards at most
+    ``n`` rows per key. For a larger ``n`` rows are ranked within (key, time bucket); the
+    rows of newer (older) buckets are counted on one row per key and bucket and added. So
+    no key's history meets in one window, whatever ``n`` is."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n <= limit:
+        of = [keys] if isinstance(keys, str) else list(keys)
+        time = F.col(time_col).desc() if newest else F.col(time_col).asc()
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*of).orderBy(time))).where(F.col(out) <= n)
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = df.withColumn("_b", F.window(F.col(time_col), bucket).start)
     order = F.col(time_col).desc() if newest else F.col(time_col).asc()
