@@ -197,10 +197,12 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
     # key=value pairs: blanks around "," and "=" removed, then one str_to_map
     # (codegen'd, no lambdas); values are stripped of blanks and quotes on lookup
     norm = F.regexp_replace(F.trim(F.col("_labels")), r"\s*([,=])\s*", "$1")
-    labels = F.str_to_map(norm, F.lit(","), F.lit("="))
+    # through a one-row generator: else the filters below would split every line again
+    d = d.withColumn("_map", F.array(F.struct(F.str_to_map(norm, F.lit(","), F.lit("=")).alias("m"))))
+    d = d.select("_scrape", "_at", "_ord", "metric", "_rest", F.inline("_map"))
 
     def label(k: str) -> Column:
-        return F.regexp_replace(labels[k], r'^[ "]+|[ "]+$', "")
+        return F.btrim(F.col("m")[k], F.lit(' "'))
     if not named:
         stamp = F.get("_rest", F.lit(1)).try_cast("long")
         d = d.withColumns({"_scrape": stamp.cast("string"), "_at": F.timestamp_millis(stamp)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope.operators import enrich, ingest, validate
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
-from fleetscope.sources.driver import device_model, load_fleet, raw_event_stream
+from fleetscope.sources.driver import as_topic, device_model, load_fleet, raw_event_stream
 
 MODEL_SQL = ("CASE WHEN device_index % 2 = 0 THEN 'NVIDIA A100-SXM4-80GB' "
              "ELSE 'NVIDIA H100-SXM5-80GB' END")
@@ -26,7 +26,7 @@ FROM gpu_metrics""", SERIES_COLS)))
 def src01_exposition_parse(spark, sf):
     """Every other sample is rendered without the optional timestamp."""
     m = load_fleet(spark, sf)["metrics"]
-    lines = ingest.exposition_lines(m, device_model(F.col("device_index")), stamped=F.unix_micros("time") % 2 == 0)
+    lines = ingest.exposition_lines(as_topic(m), device_model(F.col("device_index")), stamped=F.unix_micros("time") % 2 == 0)
     p = ingest.parse_exposition(lines)
     mm = F.col("metrics")
     return finish(p.select("gpu_uuid", "time", "model", "device_index",

@@ -186,6 +186,14 @@ def device_model(device_index) -> Column:
     return F.when(device_index % 2 == 0, MODEL_A100_80).otherwise(MODEL_H100_80)
 
 
+def as_topic(metrics: DataFrame) -> DataFrame:
+    """Samples dealt over the shuffle partitions by (device, time), as messages are over a
+    topic's partitions. Only the stand-ins for a topic or for scrapes are dealt, always and
+    whatever their size; stored telemetry never is."""
+    n = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return metrics.repartition(n, "gpu_uuid", "time")
+
+
 def raw_event_stream(metrics: DataFrame) -> DataFrame:
     """The raw topic as JSON text (``key``, ``value``, ``received_at``, ``time``).
 
@@ -198,7 +206,7 @@ def raw_event_stream(metrics: DataFrame) -> DataFrame:
     """
     from fleetscope.operators.ingest import build_events
     g = F.unix_micros(F.col("time")) % 1000
-    ev = build_events(metrics, model=device_model(F.col("device_index")))
+    ev = build_events(as_topic(metrics), model=device_model(F.col("device_index")))
     e = F.col("e")
     temp = e["metrics"]["health"]["gpu_temp_c"]
     # each fault rewrites one field in place, so the event struct is built once
