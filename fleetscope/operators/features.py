@@ -90,6 +90,9 @@ def gpu_features(metrics: DataFrame, assets: DataFrame, as_of=None, lookback: st
         ((F.col("last_us") - F.col("first_us")) / F.lit(3.6e9)).alias("_span_h"),
         F.col("mcu__n").alias("_mcu_n"), mean("mcu").alias("_mcu_mean"), F.col("mcu__hi").alias("_mcu_max"),
         F.col("ta__n").alias("_ta_n"), mean("ta").alias("_ta_mean"), F.col("ta__hi").alias("_ta_max"))
+    # packed by an aggregate, which column pruning does not see through: both uses of g below
+    # are then one plan, and Spark runs its shuffles once
+    g = g.groupBy("gpu_uuid").agg(F.first(F.struct(*[c for c in g.columns if c != "gpu_uuid"])).alias("s")).select("gpu_uuid", "s.*")
     # two-sided 2-sigma outlier counts: per-device mean/std joined back to the rows
     ms = g.select("gpu_uuid", "gpu_temp_mean", "gpu_temp_std", "power_usage_mean", "power_usage_std")
     out = (rows.select("gpu_uuid", "gpu_temp", "power_usage").join(ms, "gpu_uuid", "inner")
