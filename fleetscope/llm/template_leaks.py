@@ -1,17 +1,27 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Texts become token templates: numbers, names and units after a number turn into typed
-placeholders, all else is lower-cased; punctuation only separates. Windows of
-``window`` template tokens are hashed and joined with the benchmark's windows, so a
-question whose numbers or names were changed still meets its original. A document is
-then aligned with each item it shares windows with, along the diagonal that most of
-them lie on, and the values in the slots are compared: equal values of the item must
-stand against equal values of the document and different ones against different ones.
-Items of fewer than ``window`` tokens (but at least ``shortest``) are one window of
-their own length.
-
-A pair is reported if the shared windows cover ``cover`` of the item's windows, the
-aligned tokens agree at that share of the item, and the slots are consistent.
+placeholders, all else is lower-cased; punctuation only separates. A run of name words,
+or of numbers, is one placeholder, so that names of one and of two words meet. Every
+capitalised word is a name; as the first word of an item may stand in lower case within
+a document's sentence, items are looked up with that word as a name and as a word.
+Beside the templates stand the literal, lower-cased tokens: a verbatim copy is found
+whatever precedes it and whatever its case.
+
+Windows of ``window`` tokens of either form are hashed and joined with the benchmark's,
+so a question whose numbers or names were changed still meets its original. Items of
+fewer than ``window`` tokens (but at least ``shortest``) are one window of their own
+length. Every diagonal on which windows of a (document, item) pair lie is a candidate
+copy. Diagonals within half the item's length of it belong to the same copy, which words
+were put into or left out of: an item position stands against the document position of
+the candidate diagonal, else of the neighbour whose windows cover it, most windows first.
+
+A pair is reported if any of its copies passes: the shared windows cover ``cover`` of the
+item's windows, the aligned tokens agree at that share of the item, and
+- in templates each value of the item stands against one value of the document in most
+  of its places (a first or last slot is not judged, its run may go on in the document),
+  or the tokens and the slots agree literally at that share;
+- in literal tokens nothing further.
 
 Arrays are unfolded with the outer generators on purpose: for the plain ones Spark
 infers a filter on the array's size and pushes its whole expression below, into the
@@ -37,21 +47,33 @@ from fleetscope.llm.common import store
 UNITS = ("kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft feet inch inches yd l ml h hr hrs hour hours min mins minute minutes s sec "
          "second seconds day days week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents c f kb mb gb tb "
          "hz khz mhz ghz w kw mw v kmh mph degrees")
-NAME_MARK, UNIT_MARK = "\u0001", "\u0002"
+NAME_MARK, UNIT_MARK, JOINED = "\u0001", "\u0002", "\u0003"
+#: Forms of a text that windows are made of; items have the first two as templates.
+TEMPLATE, FIRST_WORD, LITERAL = 0, 1, 2
 KINDS = {"number": -1, "name": -2, "unit": -3}
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased tokens; names carry a mark in front, units another, numbers start with a digit."""
+def tokens(text: Column, names: str = "inside") -> Column:
+    """Lower-cased tokens; names carry a mark in front, units another, numbers start with a digit.
+
+    ``names``: which capitalised words are names: those ``inside`` a sentence, each its own
+    token; ``all`` or all ``but first``, runs of names and of numbers joined; or ``none``,
+    then without marks of units too.
+    """
     units = "|".join(UNITS.split())
     # symbols and runs of white space become one space, so that they hide no name or unit
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,;:!?]+", " ")
     t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
     t = F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})", " ")
-    # a capitalised word that does not open a sentence
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", NAME_MARK)
-    t = F.regexp_replace(t, rf"(?<=[0-9]\s)(?=(?i:{units})(?!\p{{L}}))", UNIT_MARK)
-    parts = F.split(F.lower(t), r"[^\p{L}\p{N}\x01\x02]+")
+    if names != "none":
+        start = {"inside": r"(?<=[\p{L}\p{N},;]\s)", "all": r"(?<![\p{L}\p{N}])", "but first": r"(?<![\p{L}\p{N}])(?<!^[^\p{L}\p{N}]{0,9})"}[names]
+        t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}}){start}", NAME_MARK)
+        t = F.regexp_replace(t, rf"(?<=[0-9]\s)(?=(?i:{units})(?!\p{{L}}))", UNIT_MARK)
+        if names != "inside":
+            gap = r"[^\p{L}\p{N}\x01\x02]+"
+            t = F.regexp_replace(t, rf"(\x01[\p{{L}}\p{{N}}]+){gap}(?=\x01)", f"$1{JOINED}")
+            t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])([0-9]+){gap}(?=[0-9])", f"$1{JOINED}")
+    parts = F.split(F.lower(t), r"[^\p{L}\p{N}\x01-\x03]+")
     return F.filter(parts, lambda w: w != "")
 
 
@@ -61,18 +83,67 @@ def template(toks: Column) -> Column:
                        .when(w < ":", KINDS["number"]).otherwise(F.xxhash64(w)))
 
 
-def window_hashes(temp: Column, size: int) -> Column:
-    """Hash of each run of ``size`` template tokens."""
-    one = lambda i: F.xxhash64(*[F.get(temp, i + k) for k in range(size)], F.lit(size))
+def literal(toks: Column) -> Column:
+    """A long per token: its hash."""
+    return F.transform(toks, lambda w: F.xxhash64(w))
+
+
+def window_hashes(temp: Column, size: int, form: int = TEMPLATE) -> Column:
+    """Hash of each run of ``size`` tokens; literal tokens have hashes of their own."""
+    last = F.lit(-size if form == LITERAL else size)
+    one = lambda i: F.xxhash64(*[F.get(temp, i + k) for k in range(size)], last)
     return F.when(F.size(temp) >= size, F.transform(F.sequence(F.lit(0), F.size(temp) - size), one)).otherwise(
         F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(items: DataFrame, window: int, shortest: int) -> DataFrame:
-    """(item, n_tokens, size, toks, temp) of every usable item."""
-    t = items.where(F.col("item").isNotNull()).select("item", tokens(F.col("text")).alias("toks"))
-    t = t.withColumn("temp", template(F.col("toks"))).withColumn("n_tokens", F.size("toks")).where(F.col("n_tokens") >= shortest)
-    return t.withColumn("size", F.least("n_tokens", F.lit(window)))
+    """(item, form, key, n_tokens, size, toks, temp) of every usable item in each of its forms."""
+    forms = {TEMPLATE: "inside"}
+    each = [F.struct(F.lit(k).alias("form"), tokens(F.col("text"), names).alias("toks")) for k, names in forms.items()]
+    t = items.where(F.col("item").isNotNull()).select("item", F.explode(F.array(*each)).alias("f")).select("item", "f.form", "f.toks").distinct()
+    t = t.withColumn("temp", F.when(F.col("form") == LITERAL, literal(F.col("toks"))).otherwise(template(F.col("toks"))))
+    t = t.withColumn("n_tokens", F.size("toks")).where(F.col("n_tokens") >= shortest)
+    return t.withColumn("size", F.least("n_tokens", F.lit(window))).withColumn("key", F.xxhash64("item", "form", "toks"))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once: a generator keeps Spark from moving them into the lambdas that read them."""
+    kept = [c for c in df.columns if c not in columns]
+    one = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*kept, F.explode_outer(F.array(one)).alias("c")).select(*kept, "c.*")
+
+
+def align(both: DataFrame) -> DataFrame:
+    """``both`` with ``same`` (item positions that agree), ``n_equal`` and the ``slots`` of each copy.
+
+    A row has an item (form, toks, temp, n_tokens, size), the document's tokens around one copy
+    (d_toks, the first at position ``low``) and its diagonals ``near``.
+    """
+    index = F.sequence(F.lit(0), F.col("n_tokens") - 1)
+    at = lambda c, i: F.get(F.col(c), i)
+    within = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("size") - 1))))
+    ranked = F.transform("near", lambda x: F.struct((x["diagonal"] != F.col("diagonal")).alias("other"), (-x["n"]).alias("n"), x["diagonal"].alias("diagonal"),
+                                                    within(x["places"]).alias("covers")))
+    d_temp = F.when(F.col("form") == LITERAL, literal(F.col("d_toks"))).otherwise(template(F.col("d_toks")))
+    both = computed(both, near=F.array_sort(ranked), d_temp=d_temp)
+    meets = lambda x, i: (~x["other"] | F.array_contains(x["covers"], i)) & (i + x["diagonal"] >= F.col("low")) & at("temp", i).eqNullSafe(
+        at("d_temp", i + x["diagonal"] - F.col("low")))
+    far = F.transform(index, lambda i: i + F.get(F.filter("near", lambda x: meets(x, i)), F.lit(0))["diagonal"] - F.col("low"))
+    both = computed(computed(both, far=far), same=F.filter(index, lambda i: at("far", i).isNotNull()))
+    slots = F.transform(F.filter("same", lambda i: at("temp", i).between(-3, -1)),
+                        lambda i: F.struct(at("temp", i).alias("kind"), at("toks", i).alias("mine"), at("d_toks", at("far", i)).alias("theirs"),
+                                           ((i == 0) | (i == F.col("n_tokens") - 1)).alias("edge")))
+    n_equal = F.size(F.filter("same", lambda i: at("toks", i) == at("d_toks", at("far", i))))
+    both = computed(both, slots=slots, n_equal=n_equal)
+    values = F.transform(F.filter("slots", lambda s: ~s["edge"]), lambda s: F.struct(s["kind"].alias("kind"), s["mine"].alias("mine"), s["theirs"].alias("theirs")))
+    return computed(both, judged=values)
+
+
+def one_value_each(judged: str) -> Column:
+    """Whether each value of the item has one value of the document in most of its places."""
+    mine = lambda s, v: (s["kind"] == v["kind"]) & (s["mine"] == v["mine"])
+    n_of = lambda v: F.size(F.filter(judged, lambda s: mine(s, v)))
+    return F.forall(judged, lambda v: F.exists(judged, lambda t: mine(t, v) & (2 * F.size(F.filter(judged, lambda s: s == t)) > n_of(v))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -82,51 +153,56 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     items = store(benchmark_windows(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")),
                                     window, shortest), "leak-items")
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most ``window`` numbers
+    # at most ``window`` numbers per form
+    sizes = sorted({(LITERAL if r.form == LITERAL else TEMPLATE, r.size) for r in items.select("form", "size").distinct().collect()})
     none = F.array().cast("array<bigint>")
     by_size = none
-    for s in sizes:
-        by_size = F.when(F.col("size") == s, window_hashes(F.col("temp"), s)).otherwise(by_size)
-    places = store(items.select("item", F.posexplode_outer(by_size).alias("at_item", "hash")).distinct(), "leak-windows")
+    for form, s in sizes:
+        mine = (F.col("form") == LITERAL) == F.lit(form == LITERAL)
+        by_size = F.when(mine & (F.col("size") == s), window_hashes(F.col("temp"), s, form)).otherwise(by_size)
+    places = store(items.select("key", F.posexplode_outer(by_size).alias("at_item", "hash")), "leak-windows")
     n_places = places.count()
 
-    temps = texts.select("doc", template(tokens(F.col("text"))).alias("temp"))
-    made = [window_hashes(F.col("temp"), s) for s in sizes] or [none]
-    spots = temps.select("doc", made[0].alias("w"), *[m.alias(f"w{i}") for i, m in enumerate(made[1:])])
-    spots = spots.select("doc", F.posexplode_outer("w").alias("at_doc", "hash")) if len(made) == 1 else spots.select(
-        "doc", F.explode_outer(F.array("w", *[f"w{i}" for i in range(len(made) - 1)])).alias("w")).select("doc", F.posexplode_outer("w").alias("at_doc", "hash"))
+    temps = texts.select("doc", template(tokens(F.col("text"), "inside")).alias("temp"), literal(tokens(F.col("text"), "none")).alias("words"))
+    made = [window_hashes(F.col("words" if form == LITERAL else "temp"), s, form) for form, s in sizes] or [none]
+    spots = temps.select("doc", *[m.alias(f"w{i}") for i, m in enumerate(made)])
+    spots = spots.select("doc", F.explode_outer(F.array(*[f"w{i}" for i in range(len(made))])).alias("w")).select(
+        "doc", F.posexplode_outer("w").alias("at_doc", "hash"))
     met = spots.join(F.broadcast(places) if n_places <= broadcast_rows else places, "hash")
     hits = (met.withColumn("diagonal", F.col("at_doc") - F.col("at_item"))
-            .groupBy("doc", "item", "diagonal").agg(F.collect_set("at_item").alias("places")))
-    pairs = hits.groupBy("doc", "item").agg(
-        F.max(F.struct(F.size("places").alias("n"), (-F.col("diagonal")).alias("d"))).alias("best"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_places"))
-    total = items.select("item", "n_tokens", "toks", "temp", (F.col("n_tokens") - F.col("size") + 1).alias("n_windows"))
-    pairs = store(pairs.join(total.select("item", "n_windows"), "item").where(F.col("n_places") >= cover * F.col("n_windows"))
-                  .select("doc", "item", (-F.col("best.d")).alias("diagonal"), (F.col("n_places") / F.col("n_windows")).alias("cover")),
-                  "leak-pairs")
+            .groupBy("doc", "key", "diagonal").agg(F.collect_set("at_item").alias("places")))
+    total = items.select("key", "item", "form", "n_tokens", "size", "toks", "temp")
+    known = items.select("key", "n_tokens", (F.col("n_tokens") - F.col("size") + 1).alias("n_windows"), F.greatest(F.lit(1), F.floor(F.col("n_tokens") / 2)).cast("int").alias("slack"))
+    near = "over (partition by doc, key order by diagonal / slack range between 1.0D preceding and 1.0D following)"
+    hits = hits.join(known, "key").withColumn("n", F.size("places"))
+    hits = hits.withColumn("enough", F.expr(f"sum(n) {near}")).withColumn(
+        "near", F.expr(f"collect_list(struct(n, diagonal, places)) {near}")).where(F.col("enough") >= cover * F.col("n_windows"))
+    hits = hits.withColumn("cover", F.size(F.array_distinct(F.flatten(F.col("near.places")))) / F.col("n_windows"))
+    low = F.greatest(F.lit(0), F.col("diagonal") - F.col("slack"))
+    pairs = store(hits.where(F.col("cover") >= cover).select(
+        "doc", "key", "diagonal", "cover", "near", low.alias("low"),
+        (F.col("diagonal") + F.col("n_tokens") + F.col("slack") - low).alias("length")), "leak-copies")
 
     # the few documents concerned once more, aligned with their items
-    again = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", tokens(F.col("text")).alias("d_toks"))
-    again = again.withColumn("d_temp", template(F.col("d_toks"))).dropDuplicates(["doc", "d_toks"])
-    both = again.join(pairs, "doc").join(total, "item")
-    index = F.sequence(F.lit(0), F.col("n_tokens") - 1)
-    at = lambda c, i: F.get(F.col(c), i)
-    far = lambda i: i + F.col("diagonal")
-    same = F.filter(index, lambda i: (far(i) >= 0) & at("temp", i).eqNullSafe(at("d_temp", far(i))))
-    both = both.withColumn("same", same)
-    slots = F.transform(F.filter("same", lambda i: at("temp", i).between(-3, -1)),
-                        lambda i: F.struct(at("temp", i).alias("kind"), at("toks", i).alias("mine"), at("d_toks", far(i)).alias("theirs")))
-    both = both.withColumn("slots", slots)
-    pairs_seen = F.size(F.array_distinct("slots"))
-    mine = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["mine"]))))
-    theirs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"]))))
+    again = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").distinct()
+    again = again.select("doc", tokens(F.col("text"), "inside").alias("d_toks"), tokens(F.col("text"), "none").alias("d_words"))
+    copies = again.join(pairs.join(items.select("key", "form"), "key").groupBy("doc").agg(
+        F.collect_list(F.struct("key", "form", "diagonal", "cover", "near", "low", "length")).alias("copies")), "doc")
+    cut = lambda c, toks: F.slice(toks, c["low"] + 1, c["length"])
+    around = F.transform("copies", lambda c: F.struct(c["key"].alias("key"), c["diagonal"].alias("diagonal"), c["cover"].alias("cover"), c["near"].alias("near"),
+                                                      c["low"].alias("low"), F.when(c["form"] == LITERAL, cut(c, "d_words")).otherwise(cut(c, "d_toks")).alias("d_toks")))
+    both = copies.select("doc", F.explode_outer(around).alias("c")).select("doc", "c.*").join(total, "key")
+    both = align(both)
     agree = F.size("same") / F.col("n_tokens")
-    found = both.where((agree >= cover) & (pairs_seen == mine) & (pairs_seen == theirs))
-    changed = F.exists("slots", lambda s: s["mine"] != s["theirs"])
-    kind = F.when(changed, "re-parameterised").when(agree >= 0.9, "verbatim").otherwise("partial")
+    unchanged = F.size(F.filter("slots", lambda s: s["mine"] == s["theirs"]))
+    seen = F.size(F.array_distinct("slots"))
+    one_to_one = (seen == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["mine"]))))) & (
+        seen == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"])))))
+    found = both.where((agree >= cover) & ((F.col("form") == LITERAL) | one_to_one))
+    kind = F.when(unchanged < F.size("slots"), "re-parameterised").when(agree >= 0.9, "verbatim").otherwise("partial")
+    # of a pair's copies the closest names the kind: verbatim, then re-parameterised, then partial
     return found.select("doc", "item", "cover", agree.alias("agree"), F.size("slots").alias("n_slots"), kind.alias("kind")).groupBy("doc", "item").agg(
-        F.max("cover").alias("cover"), F.max("agree").alias("agree"), F.max("n_slots").cast("long").alias("n_slots"), F.min("kind").alias("kind")
+        F.max("cover").alias("cover"), F.max("agree").alias("agree"), F.max("n_slots").cast("long").alias("n_slots"), F.max("kind").alias("kind")
     ).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "cover", "agree", "n_slots", "kind")
 
 

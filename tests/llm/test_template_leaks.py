@@ -56,3 +56,22 @@ def test_tokens_and_slots(spark):
     assert toks.first().k == ["in", "1999", "\u0001anna", "paid", "3500", "\u0002kg", "then", "5", "\u0002kg", "of", "\u0001anna", "s"]
     kinds = toks.select(template(toks.k).alias("x")).first().x
     assert kinds[1] == kinds[4] == kinds[7] == -1 and kinds[5] == kinds[8] == -3 and kinds[2] == kinds[10] == -2
+
+
+WORDS = [f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu", "ma", "ne", "po", "ri", "su") for b in ("lt", "nd", "rk", "st", "mp", "sk")][:59]
+LONG = " ".join(WORDS)
+
+
+def leaks_of(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_every_copy_and_its_neighbouring_diagonals(spark):
+    def inserted(*at):
+        return " ".join(w + (" quux" if k in at else "") for k, w in enumerate(WORDS))
+
+    got = leaks_of(spark, [f"{UNFAITHFUL}. Then some more drills follow here. {QUESTION}", inserted(18, 38), inserted(14, 28, 43),
+                           " ".join(w for k, w in enumerate(WORDS) if k != 29), " ".join(reversed(WORDS))], [QUESTION, LONG])
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 1)}
+    assert got[0, 0].kind == "verbatim" and got[1, 1].agree == 1 and got[2, 1].agree == 1 and got[3, 1].agree > 0.9
