@@ -195,10 +195,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     both = align(both)
     agree = F.size("same") / F.col("n_tokens")
     unchanged = F.size(F.filter("slots", lambda s: s["mine"] == s["theirs"]))
-    seen = F.size(F.array_distinct("slots"))
-    one_to_one = (seen == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["mine"]))))) & (
-        seen == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"])))))
-    found = both.where((agree >= cover) & ((F.col("form") == LITERAL) | one_to_one))
+    as_is = (F.col("n_equal") >= cover * F.col("n_tokens")) & (unchanged >= cover * F.size("slots"))
+    found = both.where((agree >= cover) & ((F.col("form") == LITERAL) | as_is | one_value_each("judged")))
     kind = F.when(unchanged < F.size("slots"), "re-parameterised").when(agree >= 0.9, "verbatim").otherwise("partial")
     # of a pair's copies the closest names the kind: verbatim, then re-parameterised, then partial
     return found.select("doc", "item", "cover", agree.alias("agree"), F.size("slots").alias("n_slots"), kind.alias("kind")).groupBy("doc", "item").agg(

@@ -75,3 +75,10 @@ def test_every_copy_and_its_neighbouring_diagonals(spark):
                            " ".join(w for k, w in enumerate(WORDS) if k != 29), " ".join(reversed(WORDS))], [QUESTION, LONG])
     assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 1)}
     assert got[0, 0].kind == "verbatim" and got[1, 1].agree == 1 and got[2, 1].agree == 1 and got[3, 1].agree > 0.9
+
+
+def test_slots_map_by_majority(spark):
+    short = "they bought 14 big boxes then sold 14 of them"
+    merged = CHANGED.replace("90", "25")  # 14 and 80 both become 25
+    got = leaks_of(spark, [QUESTION.replace("sold 14", "sold 15"), merged, UNFAITHFUL, short.replace("sold 14", "sold 15")], [QUESTION, short])
+    assert set(got) == {(0, 0), (1, 0), (3, 1)} and got[1, 0].kind == "re-parameterised"
