@@ -98,7 +98,7 @@ def window_hashes(temp: Column, size: int, form: int = TEMPLATE) -> Column:
 
 def benchmark_windows(items: DataFrame, window: int, shortest: int) -> DataFrame:
     """(item, form, key, n_tokens, size, toks, temp) of every usable item in each of its forms."""
-    forms = {TEMPLATE: "inside"}
+    forms = {TEMPLATE: "all", FIRST_WORD: "but first", LITERAL: "none"}
     each = [F.struct(F.lit(k).alias("form"), tokens(F.col("text"), names).alias("toks")) for k, names in forms.items()]
     t = items.where(F.col("item").isNotNull()).select("item", F.explode(F.array(*each)).alias("f")).select("item", "f.form", "f.toks").distinct()
     t = t.withColumn("temp", F.when(F.col("form") == LITERAL, literal(F.col("toks"))).otherwise(template(F.col("toks"))))
@@ -163,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     places = store(items.select("key", F.posexplode_outer(by_size).alias("at_item", "hash")), "leak-windows")
     n_places = places.count()
 
-    temps = texts.select("doc", template(tokens(F.col("text"), "inside")).alias("temp"), literal(tokens(F.col("text"), "none")).alias("words"))
+    temps = texts.select("doc", template(tokens(F.col("text"), "all")).alias("temp"), literal(tokens(F.col("text"), "none")).alias("words"))
     made = [window_hashes(F.col("words" if form == LITERAL else "temp"), s, form) for form, s in sizes] or [none]
     spots = temps.select("doc", *[m.alias(f"w{i}") for i, m in enumerate(made)])
     spots = spots.select("doc", F.explode_outer(F.array(*[f"w{i}" for i in range(len(made))])).alias("w")).select(
@@ -185,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     # the few documents concerned once more, aligned with their items
     again = texts.join(pairs.select("doc").distinct(), "doc", "left_semi").distinct()
-    again = again.select("doc", tokens(F.col("text"), "inside").alias("d_toks"), tokens(F.col("text"), "none").alias("d_words"))
+    again = again.select("doc", tokens(F.col("text"), "all").alias("d_toks"), tokens(F.col("text"), "none").alias("d_words"))
     copies = again.join(pairs.join(items.select("key", "form"), "key").groupBy("doc").agg(
         F.collect_list(F.struct("key", "form", "diagonal", "cover", "near", "low", "length")).alias("copies")), "doc")
     cut = lambda c, toks: F.slice(toks, c["low"] + 1, c["length"])

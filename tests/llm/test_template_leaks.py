@@ -82,3 +82,14 @@ def test_slots_map_by_majority(spark):
     merged = CHANGED.replace("90", "25")  # 14 and 80 both become 25
     got = leaks_of(spark, [QUESTION.replace("sold 14", "sold 15"), merged, UNFAITHFUL, short.replace("sold 14", "sold 15")], [QUESTION, short])
     assert set(got) == {(0, 0), (1, 0), (3, 1)} and got[1, 0].kind == "re-parameterised"
+
+
+def test_names_of_two_words_openers_context_and_case(spark):
+    two = QUESTION.replace("Maria", "Anna Lena").replace("Peter", "Jean Paul")
+    opens = "Maria had 14 red apples. Maria ate 3 of them. Peter found 5 more. Peter gave 2 to us."
+    other = "Helga had 25 red apples. Helga ate 7 of them. Bruno found 9 more. Bruno gave 4 to us."
+    brief = "Which river is longest here"
+    got = leaks_of(spark, [two, other, f"Question three\n{brief}\nmore text", QUESTION.lower(), f"and {CHANGED[0].lower()}{CHANGED[1:]}", "1 500 apples"],
+                   [QUESTION, opens, brief])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 0)}
+    assert got[0, 0].kind == got[1, 1].kind == "re-parameterised" and got[3, 0].kind == "verbatim"
