@@ -47,8 +47,12 @@ def letters(text: str) -> np.ndarray:
     if not _LETTERS:
         _LETTERS.append(_letter_table())
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    # astral code points are letters of rare scripts far more often than not
-    return np.where(codes < 1 << 16, _LETTERS[0][np.minimum(codes, (1 << 16) - 1)], codes)
+    low = codes < 1 << 16
+    out = np.where(low, _LETTERS[0][np.minimum(codes, (1 << 16) - 1)], codes)
+    if not low.all():
+        seen, which = np.unique(codes[~low], return_inverse=True)
+        out[~low] = np.array([c if chr(c).isalpha() else SPACE for c in seen.tolist()], np.uint32)[which]
+    return out
 
 
 def words_only(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,3 +51,12 @@ def test_edge_cases(spark):
     none, nothing = train(docs.limit(0))
     assert none == [] and {r["__language"].lang for r in identify(docs, none, nothing).collect()} == {"und"}
     assert identify(docs.limit(0), langs, model).count() == 0
+
+
+def test_only_letters_count_beyond_the_basic_plane(spark):
+    rows = [(1, "\U0001F600\U0001F680 \U0001F600", "en"), (2, "12 \U0001F44D 34", "en"), (3, "the cat \U0001F431 sat", "en"), (4, "\U00010400\U00010401", None),
+            (5, "the cat sat", "en"), (6, "der Hund und die Katze", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r["__language"] for r in identify(docs, *train(docs)).collect()}
+    assert [(got[i].lang, got[i].score) for i in (1, 2)] == [("und", 0.0)] * 2
+    assert got[3].lang == "en" and got[4].lang != "und"
