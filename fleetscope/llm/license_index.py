@@ -2,7 +2,8 @@
 
 The templates (license sentences) are indexed by position on the words that are rarest
 in the corpus: document frequencies of all template words are counted over all
-documents, and every template is posted under its ``index_words`` words of highest IDF.
+documents, and every template is posted under its ``index_words`` words of highest IDF and
+under the rarest word of its mandatory phrases, so that no place is missed.
 A file looks up those words where they occur; each meeting of an occurrence at word p
 with a posting at offset o places the template at p - o. A place counts if all
 mandatory key phrases stand at their relative positions and at least ``share`` of the
@@ -124,7 +125,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     idf = inverse_frequencies(rows, sorted({w for t in templates for w in t.words}))
     by_rarity = lambda t: sorted(set(t.words), key=lambda w: (-idf[w], w))
     # a base place holds all its words, so its rarest one finds every place
-    rare = [by_rarity(t)[:1 if t.base else index_words] for t in templates]
+    # a key phrase stands at every place, so its rarest word finds those whose other words differ
+    in_key = lambda t: [w for w in by_rarity(t) if any(w in part for _, part in t.keys)][:1]
+    rare = [by_rarity(t)[:1] if t.base else by_rarity(t)[:index_words] + in_key(t) for t in templates]
     looked_up = sorted({w for r in rare for w in r})
     n = F.size("words")
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

@@ -49,3 +49,10 @@ def test_edge_cases(spark):
     assert scan(docs.limit(0)).count() == 0
     one = scan(docs, templates=BASE + (Template.of("x", "any person getting"),)).where("id = 7").first()
     assert [f.label for f in one.found] == ["x"]
+
+
+def test_places_whose_rare_words_differ(spark):
+    text = "the terms of the gnu general public license as published by the one soft software two version 3 of the license"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("version 3", "version 2"))], "doc_id long, text string")
+    got = {r.id: [(f.label, f.places) for f in r.found] for r in scan(docs).collect()}
+    assert got == {1: [("gpl-3", [0])], 2: []}
