@@ -4,7 +4,7 @@ distributions, risk scores, fleet averages and outcome tracking
 (WIN6-WIN14, AGG33-AGG37, JON12, JON13, JON15, ANA10, ANA11).
 
 Windows over raw rows never partition by device alone: row-based neighbours come
-from windows over (device, bucket) joined up at the buckets' edge rows; range windows
+from the ordered scan (``operators/scan.py``); range windows
 replicate a halo of the previous ``window`` into each time bucket, so each group is
 bounded by rate x (bucket + window).
 """
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import window_rows
-from fleetscope.operators.ordered import with_neighbours
 from fleetscope.operators.rollups import bucket_percentile
+from fleetscope.operators.scan import with_neighbours
 
 # 5-point quadratic (Savitzky-Golay) weights and divisor.
 SAVGOL_WEIGHTS = [-3, 12, 17, 12, -3]
@@ -27,19 +27,18 @@ SAVGOL_NORM = 35.0
 RISK_LEVELS = [(25, "low"), (50, "medium"), (75, "high"), (100, "critical")]
 
 
-def moving_average(df: DataFrame, value_col: str, n: int = 3, key: str = "gpu_uuid", time_col: str = "time",
-                   bucket: str = "1 hour") -> DataFrame:
+def moving_average(df: DataFrame, value_col: str, n: int = 3, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
     """Mean of the current and previous ``n - 1`` samples; the first ``n - 1`` rows are dropped (WIN10)."""
-    d = with_neighbours(df.select(key, time_col, value_col), [value_col], n - 1, 0, key, time_col, bucket)
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], n - 1, 0, key, time_col)
     total = F.col(value_col)
     for k in range(n - 1, 0, -1):
         total = total + F.col(f"{value_col}_m{k}")
     return d.where(F.col("row_index") >= n - 1).select(key, time_col, "row_index", (total / float(n)).alias("moving_avg"))
 
 
-def savgol5(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time", bucket: str = "1 hour") -> DataFrame:
+def savgol5(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
     """5-point quadratic smoothing; edge rows (missing neighbours) are NULL (WIN12)."""
-    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 2, key, time_col, bucket)
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 2, key, time_col)
     cols = [f"{value_col}_m2", f"{value_col}_m1", value_col, f"{value_col}_p1", f"{value_col}_p2"]
     s = None
     for w, c in zip(SAVGOL_WEIGHTS, cols):
@@ -48,9 +47,9 @@ def savgol5(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str
     return d.select(key, time_col, "row_index", (s / SAVGOL_NORM).alias("smoothed"))
 
 
-def second_derivative(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time", bucket: str = "1 hour") -> DataFrame:
+def second_derivative(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
     """Change of the change between successive samples: x[i] - 2 x[i-1] + x[i-2] (AGG36)."""
-    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 0, key, time_col, bucket)
+    d = with_neighbours(df.select(key, time_col, value_col), [value_col], 2, 0, key, time_col)
     second = F.col(value_col) - 2.0 * F.col(f"{value_col}_m1") + F.col(f"{value_col}_m2")
     return d.select(key, time_col, "row_index", second.alias("second_derivative"))
 
@@ -169,13 +168,12 @@ def bucket_spikes(rollup: DataFrame, value_col: str = "gpu_temp_avg", jump: floa
                   .where(F.col("delta") > jump))
 
 
-def largest_gaps(df: DataFrame, n: int = 10, key: str = "gpu_uuid", time_col: str = "time",
-                 bucket: str = "1 hour") -> DataFrame:
+def largest_gaps(df: DataFrame, n: int = 10, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
     """``lead(time) - time`` per device, largest first, top ``n`` (WIN7).
 
     The last sample of a device has a NULL gap, ordered last as in the SQL.
     """
-    g = with_neighbours(df.select(key, time_col), [time_col], 0, 1, key, time_col, bucket)
+    g = with_neighbours(df.select(key, time_col), [time_col], 0, 1, key, time_col)
     nxt = F.col(f"{time_col}_p1")
     gap = (F.unix_micros(nxt) - F.unix_micros(time_col)) / 1e6
     return (g.select(key, time_col, nxt.alias("next_time"), gap.alias("gap_seconds"))
@@ -192,25 +190,27 @@ def interpolate_grid(df: DataFrame, value_col: str, every_seconds: int = 3600, k
     """Regular grid between each device's first and last bucket, empty buckets
     filled linearly from the neighbouring non-empty buckets (WIN11).
 
-    The grid is generated per device with ``sequence``; the fill windows run
-    over grid rows (one per bucket), bounded by the device's time span.
+    Every bucket with a value meets the next one in the ordered scan and unfolds the grid up
+    to it, so no window runs over a device's grid. Buckets outside the first and the last
+    value have nothing to interpolate from: they are NULL.
     """
     r = resample(df, value_col, f"{every_seconds} seconds", key)
-    span = r.groupBy(key).agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
-    grid = span.select(key, F.explode(F.sequence("_lo", "_hi", F.make_interval(secs=F.lit(every_seconds))))
-                       .alias("time"))
-    g = grid.join(r, [key, "time"], "left").withColumn("_s", F.unix_seconds("time"))
-    wb = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    # the next value: the last one seen when going backwards, so that no frame is re-read per row
-    wf = Window.partitionBy(key).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select("*",
-                 F.last(F.when(F.col("value").isNotNull(), F.struct("_s", "value")), True).over(wb).alias("_prev"),
-                 F.last(F.when(F.col("value").isNotNull(), F.struct("_s", "value")), True).over(wf).alias("_next"))
-    frac = F.try_divide((F.col("_s") - F.col("_prev._s")).cast("double"),
-                        (F.col("_next._s") - F.col("_prev._s")).cast("double"))
-    interp = F.col("_prev.value") + (F.col("_next.value") - F.col("_prev.value")) * F.coalesce(frac, F.lit(0.0))
-    return g.select(key, "time", F.coalesce(F.col("value"), interp).alias("value"),
-                    F.col("value").isNull().alias("interpolated"))
+    step = F.make_interval(secs=F.lit(every_seconds))
+    met = with_neighbours(r.where(F.col("value").isNotNull()), ["time", "value"], ahead=1, key=key)
+    at = F.explode(F.when(F.col("time_p1").isNull(), F.array("time")).otherwise(F.sequence(F.col("time"), F.col("time_p1") - step, step)))
+    inner = met.select(key, F.col("time").alias("_t"), F.col("value").alias("_v"), "time_p1", "value_p1", at.alias("time"))
+    seconds = lambda c: F.unix_seconds(c).cast("double")
+    share = (seconds("time") - seconds("_t")) / (seconds("time_p1") - seconds("_t"))
+    own = F.col("time") == F.col("_t")
+    inner = inner.select(key, "time", F.when(own, F.col("_v")).otherwise(F.col("_v") + (F.col("value_p1") - F.col("_v")) * share).alias("value"),
+                         (~own).alias("interpolated"))
+    has = F.when(F.col("value").isNotNull(), F.col("time"))
+    span = r.groupBy(key).agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.min(has).alias("from"), F.max(has).alias("to"))
+    before = F.when(F.col("lo") < F.coalesce("from", F.col("hi") + step), F.sequence(F.col("lo"), F.coalesce(F.col("from") - step, F.col("hi")), step))
+    after = F.when(F.col("to") < F.col("hi"), F.sequence(F.col("to") + step, F.col("hi"), step))
+    none = F.array().cast("array<timestamp>")
+    outer = span.select(key, F.explode(F.concat(F.coalesce(before, none), F.coalesce(after, none))).alias("time"))
+    return inner.unionByName(outer.select(key, "time", F.lit(None).cast("double").alias("value"), F.lit(True).alias("interpolated")))
 
 
 def risk_score(metrics: DataFrame, as_of: Column, window: str = "7 days") -> DataFrame:

@@ -1,103 +1,38 @@
 """Order-dependent per-device statistics that stay skew-safe (WIN2, WIN5, AGG19).
 
-A window partitioned by device alone sends a hot device's whole history to one
-task. These helpers partition by (device, time bucket) instead, so the largest
-window partition is bounded by sampling rate x bucket width, and repair the
-bucket boundaries with a small per-(device, bucket) aggregate. Results are exact.
+A window partitioned by device alone sends a hot device's whole history to one task. These
+statistics come from the ordered scan (``operators/scan.py``), which range-partitions by
+(device, time) and stitches the partitions from their boundary rows. Results are exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET = "1 hour"
+from fleetscope.operators.scan import with_neighbours
 
 
-def _bucketed(df: DataFrame, key: str, time_col: str, bucket: str) -> DataFrame:
-    return df.withColumn("_b", F.window(F.col(time_col), bucket).start)
+def gap_counts(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time", threshold_seconds: float = 300) -> DataFrame:
+    """Per key: number of consecutive samples more than ``threshold_seconds`` apart."""
+    t = df.select(key, F.unix_micros(F.col(time_col).cast("timestamp")).alias("_us"))
+    gap = F.col("_us") - F.col("_us_m1")
+    return (with_neighbours(t, ["_us"], back=1, key=key, time_col="_us").groupBy(key)
+            .agg(F.count_if(gap > F.lit(int(threshold_seconds * 1_000_000))).alias("gap_count")))
 
 
-def gap_counts(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time",
-               threshold_seconds: float = 300, bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    """Per key: number of consecutive samples more than ``threshold_seconds`` apart.
-
-    Gaps inside a bucket come from ``lag`` over (key, bucket); gaps that cross a
-    bucket boundary come from ``lag`` over the per-(key, bucket) first/last times,
-    whose window holds one row per bucket.
-    """
-    thr = F.lit(int(threshold_seconds * 1_000_000))
-    t = _bucketed(df.select(key, time_col), key, time_col, bucket) \
-        .withColumn("_us", F.unix_micros(F.col(time_col).cast("timestamp")))
-    w_in = Window.partitionBy(key, "_b").orderBy("_us")
-    inner = (t.withColumn("_prev", F.lag("_us").over(w_in))
-              .groupBy(key).agg(F.count_if((F.col("_us") - F.col("_prev")) > thr).alias("_g_in")))
-    edges = t.groupBy(key, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
-    w_b = Window.partitionBy(key).orderBy("_b")
-    cross = (edges.withColumn("_prev_last", F.lag("_last").over(w_b))
-                  .groupBy(key).agg(F.count_if((F.col("_first") - F.col("_prev_last")) > thr).alias("_g_x")))
-    return (inner.join(cross, key, "full")
-                 .select(key, (F.coalesce("_g_in", F.lit(0)) + F.coalesce("_g_x", F.lit(0))).alias("gap_count")))
-
-
-def with_neighbours(df: DataFrame, cols, back: int = 0, ahead: int = 0, key: str = "gpu_uuid", time_col: str = "time",
-                    bucket: str = DEFAULT_BUCKET) -> DataFrame:
-    """Each row with its 0-based ``row_index`` and the values of ``cols`` in the ``back``
-    previous (``_m1``, ``_m2``, ...) and ``ahead`` following (``_p1``, ...) rows of its key.
-
-    Neighbour columns are ``<col>_m1`` and so on. One shuffle by (key, bucket) gives the
-    neighbours inside a bucket. The first and last few rows of each bucket
-    take the others from a window over those edge rows alone, a fixed number per
-    bucket, which also holds the running row count; the remaining rows get that count
-    by a join on (key, bucket), the partitioning they already have.
-    """
-    d = _bucketed(df, key, time_col, bucket)
-    w = Window.partitionBy(key, "_b").orderBy(time_col)
-    shifts = [(f"{c}_m{k}", c, k) for c in cols for k in range(1, back + 1)] + [
-        (f"{c}_p{k}", c, -k) for c in cols for k in range(1, ahead + 1)]
-    d = d.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(key, "_b")),
-                       **{name: F.lag(c, k).over(w) for name, c, k in shifts}})
-    reach = max(1, back, ahead)  # a head row looks back to the tail rows of the bucket before, and so on
-    first, last = F.col("_rn") <= reach, F.col("_rn") > F.col("_n") - reach
-    across = Window.partitionBy(key).orderBy("_b", "_rn")
-    run = F.sum(F.when(F.col("_rn") == 1, F.col("_n")).otherwise(0)).over(across.rowsBetween(Window.unboundedPreceding, 0))
-    edges = d.where(first | last).withColumns({"_off": run - F.col("_n"), **{
-        f"{name}__x": F.lag(c, k).over(across) for name, c, k in shifts}})
-    # a neighbour outside the bucket exists only where the bucket has too few rows on that side
-    inside = lambda k: (F.col("_rn") > k) if k > 0 else (F.col("_rn") <= F.col("_n") + k)
-    edges = edges.withColumns({name: F.when(inside(k), F.col(name)).otherwise(F.col(f"{name}__x")) for name, _, k in shifts})
-    offsets = edges.where("_rn = 1").select(key, "_b", "_off")
-    rest = d.where(~(first | last)).join(offsets, [key, "_b"])
-    out = [*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias("row_index"), *[name for name, _, _ in shifts]]
-    return edges.select(*out).unionByName(rest.select(*out))
-
-
-def with_row_index(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time",
-                   bucket: str = DEFAULT_BUCKET, out: str = "row_index") -> DataFrame:
-    """0-based position of each row in its key's time order (WIN5).
-
-    index = rows of the key in earlier buckets (running sum over one row per
-    bucket) + position inside the bucket (window over (key, bucket)).
-    """
-    d = _bucketed(df, key, time_col, bucket)
-    counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_prefix = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_b", F.coalesce(F.sum("_n").over(w_prefix), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(key, "_b").orderBy(time_col)
-    return (d.withColumn("_rn", F.row_number().over(w_in))
-             .join(offsets, [key, "_b"], "inner")
-             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-             .drop("_b", "_rn", "_off"))
+def with_row_index(df: DataFrame, key: str = "gpu_uuid", time_col: str = "time") -> DataFrame:
+    """0-based position of each row in its key's time order, as ``row_index`` (WIN5)."""
+    return with_neighbours(df, [], key=key, time_col=time_col)
 
 
-def index_slope(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time",
-                bucket: str = DEFAULT_BUCKET, min_rows: int = 3) -> DataFrame:
+def index_slope(df: DataFrame, value_col: str, key: str = "gpu_uuid", time_col: str = "time", min_rows: int = 3) -> DataFrame:
     """Least-squares slope of ``value_col`` on the row index (AGG19).
 
     Rows with a NULL value keep their index but do not enter the fit; keys with
     fewer than ``min_rows`` rows get 0, as the reference does for n <= 2.
     """
-    idx = with_row_index(df.select(key, time_col, value_col), key, time_col, bucket)
+    idx = with_row_index(df.select(key, time_col, value_col), key, time_col)
     return (idx.groupBy(key)
                .agg(F.count(F.lit(1)).alias("_n"),
                     F.regr_slope(F.col(value_col), F.col("row_index").cast("double")).alias("_s"))

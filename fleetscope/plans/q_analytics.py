@@ -198,7 +198,7 @@ FROM (SELECT gpu_uuid, epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY gp
       FROM gpu_metrics) GROUP BY 1"""))
 def win02_gap_counts(spark, sf):
     m = load_fleet(spark, sf)["metrics"]
-    return ordered.gap_counts(m, "gpu_uuid", "time", P["gap_seconds"], "1 day") \
+    return ordered.gap_counts(m, "gpu_uuid", "time", P["gap_seconds"]) \
                   .withColumn("gap_count", F.col("gap_count").cast("int"))
 
 
@@ -323,7 +323,7 @@ FROM (SELECT gpu_uuid, gpu_temp, row_number() OVER (PARTITION BY gpu_uuid ORDER
 GROUP BY 1""", ["slope"])))
 def agg19_temp_trend_slope(spark, sf):
     m = load_fleet(spark, sf)["metrics"]
-    return finish(ordered.index_slope(m, "gpu_temp", "gpu_uuid", "time", "1 day"))
+    return finish(ordered.index_slope(m, "gpu_temp", "gpu_uuid", "time"))
 
 
 # ---------------------------------------------------------------- predictions

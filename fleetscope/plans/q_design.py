@@ -25,7 +25,7 @@ SELECT gpu_uuid, time, rn - 1 AS row_index, ma AS moving_avg FROM (
          (gpu_temp + lag(gpu_temp, 1) OVER w + lag(gpu_temp, 2) OVER w) / 3.0 AS ma
   FROM gpu_metrics WINDOW w AS (PARTITION BY gpu_uuid ORDER BY time)) WHERE rn >= 3""", ["moving_avg"])))
 def win10_moving_average_3(spark, sf):
-    return finish(design.moving_average(_m(spark, sf), "gpu_temp", 3, bucket="1 day"))
+    return finish(design.moving_average(_m(spark, sf), "gpu_temp", 3))
 
 
 @register("win12_savgol_5", sql(rnd("""
@@ -34,7 +34,7 @@ SELECT gpu_uuid, time, row_number() OVER w - 1 AS row_index,
    + lead(gpu_temp, 1) OVER w * 12.0 + lead(gpu_temp, 2) OVER w * -3.0) / 35.0 AS smoothed
 FROM gpu_metrics WINDOW w AS (PARTITION BY gpu_uuid ORDER BY time)""", ["smoothed"])))
 def win12_savgol_5(spark, sf):
-    return finish(design.savgol5(_m(spark, sf), "gpu_temp", bucket="1 day"))
+    return finish(design.savgol5(_m(spark, sf), "gpu_temp"))
 
 
 @register("win08_rolling_day_stats", sql(rnd("""
@@ -62,7 +62,7 @@ SELECT gpu_uuid, time, next_time, (epoch_us(next_time) - epoch_us(time)) / 1e6 A
   SELECT gpu_uuid, time, lead(time) OVER (PARTITION BY gpu_uuid ORDER BY time) AS next_time FROM gpu_metrics)
 ORDER BY gap_seconds DESC NULLS LAST, gpu_uuid, time LIMIT 10""", ["gap_seconds"])))
 def win07_largest_gaps(spark, sf):
-    return finish(design.largest_gaps(_m(spark, sf), 10, bucket="1 day"))
+    return finish(design.largest_gaps(_m(spark, sf), 10))
 
 
 @register("win11_interpolated_daily_grid", sql(rnd("""

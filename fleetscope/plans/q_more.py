@@ -207,7 +207,7 @@ SELECT gpu_uuid, time, row_number() OVER w - 1 AS row_index,
   CAST(ecc_sbe_aggregate AS DOUBLE) - 2.0 * lag(ecc_sbe_aggregate, 1) OVER w + lag(ecc_sbe_aggregate, 2) OVER w AS second_derivative
 FROM gpu_metrics WINDOW w AS (PARTITION BY gpu_uuid ORDER BY time)""", ["second_derivative"])))
 def agg36_second_derivative(spark, sf):
-    return finish(design.second_derivative(_m(spark, sf), "ecc_sbe_aggregate", bucket="1 day"))
+    return finish(design.second_derivative(_m(spark, sf), "ecc_sbe_aggregate"))
 
 
 @register("agg37_valuation_totals", sql(rnd(f"""

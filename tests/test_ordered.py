@@ -28,18 +28,17 @@ def test_gap_counts_match_bruteforce(spark):
     rows, df = make(spark)
     pdf = pd.DataFrame(rows, columns=["gpu_uuid", "time", "v"]).sort_values(["gpu_uuid", "time"])
     exp = pdf.groupby("gpu_uuid")["time"].apply(lambda s: int((s.diff().dt.total_seconds() > 300).sum())).to_dict()
-    for bucket in ("1 hour", "1 day"):
-        got = {r.gpu_uuid: r.gap_count for r in gap_counts(df, "gpu_uuid", "time", 300, bucket).collect()}
-        assert got == exp
+    got = {r.gpu_uuid: r.gap_count for r in gap_counts(df, "gpu_uuid", "time", 300).collect()}
+    assert got == exp
 
 
 def test_row_index_and_slope(spark):
     rows, df = make(spark)
     pdf = pd.DataFrame(rows, columns=["gpu_uuid", "time", "v"]).sort_values(["gpu_uuid", "time"])
     pdf["idx"] = pdf.groupby("gpu_uuid").cumcount()
-    got = with_row_index(df, "gpu_uuid", "time", "1 hour").toPandas().sort_values(["gpu_uuid", "time"])
+    got = with_row_index(df, "gpu_uuid", "time").toPandas().sort_values(["gpu_uuid", "time"])
     assert list(got["row_index"]) == list(pdf["idx"])
-    slopes = {r.gpu_uuid: r.slope for r in index_slope(df, "v", "gpu_uuid", "time", "1 day").collect()}
+    slopes = {r.gpu_uuid: r.slope for r in index_slope(df, "v", "gpu_uuid", "time").collect()}
     for dev, g in pdf.groupby("gpu_uuid"):
         ok = g.dropna(subset=["v"])
         if len(g) < 3:

@@ -43,16 +43,14 @@ def test_raw_windows_are_bucketed(spark):
     t = load_fleet(spark, SF_SMALL)
     m = t["metrics"]
     a = as_of_col(m)
-    for df in (ordered.gap_counts(m, "gpu_uuid", "time", 300, "1 hour"),
-               ordered.index_slope(m, "gpu_temp"),
-               latest.latest_n_per_key(m, 24),
+    for df in (latest.latest_n_per_key(m, 24),
                latest.latest_n_per_key(m, 50_000),
                health.health_scores(m, a, 30, "1 day", 86400, 36000),
-               features.gpu_features(m, t["assets"], a, "30 days"),
-               design.moving_average(m, "gpu_temp", 3),
-               design.savgol5(m, "gpu_temp"),
-               design.largest_gaps(m, 10)):
+               features.gpu_features(m, t["assets"], a, "30 days")):
         assert device_only_windows_are_bounded(_plan(df)) > 0
+    for df in (ordered.gap_counts(m, "gpu_uuid", "time", 300), ordered.index_slope(m, "gpu_temp"), design.moving_average(m, "gpu_temp", 3),
+               design.savgol5(m, "gpu_temp"), design.largest_gaps(m, 10), design.interpolate_grid(m, "gpu_temp")):
+        assert "Window" not in _plan(df) and "rangepartitioning" in _plan(df)
 
 
 def test_rolling_statistics_need_one_shuffle(spark):
