@@ -7,9 +7,11 @@ so Spark combines map-side before the shuffle on (bucket, device, host).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.operators.quantile import exact_quantiles
+
 # The stored rollup levels and whether they carry ``power_usage_min``.
 LEVELS = {
     "1min": ("1 minute", False),
@@ -105,20 +107,9 @@ def utilization_per_watt(metrics: DataFrame, every: str = "15 minutes") -> DataF
 def bucket_percentile(metrics: DataFrame, every: str, value_col: str, p: float) -> DataFrame:
     """Exact interpolated percentile per bucket of the whole fleet: (time, value).
 
-    Values are counted per (bucket, value) first; a running count over a bucket's
-    distinct values, sorted and able to spill, then finds the two ranks. No task holds a
-    bucket's samples, only streams its distinct values.
+    Found by histogram refinement (``operators/quantile.py``); each round is a job.
     """
-    counts = (metrics.where(F.col(value_col).isNotNull()).groupBy(bucket("time", every).alias("time"), F.col(value_col).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy("time").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(Window.partitionBy("time"))
-    rank = (F.col("_n") - 1) * F.lit(p)
-    d = counts.withColumns({"_upto": upto, "_n": n}).withColumn("_rank", rank)
-    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    g = d.groupBy("time").agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_z"),
-                              F.max(F.col("_rank") - F.floor("_rank")).alias("_part"))
-    return g.select("time", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias("value"))
+    return exact_quantiles(metrics, bucket("time", every), F.col(value_col), {"value": p}).withColumnRenamed("b", "time")
 
 
 def fleet_buckets(metrics: DataFrame, every: str = "5 minutes", exact: bool = True) -> DataFrame:
