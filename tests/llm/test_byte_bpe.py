@@ -11,7 +11,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetscope.llm.byte_bpe import ByteBpe, decode_table, encode_table, load_ranks, merge_piece
+from fleetscope.llm import byte_bpe
+from fleetscope.llm.byte_bpe import ByteBpe, PairRanks, decode_table, encode_table, load_ranks, merge_many, merge_piece
 from fleetscope.llm.q_byte_bpe import op12_byte_bpe
 
 SF = "/root/testdata/sf0.01"
@@ -38,7 +39,7 @@ def test_whole_table_against_the_library(spark):
 @given(st.text(max_size=80))
 def test_any_text_against_the_library(text):
     bpe = load_ranks(PATH, P.PATTERN)
-    ids = bpe.encode(text)
+    [ids] = bpe.encode([text])
     assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text)
     assert bpe.decode(ids) == text.encode()
 
@@ -69,18 +70,32 @@ def test_segment_tree_against_the_definition():
         for n in (1, 2, 3, 7, 8, 9, 40):
             piece = bytes(rng.choice(b"aab") for _ in range(n))
             assert merge_piece(piece, ranks) == plain_merges(piece, ranks)
+        single, pairs = np.arange(256), PairRanks(ranks)
+        for shift, longest in ((1, 2), (2, 4), (5, 32)):
+            pieces = [p for p in (bytes(rng.choice(b"aab") for _ in range(rng.randrange(2, longest + 1))) for _ in range(30)) if p not in ranks]
+            got = [np.frombuffer(x, "<u4").tolist() for x in merge_many(pieces, shift, single, pairs)]
+            assert got == [plain_merges(p, ranks) for p in pieces]
 
 
 def test_long_pieces_and_every_byte():
     rng = random.Random(6)
     bpe = load_ranks(PATH, P.PATTERN)
     for text in ("a" * 50_000, " " * 30_001 + "x", "".join(rng.choice("abcdeACGT") for _ in range(40_000)), "".join(map(chr, range(1, 0x3000))), "\U0001f600" * 2000):
-        ids = bpe.encode(text)
+        [ids] = bpe.encode([text])
         assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text) and bpe.decode(ids) == text.encode()
     with pytest.raises(ValueError):
         ByteBpe({b"a": 0}, P.PATTERN)
 
 
+def test_forgetting_pieces_changes_nothing(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED", 20)
+    bpe = ByteBpe(RANKS, P.PATTERN)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcäö") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(30)]
+    got = [x for part in byte_bpe.in_portions(texts, 500) for x in bpe.encode(part)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode_ordinary(t) for t in texts] and len(bpe.older) < 300
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "twice", 0), (3, "twice", 0), (None, "no id", 1), (4, " \n\t ", 1), (5, "w " * 200_000, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
