@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import window_rows
+from fleetscope.operators.asof import asof_join
 from fleetscope.operators.rollups import bucket_percentile
 from fleetscope.operators.scan import with_neighbours
 
@@ -391,23 +392,13 @@ def merged_view(scores: DataFrame, risks: DataFrame, assets: DataFrame) -> DataF
 
 def outcome_confusion(predictions: DataFrame, failures: DataFrame, horizon_days: int = 30,
                       threshold: float = 0.5) -> DataFrame:
-    """Predictions against recorded failures within the horizon, by month (ANA11).
-
-    The failure list per device is tiny, so the equi-join on the device never
-    fans out; the horizon is a filter after it.
-    """
-    f = failures.select("gpu_uuid", F.col("failure_date").cast("timestamp").alias("_fd"))
-    j = predictions.join(f, "gpu_uuid", "left")
-    hit = (F.col("_fd") > F.col("time")) & (F.col("_fd") <= F.col("time") + F.make_interval(days=F.lit(horizon_days)))
-    per = j.groupBy("gpu_uuid", "time", "failure_prob_30d").agg(F.max(hit.cast("int")).alias("failed"))
-    pred = (F.col("failure_prob_30d") >= threshold).cast("int")
-    return (per.withColumn("predicted", pred).groupBy(F.date_trunc("month", "time").alias("month"))
-            .agg(F.sum(((F.col("predicted") == 1) & (F.col("failed") == 1)).cast("int")).alias("tp"),
-                 F.sum(((F.col("predicted") == 1) & (F.coalesce(F.col("failed"), F.lit(0)) == 0)).cast("int"))
-                 .alias("fp"),
-                 F.sum(((F.col("predicted") == 0) & (F.col("failed") == 1)).cast("int")).alias("fn"),
-                 F.sum(((F.col("predicted") == 0) & (F.coalesce(F.col("failed"), F.lit(0)) == 0)).cast("int"))
-                 .alias("tn")))
+    """Predictions against recorded failures within the horizon, by month (ANA11)."""
+    f = failures.select("gpu_uuid", F.col("failure_date").cast("timestamp").alias("time"))
+    met = asof_join(predictions.select("gpu_uuid", "time", "failure_prob_30d"), f)
+    failed = F.coalesce(F.col("next_event.time") <= F.col("time") + F.make_dt_interval(days=F.lit(horizon_days)), F.lit(False))
+    said = F.col("failure_prob_30d") >= threshold
+    return met.groupBy(F.date_trunc("month", "time").alias("month")).agg(
+        F.count_if(said & failed).alias("tp"), F.count_if(said & ~failed).alias("fp"), F.count_if(~said & failed).alias("fn"), F.count_if(~said & ~failed).alias("tn"))
 
 
 def stream_static_inner(events: DataFrame, dim: DataFrame, key: str = "gpu_uuid") -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.timewin import as_of_col, window_rows
+from fleetscope.operators.asof import asof_join
 from fleetscope.operators.health import round_half_up
 from fleetscope.operators.latest import latest_per_key
+from fleetscope.operators.outcomes import days_between
 
 MODEL_VERSION = "1.0"
 # Failure types in tie-break order.
@@ -133,16 +135,18 @@ def train_model(features: DataFrame, label_col: str = "label", feature_names=Non
 
 
 def labels_within_horizon(features: DataFrame, failure_labels: DataFrame, days: int = 30) -> DataFrame:
-    """Label = a recorded failure within ``days`` after the feature time ([D] label join).
+    """``features`` with ``label`` (a recorded failure within ``days`` after the feature time, [D] label
+    join), ``lead_days`` to the next failure, its ``next_failure_type`` and ``days_since_failure``.
 
-    The range condition is evaluated after an equi-join on the device, whose
-    failure list is tiny (a few rows), so the join never fans out.
+    An as-of join: however many failures a device has, each row meets its last and its next one.
+    A failure at the row's own time has happened. Without a ``failure_type`` column the type is NULL.
     """
-    fl = failure_labels.select("gpu_uuid", F.col("failure_date").cast("timestamp").alias("_fd"))
-    j = features.join(fl, "gpu_uuid", "left")
-    hit = (F.col("_fd") > F.col("time")) & (F.col("_fd") <= F.col("time") + F.make_interval(days=F.lit(days)))
-    keys = [c for c in features.columns]
-    return j.groupBy(*keys).agg(F.max(F.when(hit, 1).otherwise(0)).alias("label"))
+    kind = F.col("failure_type").cast("string") if "failure_type" in failure_labels.columns else F.lit(None).cast("string")
+    events = failure_labels.select("gpu_uuid", F.col("failure_date").cast("timestamp").alias("time"), kind.alias("kind"))
+    met = asof_join(features, events)
+    soon = F.col("next_event.time") <= F.col("time") + F.make_dt_interval(days=F.lit(days))
+    return met.select(*features.columns, F.coalesce(soon, F.lit(False)).cast("int").alias("label"), days_between(F.col("time"), F.col("next_event.time")).alias("lead_days"),
+                      F.col("next_event.kind").alias("next_failure_type"), days_between(F.col("last_event.time"), F.col("time")).alias("days_since_failure"))
 
 
 def fold_of(key: str, folds: int, seed: int = 42) -> Column:
