@@ -1,10 +1,12 @@
 """Table maintenance on date-partitioned parquet tables (SRC3, SRC7, SNK2-SNK11).
 
-Every operation evaluates its input once, into a staging folder beside the table, and
-rewrites only the partitions its rows concern. New partition folders are prepared
-aside and exchanged by renames; a swap that was cut short is undone or finished by
-the next operation (``recover``). ``MERGE INTO`` needs a v2 table format that this
-install lacks; these are its plain-parquet equivalents. One writer per table at a time.
+Every operation evaluates its input once and rewrites only the partitions its rows concern. The
+new content is first written whole into a pending folder beside the table; Spark's dynamic
+partition overwrite then puts it in place. An operation that ends in between is finished by
+the next one, or by ``replay``: overwriting from a complete pending folder again gives the same
+table, an incomplete one is dropped and the operation never took place. ``MERGE INTO`` needs a
+v2 table format that this install lacks; these are its plain-parquet equivalents. One writer per
+table at a time; a reader beside it may see a partition before its replacement.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,40 +32,20 @@ def with_date(df: DataFrame, time_col: str = "time") -> DataFrame:
     return df if PART_COL in df.columns else df.withColumn(PART_COL, F.to_date(F.col(time_col)))
 
 
-class Files:
-    """The few file-system calls that table maintenance needs, on any Hadoop path."""
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) for any Hadoop path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
-
-    def names(self, path: str) -> list[str]:
-        return [x.getPath().getName() for x in self._fs.listStatus(self._path(path))] if self.exists(path) else []
-
-    def newest(self, path: str, skip: str) -> int:
-        """Latest change (ms) of a folder's files, one name left out; 0 if there are none."""
-        return max([x.getModificationTime() for x in self._fs.listStatus(self._path(path)) if x.getPath().getName() != skip], default=0)
-
-    def changed(self, path: str) -> int:
-        return self._fs.getFileStatus(self._path(path)).getModificationTime()
-
-    def move(self, old: str, new: str) -> None:
-        self._fs.mkdirs(self._path(new).getParent())
-        if not self._fs.rename(self._path(old), self._path(new)):
-            raise OSError(f"cannot rename {old} to {new}")
-
-    def delete(self, path: str) -> None:
-        self._fs.delete(self._path(path), True)
-
-    def touch(self, path: str) -> None:
-        self._fs.create(self._path(path), True).close()
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    return Files(spark, path).exists(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -72,8 +55,8 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     try:
         return spark.read.parquet(path)
-    except Exception as e:  # AnalysisException: no parquet files to infer a schema from
-        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "Unable to infer schema" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 
@@ -102,53 +85,51 @@ def staged(df: DataFrame):
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        Files(spark, path).delete(path)
-
-
-SWAP = "_swap-"
-MARKER = "_compacted"
+        _delete(spark, path)
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Finish what an interrupted swap left: old partitions whose successor is not in
-    place go back, everything else of the swap goes."""
-    files = Files(spark, path)
-    for swap in [n for n in files.names(path) if n.startswith(SWAP)]:
-        for part in files.names(f"{path}/{swap}/old"):
-            if not files.exists(f"{path}/{part}"):
-                files.move(f"{path}/{swap}/old/{part}", f"{path}/{part}")
-        files.delete(f"{path}/{swap}")
+def _pending(path: str) -> str:
+    return f"{path.rstrip('/')}-pending"
 
 
-def _replace_partitions(rows: DataFrame, path: str, part_col: str | None, gone=(), mark: str | None = None) -> None:
-    """Exchange the partitions of ``rows`` (and drop those of ``gone`` that it has no rows for).
+def replay(spark: SparkSession, path: str) -> None:
+    """Put a complete pending folder of ``path`` in place (again), drop an incomplete one.
 
-    The new folders are complete before the first rename; each partition is then moved
-    aside and replaced, and the old folders go last. Without ``part_col`` the data files
-    of the whole table are one such unit.
+    ``rows`` holds the new content of whole partitions, ``touched`` the values of all partitions
+    concerned (none for a table without partitions); those without rows are removed.
     """
-    spark = rows.sparkSession
-    files, swap = Files(spark, path), f"{path.rstrip('/')}/{SWAP}{uuid.uuid4().hex}"
-    if part_col is None:
-        rows.write.parquet(f"{swap}/new")
-        old = [n for n in files.names(path) if not n.startswith("_")]
-        for n in old:
-            files.move(f"{path}/{n}", f"{swap}/old/{n}")
-        for n in files.names(f"{swap}/new"):
-            if not n.startswith("_"):
-                files.move(f"{swap}/new/{n}", f"{path}/{n}")
-        files.delete(swap)
+    pending = _pending(path)
+    if not _exists(spark, pending):
         return
-    rows.write.partitionBy(part_col).parquet(f"{swap}/new")
-    new = [n for n in files.names(f"{swap}/new") if n.startswith(f"{part_col}=")]
-    for part in dict.fromkeys([*new, *(f"{part_col}={g}" for g in gone)]):
-        if files.exists(f"{path}/{part}"):
-            files.move(f"{path}/{part}", f"{swap}/old/{part}")
-        if part in new:
-            files.move(f"{swap}/new/{part}", f"{path}/{part}")
-            if mark:
-                files.touch(f"{path}/{part}/{mark}")
-    files.delete(swap)
+    if _exists(spark, f"{pending}/rows/_SUCCESS"):
+        touched = spark.read.parquet(f"{pending}/touched")
+        rows = read_or_none(spark, f"{pending}/rows")
+        part_col = touched.columns[0] if touched.columns[0] != "_whole" else None
+        if part_col is None:
+            if rows is not None:
+                rows.write.mode("overwrite").parquet(path)
+        else:
+            if rows is not None:
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
+                touched = touched.join(rows.select(F.col(part_col).cast("string").alias("_has")).distinct(), F.col(part_col).eqNullSafe(F.col("_has")), "left_anti")
+            _drop_partitions(spark, path, part_col, [r[0] for r in touched.collect()])
+    _delete(spark, pending)
+
+
+def _replace(rows: DataFrame, path: str, part_col: str | None, touched=()) -> None:
+    """Give the partitions of ``rows`` and of ``touched`` the content of ``rows``; all of the table without ``part_col``."""
+    spark, pending = rows.sparkSession, _pending(path)
+    values = [(None if v is None else str(v),) for v in touched] if part_col else [("",)]
+    spark.createDataFrame(values, f"`{part_col or '_whole'}` string").write.parquet(f"{pending}/touched")
+    (rows.write.partitionBy(part_col) if part_col else rows.write).parquet(f"{pending}/rows")
+    replay(spark, path)
+
+
+def _in(c: str, values) -> Column:
+    """Whether a column has one of the values, NULL among them if it is one."""
+    known = [v for v in values if v is not None]
+    found = F.col(c).isin(known) if known else F.lit(False)
+    return found | F.col(c).isNull() if len(known) < len(list(values)) else found
 
 
 def first_per_key(df: DataFrame, keys, order_col: str, newest: bool = False) -> DataFrame:
@@ -203,7 +184,7 @@ def append_ignore(df: DataFrame, path: str, keys, time_col: str = "time", order_
     ``time_col`` among the keys, its own time range, both literals that prune the scan.
     """
     spark = df.sparkSession
-    recover(spark, path)
+    replay(spark, path)
     with staged(with_date(df, time_col).withColumn("_arrival", F.monotonically_increasing_id())) as batch:
         old = read_or_none(spark, path)
         if old is not None:
@@ -227,40 +208,40 @@ def upsert(df: DataFrame, path: str, keys, time_col: str = "time", update_cols=N
     newest by ``order_col`` (else the last to arrive) counts.
     """
     spark = df.sparkSession
-    recover(spark, path)
+    replay(spark, path)
     new = with_date(df, time_col) if part_col == PART_COL else df
     with staged(new.withColumn("_arrival", F.monotonically_increasing_id())) as batch:
         rows = first_per_key(batch, keys, order_col or "_arrival", newest=True).drop("_arrival")
         stored = read_or_none(spark, path)
         if stored is None:
-            _replace_partitions(upsert_frame(rows, None, keys, update_cols, updated_at), path, part_col)
+            _replace(upsert_frame(rows, None, keys, update_cols, updated_at), path, part_col)
             return
         if part_col is None:
-            _replace_partitions(upsert_frame(rows, stored, keys, update_cols, updated_at), path, None)
+            _replace(upsert_frame(rows, stored, keys, update_cols, updated_at), path, None)
             return
         parts = {r[0] for r in rows.select(part_col).distinct().collect()}
         if time_col not in keys or part_col != PART_COL:
             where = stored.join(rows.select(*keys), list(keys), "left_semi").select(part_col).distinct()
             parts |= {r[0] for r in where.collect()}
-        old = stored.where(F.col(part_col).isin(list(parts)))
-        _replace_partitions(upsert_frame(rows, old, keys, update_cols, updated_at), path, part_col, gone=parts)
+        old = stored.where(_in(part_col, parts))
+        _replace(upsert_frame(rows, old, keys, update_cols, updated_at), path, part_col, parts)
 
 
 def delete_where(spark: SparkSession, path: str, predicate: Column) -> None:
     """DELETE ... WHERE (SNK6): partitions holding matches are rewritten without
     them; partitions left empty are removed."""
-    recover(spark, path)
+    replay(spark, path)
     df = spark.read.parquet(path)
     hit = [r[0] for r in df.where(predicate).select(PART_COL).distinct().collect()]
     if hit:
-        keep = df.where(F.col(PART_COL).isin(hit) & ~F.coalesce(predicate, F.lit(False)))
-        _replace_partitions(keep, path, PART_COL, gone=hit)
+        keep = df.where(_in(PART_COL, hit) & ~F.coalesce(predicate, F.lit(False)))
+        _replace(keep, path, PART_COL, hit)
 
 
-def _drop_partitions(spark: SparkSession, path: str, dates) -> None:
-    files = Files(spark, path)
-    for d in dates:
-        files.delete(f"{path.rstrip('/')}/{PART_COL}={d}")
+def _drop_partitions(spark: SparkSession, path: str, part_col: str, values) -> None:
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for v in values:
+        _delete(spark, f"{path.rstrip('/')}/{name(part_col, None if v is None else str(v))}")
 
 
 def apply_retention(spark: SparkSession, path: str, days: int, as_of) -> list:
@@ -269,37 +250,44 @@ def apply_retention(spark: SparkSession, path: str, days: int, as_of) -> list:
     Only the list of partition values is read (a distinct over the partition
     column, answered from the directory listing), never the rows.
     """
-    recover(spark, path)
+    replay(spark, path)
     df = spark.read.parquet(path)
     cutoff = F.date_sub(F.to_date(F.lit(str(as_of)).cast("timestamp")), days)
     old = [r[0] for r in df.select(PART_COL).distinct().where(F.col(PART_COL) < cutoff).collect()]
-    _drop_partitions(spark, path, old)
+    _drop_partitions(spark, path, PART_COL, old)
     return old
 
 
+def _newest_files(spark: SparkSession, path: str) -> DataFrame:
+    """(date, newest): when the last data file of each partition was written, from the file listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    date = F.regexp_extract("path", rf"/{PART_COL}=([^/]+)/", 1)
+    return files.select(date.alias("d"), "modificationTime").where("d <> ''").groupBy("d").agg(F.max("modificationTime").alias("newest"))
+
+
 def compact(spark: SparkSession, path: str, older_than, segment_by=("gpu_uuid", "hostname"),
             time_col: str = "time") -> list:
     """Rewrite cold partitions clustered by device, newest first (SNK9), so parquet
     row-group min/max statistics prune device and time predicates. Returns their dates.
 
-    A compacted partition carries a marker file; it is done again only if a data file
-    is newer than that. Range partitioning on (date, device, time) uses sampled
-    boundaries, so a device holding a third of a day's rows is split across tasks.
+    A log beside the table notes each compacted partition with its newest file; it is done
+    again only if a data file is newer than that. Range partitioning on (date, device, time) uses
+    sampled boundaries, so a device holding a third of a day's rows is split across tasks.
     """
-    recover(spark, path)
-    files = Files(spark, path)
-    df = spark.read.parquet(path)
+    replay(spark, path)
+    df, log = spark.read.parquet(path), f"{path.rstrip('/')}-compacted"
     cold = [r[0] for r in df.where(F.col(PART_COL) < F.to_date(F.lit(str(older_than)).cast("timestamp")))
             .select(PART_COL).distinct().collect()]
-
-    def due(date) -> bool:
-        part = f"{path.rstrip('/')}/{PART_COL}={date}"
-        return not files.exists(f"{part}/{MARKER}") or files.newest(part, MARKER) > files.changed(f"{part}/{MARKER}")
-    cold = sorted(d for d in cold if due(d))
+    done = read_or_none(spark, log)
+    if done is not None:
+        same = _newest_files(spark, path).join(done, ["d", "newest"], "left_semi")
+        kept = {r.d for r in same.select("d").collect()}
+        cold = [d for d in cold if str(d) not in kept]
+    cold = sorted(cold)
     if cold:
-        rows = df.where(F.col(PART_COL).isin(cold))
-        rows = rows.repartitionByRange(PART_COL, *segment_by, time_col)
-        _replace_partitions(rows.sortWithinPartitions(PART_COL, *segment_by, F.col(time_col).desc()), path, PART_COL, mark=MARKER)
+        rows = df.where(F.col(PART_COL).isin(cold)).repartitionByRange(PART_COL, *segment_by, time_col)
+        _replace(rows.sortWithinPartitions(PART_COL, *segment_by, F.col(time_col).desc()), path, PART_COL, cold)
+        _newest_files(spark, path).where(F.col("d").isin([str(d) for d in cold])).write.mode("append").parquet(log)
     return cold
 
 
@@ -330,8 +318,8 @@ def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offse
     each touched day up to the end bound.
     """
     out = refresh_frame(metrics, level, as_of, start_offset, end_offset)
-    recover(out.sparkSession, path)
-    _replace_partitions(out, path, PART_COL)
+    replay(out.sparkSession, path)
+    _replace(out, path, PART_COL)
 
 
 ANOMALY_KEYS = ("time", "gpu_uuid", "anomaly_type")
@@ -349,10 +337,10 @@ def acknowledge_frame(stored: DataFrame, keys_df: DataFrame, by: str, as_of: Col
 
 def acknowledge(spark: SparkSession, path: str, keys_df: DataFrame, by: str, as_of) -> None:
     """Mark anomalies acknowledged (SNK11); only the dates of the named keys are read and rewritten."""
-    recover(spark, path)
+    replay(spark, path)
     dates = [r[0] for r in keys_df.select(F.to_date("time")).distinct().collect()]
     stored = spark.read.parquet(path).where(F.col(PART_COL).isin(dates))
-    _replace_partitions(acknowledge_frame(stored, keys_df, by, F.lit(str(as_of)).cast("timestamp")), path, PART_COL)
+    _replace(acknowledge_frame(stored, keys_df, by, F.lit(str(as_of)).cast("timestamp")), path, PART_COL)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

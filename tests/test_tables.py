@@ -133,13 +133,39 @@ def test_dimension_upsert_without_time(spark, tmp_path_str):
     assert got == [("G0", "a", "r0", T0), ("G1", "b", "r9", late), ("G2", "d", "r2", late)]
 
 
-def test_interrupted_swap_is_recovered(spark, tmp_path_str):
-    p = tmp_path_str + "/swap"
-    tables.append(frame(spark), p)
-    before = sorted(tuple(r) for r in spark.read.parquet(p).collect())
-    files = tables.Files(spark, p)
-    part = next(n for n in files.names(p) if n.startswith("date="))
-    files.move(f"{p}/{part}", f"{p}/_swap-x/old/{part}")  # the writer died between its two renames
-    tables.recover(spark, p)
-    assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == before
-    assert not [n for n in files.names(p) if n.startswith("_swap")]
+def interrupted(monkeypatch, spark, path, part_col, then):
+    """Upsert key G0 from date 1 to date 2 but stop before anything is put in place; then ``then`` and the next operation."""
+    day = lambda d, v: spark.createDataFrame([("G0", dt.datetime(2024, 1, d), v)], "gpu_uuid string, time timestamp, v int")
+    tables.upsert(day(1, 1), path, ["gpu_uuid"], part_col=part_col)
+    tables.upsert(spark.createDataFrame([("G1", dt.datetime(2024, 1, 2), 9)], "gpu_uuid string, time timestamp, v int"), path, ["gpu_uuid"], part_col=part_col)
+    with monkeypatch.context() as m:
+        m.setattr(tables, "replay", lambda *a: None)
+        tables.upsert(day(2, 2), path, ["gpu_uuid"], part_col=part_col)
+    then()
+    tables.replay(spark, path)
+    tables.replay(spark, path)
+    assert not tables._exists(spark, tables._pending(path))
+    return sorted((r.gpu_uuid, r.v) for r in spark.read.parquet(path).collect())
+
+
+def test_interrupted_upsert_is_finished_whatever_was_done(spark, tmp_path_str, monkeypatch):
+    for part_col in ("date", None):
+        def at(name):
+            return f"{tmp_path_str}/{name}-{part_col}"  # noqa: B023
+
+        assert interrupted(monkeypatch, spark, at("complete"), part_col, lambda: None) == [("G0", 2), ("G1", 9)]
+        # the process ended while the new files went in: one partition is there, the other not
+        half = lambda: spark.read.parquet(at("half") + "-pending/rows").limit(1).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*([part_col] if part_col else [])).parquet(at("half"))  # noqa: B023
+        assert interrupted(monkeypatch, spark, at("half"), part_col, half) == [("G0", 2), ("G1", 9)]
+        # ... or before the pending folder was complete: the upsert never took place
+        cut = lambda: tables._delete(spark, at("cut") + "-pending/rows/_SUCCESS")
+        assert interrupted(monkeypatch, spark, at("cut"), part_col, cut) == [("G0", 1), ("G1", 9)]
+
+
+def test_partitions_without_a_value(spark, tmp_path_str):
+    p = tmp_path_str + "/nulls"
+    schema = "gpu_uuid string, site string, v int"
+    tables.upsert(spark.createDataFrame([("G0", None, 1), ("G1", "a b/c", 1)], schema), p, ["gpu_uuid"], time_col="none", part_col="site")
+    tables.upsert(spark.createDataFrame([("G0", "x", 2), ("G1", None, 2)], schema), p, ["gpu_uuid"], time_col="none", part_col="site")
+    assert sorted(((r.gpu_uuid, r.site, r.v) for r in spark.read.parquet(p).collect()), key=repr) == [("G0", "x", 2), ("G1", None, 2)]
