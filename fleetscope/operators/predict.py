@@ -43,7 +43,7 @@ def failure_type(temp: Column, throttle: Column, dbe: Column, sbe: Column, brake
 
 
 def predictions_from_p30(df: DataFrame, p30: Column, model_name: str, confidence: float, as_of: Column,
-                         importance: dict[str, float] | None = None) -> DataFrame:
+                         importance: dict[str, float] | None = None, version: str = MODEL_VERSION) -> DataFrame:
     temp, thr = _f("gpu_temp_mean", 70.0), _f("thermal_throttle_count", 0)
     dbe, sbe, brake = _f("ecc_dbe_event_count", 0), _f("ecc_sbe_event_count", 0), _f("power_brake_count", 0)
     d = df.withColumn("_p30", p30)
@@ -55,7 +55,7 @@ def predictions_from_p30(df: DataFrame, p30: Column, model_name: str, confidence
         round_half_up(F.least(p * 2.5, F.lit(0.99)), 4).alias("failure_prob_90d"),
         failure_type(temp, thr, dbe, sbe, brake).alias("predicted_failure_type"),
         F.when(p > 0.1, F.floor(F.lit(30.0) / p)).otherwise(F.lit(365)).cast("int").alias("estimated_ttf_days"),
-        F.lit(model_name).alias("model_name"), F.lit(MODEL_VERSION).alias("model_version"),
+        F.lit(model_name).alias("model_name"), F.lit(version).alias("model_version"),
         F.lit(confidence).alias("confidence"),
         (F.create_map(*[F.lit(x) for kv in importance.items() for x in kv]) if importance
          else F.lit(None).cast("map<string,double>")).alias("feature_importance"),
@@ -68,13 +68,14 @@ def latest_features(features: DataFrame, as_of: Column, active: str = "24 hours"
     return latest_per_key(window_rows(features, as_of, active, strict=False), "gpu_uuid", "time")
 
 
-def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=None, active: str = "24 hours") -> DataFrame:
+def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=None, active: str = "24 hours", version: str = MODEL_VERSION) -> DataFrame:
     """``gpu_failure_predictions`` rows from the latest features of each device that has
     features since ``as_of - active``.
 
     Without a model: the rule score (model ``heuristic``, confidence 0.60). With a
     fitted ``PipelineModel`` from ``train_model``: its class-1 probability (model
-    ``gbt_v1``, confidence 0.75), NULL features filled with 0.
+    ``gbt_v1``, confidence 0.75), NULL features filled with 0; ``version`` is the stored one
+    (``training.load_model``) and stands in the rows.
     """
     a = as_of_col(features, as_of)
     f = latest_features(features, a, active)
@@ -86,7 +87,7 @@ def predict_failures(features: DataFrame, as_of=None, model=None, feature_names=
     names = feature_names or _model_features(model)
     scored = model.transform(f.fillna(0, subset=names))
     p30 = vector_to_array(F.col("probability"))[1]
-    return predictions_from_p30(scored, p30, "gbt_v1", 0.75, a, feature_importance(model))
+    return predictions_from_p30(scored, p30, "gbt_v1", 0.75, a, feature_importance(model), version)
 
 
 def feature_importance(model) -> dict[str, float]:
@@ -99,14 +100,6 @@ def top_features(importance: dict[str, float], n: int = 10) -> list[tuple[str, f
     return sorted(importance.items(), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def weak_label(features: DataFrame) -> Column:
-    """Deterministic weak label of the reference's training path."""
-    score = (F.when(F.col("gpu_temp_mean") > 80, 0.3).otherwise(0.0)
-             + F.when(F.col("thermal_throttle_count") > 10, 0.3).otherwise(0.0)
-             + F.when(F.col("ecc_dbe_event_count") > 0, 0.4).otherwise(0.0))
-    return (score > 0.5).cast("int")
-
-
 def _model_features(model) -> list[str]:
     return list(model.stages[0].getInputCols())
 

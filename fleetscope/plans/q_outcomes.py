@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetscope.operators import outcomes, predict
+from fleetscope.operators import outcomes, predict, training
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
 from fleetscope.sources.driver import load_fleet, read_table
@@ -145,3 +145,39 @@ SELECT date_trunc('month', time) AS month, action, count(*) AS decisions, count(
 FROM tracked GROUP BY 1, 2""", ["mean_delay_days", "expected_value", "outcome_value", "mean_value_gap"]), _CTE))
 def ana11_decision_report(spark, sf):
     return finish(outcomes.decision_report(outcomes.decision_outcomes(_decisions(_m(spark, sf)), _executed(read_table(spark, sf, "orders")))))
+
+
+_TYPED = """typed AS (SELECT CASE WHEN throttle_reasons > 0 THEN 'thermal' WHEN ecc_sbe_volatile > 100 THEN 'memory' ELSE 'other' END AS failure_type,
+    CASE WHEN throttle_reasons > 0 OR gpu_temp > 85 THEN 'thermal' WHEN ecc_sbe_volatile > 50 THEN 'memory' ELSE 'other' END AS predicted_type FROM gpu_metrics)"""
+
+
+def _typed(m):
+    throttles = F.when(F.col("throttle_reasons") > 0, 21).otherwise(0)
+    return m.select(_kind(), predict.failure_type(F.col("gpu_temp"), throttles, F.lit(0), F.col("ecc_sbe_volatile"), F.lit(0)).alias("predicted_type"))
+
+
+@register("ana04_type_confusion", sql("SELECT failure_type AS actual, predicted_type AS predicted, count(*) AS n FROM typed GROUP BY 1, 2", _TYPED))
+def ana04_type_confusion(spark, sf):
+    """Recorded failure type of every sample against the rule's type."""
+    return training.confusion_matrix(_typed(_m(spark, sf)))
+
+
+@register("ana04_type_report", sql(rnd("""
+WITH c AS (SELECT failure_type FROM typed UNION SELECT predicted_type FROM typed),
+ n AS (SELECT c.failure_type, count_if(t.failure_type = c.failure_type AND t.predicted_type = c.failure_type) AS hit,
+   count_if(t.predicted_type = c.failure_type) AS said, count_if(t.failure_type = c.failure_type) AS support FROM c, typed t GROUP BY 1)
+SELECT failure_type, CASE WHEN said > 0 THEN hit / said END AS precision, CASE WHEN support > 0 THEN hit / support END AS recall, 2.0 * hit / (said + support) AS f1,
+  CAST(support AS BIGINT) AS support FROM n""", ["precision", "recall", "f1"]), _TYPED))
+def ana04_type_report(spark, sf):
+    return finish(training.type_report(_typed(_m(spark, sf))))
+
+
+@register("ana04_training_set", sql("""
+WITH r AS (SELECT m.gpu_uuid, m.time, CAST(EXISTS (SELECT 1 FROM failures f WHERE f.gpu_uuid = m.gpu_uuid AND f.time > m.time AND f.time <= m.time + INTERVAL 1 DAY) AS INTEGER) AS label
+  FROM gpu_metrics m)
+SELECT label, CASE WHEN label = 1 THEN count(*) ELSE least(count(*), 3 * (SELECT count(*) FROM r WHERE label = 1)) END AS n FROM r GROUP BY label""", _CTE))
+def ana04_training_set(spark, sf):
+    """Class sizes of the balanced training set: every sample within a day of a failure, three controls for each."""
+    m = _m(spark, sf)
+    rows = predict.labels_within_horizon(m.select("gpu_uuid", "time"), _failures(m).withColumnRenamed("time", "failure_date"), 1).select("gpu_uuid", "time", "label")
+    return training.balanced_sample(rows, 3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
