@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_extra", "q_tables", "q_more", "q_outcomes")
+_MODULES = ("q_readside", "q_analytics", "q_ingest", "q_market", "q_design", "q_extra", "q_tables", "q_more", "q_outcomes", "q_pricing")
 
 
 def load_all():
