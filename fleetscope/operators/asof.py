@@ -157,3 +157,17 @@ def asof_join(rows: DataFrame, events: DataFrame, time: Column | str = "time", e
 
     scanned = met(met(scanned, "_low", "_before", "_from_before"), "_high", "_after", "_from_after")
     return scanned.select("_row.*", F.coalesce("_last", "_from_before").alias("last_event"), F.coalesce("_next", "_from_after").alias("next_event"))
+
+
+def version_at(rows: DataFrame, versions: DataFrame, columns: list[str], time: str = "time", key: str = "gpu_uuid", valid_from: str = "valid_from",
+               valid_to: str = "valid_to") -> DataFrame:
+    """``rows`` with ``columns`` of the version of their key that is valid at their time (JON12).
+
+    ``versions`` has one row per key and ``valid_from``; a version holds until the next one
+    begins or its own ``valid_to`` (exclusive, NULL: open). Rows without a valid version get NULLs.
+    """
+    v = versions.select(key, F.col(valid_from).alias(time), F.col(valid_to).alias("_valid_to"), *columns)
+    met = asof_join(rows, v, time=time, event_time=time, key=key)
+    e = F.col("last_event")
+    holds = e["_valid_to"].isNull() | (F.col(time) < e["_valid_to"])
+    return met.select(*rows.columns, *[F.when(holds, e[c]).alias(c) for c in columns])

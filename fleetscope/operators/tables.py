@@ -322,6 +322,46 @@ def refresh_rollup(metrics: DataFrame, path: str, level: str, as_of, start_offse
     _replace(out, path, PART_COL)
 
 
+def log_invalid(rows: DataFrame, log: str, every: str, batch_id: int, time_col: str = "time") -> None:
+    """Note the buckets that newly stored ``rows`` touch (SNK10); a repeated batch id replaces its own note."""
+    from fleetscope.operators.rollups import bucket
+    touched = rows.select(bucket(time_col, every).alias("time")).distinct().withColumn("batch_id", F.lit(batch_id))
+    touched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log)
+
+
+def invalid_frame(metrics: DataFrame, buckets: DataFrame, level: str) -> DataFrame:
+    """Rollup rows of the named buckets (time) only, recomputed from ``metrics``."""
+    from fleetscope.operators.rollups import LEVELS, bucket, rollup_level
+    every = LEVELS[level][0]
+    due = metrics.withColumn("_bucket", bucket("time", every)).join(buckets.select(F.col("time").alias("_bucket")).distinct(), "_bucket", "left_semi")
+    return with_date(rollup_level(due.drop("_bucket"), level))
+
+
+def refresh_invalid(spark: SparkSession, metrics_path: str, path: str, log: str, level: str) -> int:
+    """Recompute the buckets noted in ``log`` and no others (SNK10); returns how many there were.
+
+    Only the days concerned are read, and of these only the rows of the noted buckets are added up;
+    the other buckets of a day keep their stored rows. Notes are removed at the end, so a refresh
+    that was cut short is done again.
+    """
+    replay(spark, path)
+    notes = read_or_none(spark, log)
+    if notes is None:
+        return 0
+    batches = [r[0] for r in notes.select("batch_id").distinct().collect()]
+    with staged(notes.where(F.col("batch_id").isin(batches)).select("time").distinct()) as buckets:
+        days = [r[0] for r in buckets.select(F.to_date("time")).distinct().collect()]
+        fresh = invalid_frame(spark.read.parquet(metrics_path).where(F.col(PART_COL).isin(days)), buckets, level)
+        stored = read_or_none(spark, path)
+        if stored is not None:
+            kept = stored.where(F.col(PART_COL).isin(days)).join(buckets, "time", "left_anti")
+            fresh = fresh.unionByName(kept.select(*fresh.columns))
+        _replace(fresh, path, PART_COL, days)
+        n = buckets.count()
+    _drop_partitions(spark, log, "batch_id", batches)
+    return n
+
+
 ANOMALY_KEYS = ("time", "gpu_uuid", "anomaly_type")
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetscope.operators import outcomes, predict, training
+from fleetscope.operators import outcomes, predict, tables, training
+from fleetscope.operators.asof import version_at
+from fleetscope.operators.rollups import bucket
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
 from fleetscope.sources.driver import load_fleet, read_table
@@ -181,3 +183,28 @@ def ana04_training_set(spark, sf):
     m = _m(spark, sf)
     rows = predict.labels_within_horizon(m.select("gpu_uuid", "time"), _failures(m).withColumnRenamed("time", "failure_date"), 1).select("gpu_uuid", "time", "label")
     return training.balanced_sample(rows, 3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("jon12_versioned_dimension", sql("""
+WITH v AS (SELECT gpu_uuid, TIMESTAMP '2000-01-01' AS valid_from, CASE WHEN priority = 1 THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-15' END AS valid_to, rack_id FROM gpu_assets
+  UNION ALL SELECT gpu_uuid, TIMESTAMP '2024-01-15', NULL, concat('moved-', rack_id) FROM gpu_assets WHERE priority < 3)
+SELECT m.gpu_uuid, m.time, v.rack_id FROM gpu_metrics m LEFT JOIN v ON v.gpu_uuid = m.gpu_uuid AND v.valid_from <= m.time AND (v.valid_to IS NULL OR m.time < v.valid_to)"""))
+def jon12_versioned_dimension(spark, sf):
+    """Every sample with the rack its device stood in at the time; some devices moved, some have no valid version for a while."""
+    t = load_fleet(spark, sf)
+    at = lambda text: F.lit(text).cast("timestamp")
+    a = t["assets"]
+    first = a.select("gpu_uuid", at("2000-01-01").alias("valid_from"), F.when(F.col("priority") == 1, at("2024-01-10")).otherwise(at("2024-01-15")).alias("valid_to"), "rack_id")
+    moved = a.where("priority < 3").select("gpu_uuid", at("2024-01-15").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.concat(F.lit("moved-"), "rack_id").alias("rack_id"))
+    return version_at(t["metrics"].select("gpu_uuid", "time"), first.unionByName(moved), ["rack_id"])
+
+
+@register("snk10_invalidated_buckets", sql(rnd("""
+WITH late AS (SELECT DISTINCT time_bucket(INTERVAL '5 minutes', time) AS time FROM gpu_metrics WHERE collection_latency_ms = 49)
+SELECT time_bucket(INTERVAL '5 minutes', m.time) AS time, m.gpu_uuid, avg(gpu_temp) AS gpu_temp_avg, max(gpu_temp) AS gpu_temp_max, count(*) AS sample_count
+FROM gpu_metrics m JOIN late ON late.time = time_bucket(INTERVAL '5 minutes', m.time) GROUP BY 1, 2""", ["gpu_temp_avg", "gpu_temp_max"])))
+def snk10_invalidated_buckets(spark, sf):
+    """The 5-minute rows that are recomputed when the slowest samples arrive late."""
+    m = _m(spark, sf)
+    late = m.where("collection_latency_ms = 49").select(bucket("time", "5 minutes").alias("time"))
+    return finish(tables.invalid_frame(m, late, "5min").select("time", "gpu_uuid", "gpu_temp_avg", "gpu_temp_max", "sample_count"))

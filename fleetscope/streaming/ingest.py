@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import enrich as enrich_op
 from fleetscope.operators import tables, validate
+from fleetscope.operators.asof import version_at
 from fleetscope.operators.rollups import rollup
 
 
@@ -120,3 +121,18 @@ def start_rollup(metrics_stream: DataFrame, path: str, checkpoint: str, every: s
            .option("path", path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def start_versioned_enrichment(stream: DataFrame, versions: Callable[[], DataFrame], columns: list[str], path: str, checkpoint: str,
+                               available_now: bool = False):
+    """Write a stream with the dimension version valid at each event's own time (JON12, SRC4).
+
+    ``versions`` is called per batch and may be a ``RefreshingDimension``. Events that arrive after an asset
+    moved still get the place they were measured at. Each batch id has a folder that a repeat replaces.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        found = version_at(batch, versions(), columns).withColumn("batch_id", F.lit(batch_id))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()

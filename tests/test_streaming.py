@@ -129,3 +129,22 @@ def test_refreshing_dimension_ttl(spark):
     dim(); clock[0] = 299; dim(); clock[0] = 300; dim(); clock[0] = 450; dim()
     assert loads == [0.0, 300]
     assert dim().count() == 3
+
+
+def test_an_asset_moves_between_two_batches(spark, tmp_path_str):
+    src, out, ck = (f"{tmp_path_str}/{x}" for x in ("src", "out", "ck"))
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    versions = [("G", t(0), None, "r1"), ("H", t(0), t(5), "r7")]
+    kind = "gpu_uuid string, valid_from timestamp, valid_to timestamp, rack_id string"
+    load = lambda: spark.createDataFrame(versions, kind)
+    read = lambda: spark.readStream.schema("gpu_uuid string, time timestamp").parquet(src)
+
+    def batch(*rows):
+        spark.createDataFrame(rows, "gpu_uuid string, time timestamp").coalesce(1).write.mode("append").parquet(src)
+        sing.start_versioned_enrichment(read(), load, ["rack_id"], out, ck, available_now=True).awaitTermination()
+
+    batch(("G", t(1)), ("H", t(1)), ("X", t(1)))
+    versions.append(("G", t(2), None, "r2"))  # G moves
+    batch(("G", t(3)), ("G", t(1.5)), ("H", t(6)))  # one event is from before the move
+    got = {(r.gpu_uuid, r.time): r.rack_id for r in spark.read.parquet(out).collect()}
+    assert got == {("G", t(1)): "r1", ("H", t(1)): "r7", ("X", t(1)): None, ("G", t(3)): "r2", ("G", t(1.5)): "r1", ("H", t(6)): None}

@@ -169,3 +169,26 @@ def test_partitions_without_a_value(spark, tmp_path_str):
     tables.upsert(spark.createDataFrame([("G0", None, 1), ("G1", "a b/c", 1)], schema), p, ["gpu_uuid"], time_col="none", part_col="site")
     tables.upsert(spark.createDataFrame([("G0", "x", 2), ("G1", None, 2)], schema), p, ["gpu_uuid"], time_col="none", part_col="site")
     assert sorted(((r.gpu_uuid, r.site, r.v) for r in spark.read.parquet(p).collect()), key=repr) == [("G0", "x", 2), ("G1", None, 2)]
+
+
+def test_a_late_row_refreshes_exactly_its_buckets(spark, tmp_path_str):
+    m, r, log = (f"{tmp_path_str}/{x}" for x in ("m", "r", "log"))
+    schema = ("time timestamp, gpu_uuid string, hostname string, gpu_temp double, memory_temp double, power_usage double, sm_active double, "
+              "memory_utilization double, ecc_sbe_volatile int, ecc_dbe_volatile int")
+    sample = lambda minute, temp, gpu="G": (T0 + dt.timedelta(minutes=minute), gpu, "h", temp, 60.0, 300.0, 40.0, 20.0, 1, 0)
+    first = spark.createDataFrame([sample(k, 50.0) for k in range(0, 2880, 2)], schema)
+    tables.append(first, m)
+    tables.log_invalid(first, log, "5 minutes", 0)
+    assert tables.refresh_invalid(spark, m, r, log, "5min") == 576 and tables.refresh_invalid(spark, m, r, log, "5min") == 0
+    # poison what is stored: a bucket that is recomputed shows it
+    stored = spark.read.parquet(r)
+    tables._replace(stored.withColumn("gpu_temp_max", F.lit(-1.0)), r, "date")
+    late = spark.createDataFrame([sample(7, 99.0), sample(1441, 98.0, "H")], schema)
+    tables.append(late, m)
+    tables.log_invalid(late, log, "5 minutes", 1)
+    tables.log_invalid(late, log, "5 minutes", 1)  # the batch again
+    assert tables.refresh_invalid(spark, m, r, log, "5min") == 2
+    got = {(x.time, x.gpu_uuid): (x.gpu_temp_max, x.sample_count) for x in spark.read.parquet(r).collect()}
+    changed = {k: v for k, v in got.items() if v[0] != -1.0}
+    at = lambda minute: T0 + dt.timedelta(minutes=minute)
+    assert changed == {(at(5), "G"): (99.0, 3), (at(1440), "G"): (50.0, 3), (at(1440), "H"): (98.0, 1)} and len(got) == 577
