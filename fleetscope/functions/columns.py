@@ -57,15 +57,6 @@ def mib_to_bytes(c) -> Column:
     return F.coalesce(col_(c).cast("long"), F.lit(0).cast("long")) * F.lit(MIB)
 
 
-def mb_per_s_to_bytes(c) -> Column:
-    """MB/s -> bytes/s with the sink's binary factor 1024*1024, missing -> 0 (PRJ2)."""
-    return F.coalesce(col_(c).cast("double"), F.lit(0.0)) * F.lit(float(MIB))
-
-
-def bytes_to_mb(c) -> Column:
-    return col_(c).cast("double") / F.lit(1000000.0)
-
-
 def memory_util_pct(used, free) -> Column:
     """used/(used+free)*100, 0 when total is 0 (PRJ6)."""
     u, f = col_(used).cast("double"), col_(free).cast("double")
@@ -82,16 +73,6 @@ def pci_bus_id(index) -> Column:
     return F.format_string("0000:%02X:00.0", col_(index) + F.lit(0x3B))
 
 
-def architecture_of(model) -> Column:
-    m = col_(model)
-    return F.when(m.contains("H100"), "Hopper").when(m.contains("A100"), "Ampere").otherwise("Unknown")
-
-
-def compute_capability_of(model) -> Column:
-    m = col_(model)
-    return F.when(m.contains("H100"), "9.0").when(m.contains("A100"), "8.0").otherwise("unknown")
-
-
 def parse_iso_ts(c) -> Column:
     """ISO-8601 text (``Z`` or offset) -> timestamp, NULL when unparsable (PRJ8)."""
     s = F.regexp_replace(col_(c), "Z$", "+00:00")
@@ -147,12 +128,6 @@ def live_status(temp) -> Column:
     return F.when(t > 85, "critical").when(t > 75, "warning").otherwise("healthy")
 
 
-def nan_to_null(c) -> Column:
-    """Python compares NaN as False; Spark orders NaN above all numbers (T5)."""
-    v = col_(c)
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
-
-
 def money_to_double(c) -> Column:
     """``$7,000`` -> 7000.0, NULL when not a number (PRJ21)."""
     return F.trim(F.regexp_replace(col_(c), r"[$,]", "")).try_cast("double")

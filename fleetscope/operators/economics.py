@@ -38,13 +38,6 @@ MONTHS = 12
 DECISIONS = ["keep", "sell", "repurpose", "decommission"]
 
 
-def residual_table(spark: SparkSession) -> DataFrame:
-    """(model, grade, usd) rows; ``model`` NULL is the default table."""
-    rows = [(m, g, float(v)) for m, t in RESIDUAL_BY_MODEL.items() for g, v in t.items()]
-    rows += [(None, g, float(v)) for g, v in RESIDUAL_DEFAULT.items()]
-    return spark.createDataFrame(rows, "model string, grade string, usd double")
-
-
 def _grade_map(t: dict) -> Column:
     return F.create_map(*[x for g, v in t.items() for x in (F.lit(g), F.lit(float(v)))])
 

@@ -99,12 +99,6 @@ def price_rows(extracted: DataFrame, fallback: DataFrame, fetched_at: Column, de
     return out.where(F.col("source").isNotNull())
 
 
-def fallback_table(spark) -> DataFrame:
-    rows = [(m, c, lo, hi, mid, orig) for m, (c, lo, hi, mid, orig) in FALLBACK_PRICES.items()]
-    return spark.createDataFrame(rows, "model string, condition string, low double, high double, mid double, "
-                                       "original_cost_usd double")
-
-
 def latest_prices(prices: DataFrame, condition: str | None = "used_good") -> DataFrame:
     """``v_latest_market_prices`` (+ condition filter) with percent of original (ANA9, PRJ13)."""
     last = latest_per_key(prices, ["model", "condition"], "fetched_at")

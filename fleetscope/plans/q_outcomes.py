@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetscope.functions.columns import age_months, json_text_field
+from fleetscope.functions.timewin import as_of_col
 from fleetscope.operators import outcomes, predict, tables, training
 from fleetscope.operators.asof import version_at
 from fleetscope.operators.rollups import bucket
@@ -208,3 +210,15 @@ def snk10_invalidated_buckets(spark, sf):
     m = _m(spark, sf)
     late = m.where("collection_latency_ms = 49").select(bucket("time", "5 minutes").alias("time"))
     return finish(tables.invalid_frame(m, late, "5min").select("time", "gpu_uuid", "gpu_temp_avg", "gpu_temp_max", "sample_count"))
+
+
+@register("prj12_asset_age_months", sql("""
+SELECT a.gpu_uuid, a.model, json_extract_string(a.tags, '$.profile') AS profile, d.datacenter, d.rack_id,
+  CAST((year(as_of) - year(a.deployment_date)) * 12 + month(as_of) - month(a.deployment_date) - CASE WHEN day(as_of) < day(a.deployment_date) THEN 1 ELSE 0 END AS INTEGER) AS age_months
+FROM gpu_assets a JOIN gpu_datacenter_mapping d ON a.gpu_uuid = d.gpu_uuid, as_of"""))
+def prj12_asset_age_months(spark, sf):
+    """Every asset with its place and its age in whole months at ``as_of``."""
+    t = load_fleet(spark, sf)
+    a = t["assets"].withColumn("as_of", as_of_col(t["metrics"]))
+    d = a.select("gpu_uuid", "model", json_text_field("tags", "profile").alias("profile"), age_months("as_of", "deployment_date").alias("age_months"))
+    return d.join(t["mapping"].select("gpu_uuid", "datacenter", "rack_id"), "gpu_uuid").select("gpu_uuid", "model", "profile", "datacenter", "rack_id", "age_months")

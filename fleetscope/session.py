@@ -54,10 +54,8 @@ def build_session(master: str | None = None, app: str = "fleetscope",
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session (e.g. the driver's)."""
     for k, v in BASE_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):  # a static setting of a shared session stays as it is
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
     find_package(spark)
     return spark
 

@@ -192,3 +192,13 @@ def test_a_late_row_refreshes_exactly_its_buckets(spark, tmp_path_str):
     changed = {k: v for k, v in got.items() if v[0] != -1.0}
     at = lambda minute: T0 + dt.timedelta(minutes=minute)
     assert changed == {(at(5), "G"): (99.0, 3), (at(1440), "G"): (50.0, 3), (at(1440), "H"): (98.0, 1)} and len(got) == 577
+
+
+def test_a_time_range_opens_only_its_days(spark, tmp_path_str):
+    p = tmp_path_str + "/range"
+    tables.append(frame(spark), p)
+    df = tables.read_range(spark, p, "2024-01-02 06:00:00", "2024-01-03 12:00:00", cols=["time", "gpu_uuid"])
+    got = sorted(r.time for r in df.collect())
+    assert got == sorted(r.time for r in frame(spark).where("time BETWEEN '2024-01-02 06:00:00' AND '2024-01-03 12:00:00'").collect()) and df.columns == ["time", "gpu_uuid"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "GreaterThanOrEqual(time" in plan
