@@ -11,8 +11,9 @@ take an ordinary shuffle.
 Edge cases: null text counts as empty; empty texts equal each other; of equal
 lengths the smallest id stays, null ids last; rows that repeat an id with an equal
 text share one verdict, and ``keep_rows`` returns one of them; an empty table gives
-an empty result; further columns are carried by ``keep_rows`` only and may have
-any name.
+an empty result; a text of any length is hashed whole, in the task that holds the row;
+further columns are carried by ``keep_rows`` only and may have any name but ``__id`` and
+``__digest``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the score that proportion.
 Edge cases: null text, or text without a letter, gets ``und`` with score 0; without
 any labelled document every document is ``und``; equal proportions go to the language
 that sorts first; repeated rows each get a row; an empty table gives an empty result.
-Only text and language enter: further columns are never read.
+A text of any length is segmented whole, in the task that holds the row. Only text and
+language enter: further columns are never read, a column ``__language`` would be overwritten.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ each); scoring reads every passage of every text.
 Edge cases: null and empty texts are one passage without words and get a score like
 any other; a text without spaces is one passage; without labelled rows the score is 0.5;
 labels that are null are not used; repeated rows each get a row; an empty table gives
-an empty result. Only text (and the label of training rows) is read.
+an empty result. A text of any length is scored by all its passages, in the task that holds
+the row; training takes up to ``max_passages`` of a labelled text. Only text (and the label
+of training rows) is read; a column ``__score`` would be overwritten.
 """
 
 from __future__ import annotations

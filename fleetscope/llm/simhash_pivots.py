@@ -17,8 +17,9 @@ the bits still free in it, which is exact at every depth.
 
 Edge cases: null text is empty; texts without words have fingerprint zero and link
 like any other; equal fingerprints are one node; null ids take part but only name a
-component that has no other id; repeated rows each get a row; an empty table gives an
-empty result.
+component that has no other id; repeated rows each get a row; a text of any length is
+hashed whole, in the task that holds the row; an empty table gives an empty result; further
+columns are carried by ``keep_rows`` only.
 """
 
 from __future__ import annotations
