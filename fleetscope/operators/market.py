@@ -126,11 +126,7 @@ def model_breakdown(decisions: DataFrame, scores: DataFrame, assets: DataFrame)
     d = latest_per_key(decisions, "gpu_uuid", "time", ["decision"])
     h = latest_per_key(scores, "gpu_uuid", "time", ["overall_score"])
     j = assets.select("gpu_uuid", "model").join(d, "gpu_uuid").join(h, "gpu_uuid")
-    return (j.groupBy("model")
-            .agg(F.count(F.lit(1)).alias("total"),
-                 F.sum(F.when(F.col("decision") == "sell", 1).otherwise(0)).alias("sell_n"),
-                 F.sum(F.when(F.col("decision") == "keep", 1).otherwise(0)).alias("keep_n"),
-                 F.sum(F.when(F.col("decision") == "repurpose", 1).otherwise(0)).alias("repur_n"),
-                 round_numeric(F.avg("overall_score"), 1).alias("avg_health"))
-            .withColumn("sell_share_pct", round_numeric(F.col("sell_n") / F.col("total") * 100.0, 1))
-            .orderBy("model"))
+    on = lambda what: F.count_if(F.col("decision") == what)
+    per = j.groupBy("model").agg(F.count(F.lit(1)).alias("devices"), on("sell").alias("selling"), on("keep").alias("keeping"), on("repurpose").alias("repurposing"),
+                                 round_numeric(F.avg("overall_score"), 1).alias("mean_score"))
+    return per.withColumn("selling_pct", round_numeric(F.col("selling") / F.col("devices") * 100.0, 1)).orderBy("model")

@@ -435,13 +435,19 @@ rationales AS (
 ECON_CTES = _econ_sql()
 
 
-def _decisions(spark, sf):
+def _score_history(spark, sf):
+    """Two weekly scoring runs."""
+    m = load_fleet(spark, sf)["metrics"]
+    return health.score_history(m, as_of_col(m), 2, 7, LB, P["active"], P["gap_seconds"], P["sample_seconds"], bucket="1 day")
+
+
+def _decisions(spark, sf, scores=None):
     """Decisions from a score history of two weekly runs: devices that only the older
     run scored are present in it and get no decision."""
     t = load_fleet(spark, sf)
     m = t["metrics"]
     a = as_of_col(m)
-    h = health.score_history(m, a, 2, 7, LB, P["active"], P["gap_seconds"], P["sample_seconds"], bucket="1 day")
+    h = _score_history(spark, sf) if scores is None else scores
     _, _, p = _predictions(spark, sf)
     return t, economics.economic_decisions(h, p, t["assets"], m, a, "30 days", P["active"])
 

@@ -9,7 +9,8 @@ from fleetscope.operators import forecast, market
 from fleetscope.plans.catalog import DRIVER_PARAMS as P
 from fleetscope.plans.catalog import finish, register, rnd
 from fleetscope.plans.oracle import sql
-from fleetscope.plans.q_analytics import ECON_CTES, HEALTH_CTE, _decisions, _health
+from fleetscope.plans.q_analytics import ECON_CTES, HEALTH_CTE, _decisions, _health, _score_history
+from fleetscope.session import store
 from fleetscope.sources.driver import load_fleet, page_model, price_texts_from_parts, read_table
 
 # Sanity bounds applied to the part-brand "models" of the stand-in pages.
@@ -126,19 +127,16 @@ def agg13_decision_summary(spark, sf):
 
 
 @register("agg14_model_breakdown", sql("""
-SELECT a.model, count(*) AS total,
-  CAST(sum(CASE WHEN d.decision = 'sell' THEN 1 ELSE 0 END) AS BIGINT) AS sell_n,
-  CAST(sum(CASE WHEN d.decision = 'keep' THEN 1 ELSE 0 END) AS BIGINT) AS keep_n,
-  CAST(sum(CASE WHEN d.decision = 'repurpose' THEN 1 ELSE 0 END) AS BIGINT) AS repur_n,
-  CAST(round(CAST(avg(h.overall_score) AS DECIMAL(28,10)), 1) AS DOUBLE) AS avg_health,
-  CAST(round(CAST(sum(CASE WHEN d.decision = 'sell' THEN 1 ELSE 0 END) / count(*) * 100.0 AS DECIMAL(28,10)), 1)
-    AS DOUBLE) AS sell_share_pct
-FROM gpu_assets a JOIN decisions d ON a.gpu_uuid = d.gpu_uuid JOIN health h ON a.gpu_uuid = h.gpu_uuid
-GROUP BY a.model ORDER BY a.model""", ECON_CTES))
+WITH judged AS (SELECT model, decision, overall_score FROM decisions JOIN health USING (gpu_uuid) JOIN gpu_assets USING (gpu_uuid)),
+ per_model AS (SELECT model, count(*) AS devices, count(*) FILTER (decision = 'sell') AS selling, count(*) FILTER (decision = 'keep') AS keeping,
+   count(*) FILTER (decision = 'repurpose') AS repurposing, avg(overall_score) AS score FROM judged GROUP BY model)
+SELECT model, devices, selling, keeping, repurposing, CAST(round(CAST(score AS DECIMAL(28,10)), 1) AS DOUBLE) AS mean_score,
+  CAST(round(CAST(selling / devices * 100.0 AS DECIMAL(28,10)), 1) AS DOUBLE) AS selling_pct FROM per_model""", ECON_CTES))
 def agg14_model_breakdown(spark, sf):
-    t, d = _decisions(spark, sf)
-    h = _health(spark, sf)[2]
-    return market.model_breakdown(d, h, t["assets"])
+    """The scores are worked out once, for the decisions and for the means."""
+    scores = store(_score_history(spark, sf), "score-history")
+    t, d = _decisions(spark, sf, scores)
+    return market.model_breakdown(d, scores, t["assets"])
 
 
 @register("ana07_temperature_forecast", sql(rnd(f"""
