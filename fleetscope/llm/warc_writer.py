@@ -154,7 +154,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     filesystem, base = file_system(root)
     filesystem.create_dir(f"{base}/_tmp", recursive=True)
     order = ["shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url"]
-    manifest = (both.repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order)
+    manifest = (both.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(*order)
                 .mapInArrow(_writer(root, roll_bytes, level, date), MANIFEST))
     manifest.write.parquet(f"{root}/manifest")
     filesystem.delete_dir(f"{base}/_tmp")
