@@ -239,7 +239,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id
     filesystem, base = file_system(root)
     filesystem.create_dir(f"{base}/_tmp", recursive=True)
     dealt = rows.select(shard_column(F.col("id"), bounds).alias("shard"), "id", "text")
-    (dealt.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_last(), F.xxhash64("text"))
+    (dealt.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_last(), F.xxhash64("text"))
      .mapInArrow(_writer(root, tokenizer, end_id, roll_tokens), MANIFEST).write.parquet(f"{root}/manifest"))
     filesystem.delete_dir(f"{base}/_tmp")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
