@@ -153,15 +153,18 @@ def exposition_lines(metrics: DataFrame, model: Column, stamped: Column | None =
     ``stamped``), and lines that the parser must skip: one without ``UUID``, one with a
     ``gpu`` label that is not a number, and one whose value is not.
     """
-    labels = F.format_string('gpu="%d",UUID="%s",modelName="%s"', F.col("device_index").cast("int"),
-                             F.col("gpu_uuid"), model)
+    def text(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    index, uuid = F.col("device_index").cast("int"), F.col("gpu_uuid")
+    labels = F.concat(F.lit('{gpu="'), text(index), F.lit('",UUID="'), text(uuid), F.lit('",modelName="'), text(model), F.lit('"} '))
     ts_ms = (F.unix_micros(F.col("time")) / 1000).cast("long").cast("string")
     tail = F.concat(F.lit(" "), ts_ms)
     if stamped is not None:
         tail = F.when(stamped, tail).otherwise(F.lit(""))
+    metrics = metrics.select("*", labels.alias("_labels"), tail.alias("_tail"))  # once per scrape, not per line
     lines = [F.lit("# HELP DCGM_FI_DEV_GPU_TEMP GPU temperature (in C).")]
     for name, c in EXPOSITION_SERIES:
-        lines.append(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.expr(c).cast("string"), tail))
+        lines.append(F.concat(F.lit(name), F.col("_labels"), F.expr(c).cast("string"), F.col("_tail")))
     lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="'), F.col("device_index").cast("string"), F.lit('"} 0')))
     lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="none",UUID="'), F.col("gpu_uuid"), F.lit('"} 1')))
     lines.append(F.concat(F.lit('DCGM_FI_DEV_FAN_SPEED{gpu="0",UUID="'), F.col("gpu_uuid"), F.lit('"} n/a')))
@@ -170,6 +173,29 @@ def exposition_lines(metrics: DataFrame, model: Column, stamped: Column | None =
                           F.col("time").alias("scraped_at"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
+# key="value" pairs without blanks around "," and "=" and without either in a value
+PLAIN_LABELS = r'^(?:[^\s,="]++="[^,="]*+"(?:,|\z))*+\z'
+
+
+def _labels(labels: Column, names: list[str]) -> list[Column]:
+    """The values of ``names`` in a label text, without outer blanks and quotes (absent: null,
+    the last of equal keys wins).
+
+    Plain texts, as exporters write them, are cut at the key itself. Others go through a
+    map: blanks around "," and "=" removed, then ``str_to_map``.
+    """
+    plain = (F.octet_length(labels) < 1000) & labels.rlike(PLAIN_LABELS)
+    text = F.concat(F.lit(","), labels)
+    norm = F.regexp_replace(labels, r"\s*([,=])\s*", "$1")
+    pairs = F.str_to_map(norm, F.lit(","), F.lit("="))
+
+    def value(k: str) -> Column:
+        key = F.lit(f',{k}="')
+        cut = F.when(F.contains(text, key), F.substring_index(F.substring_index(text, f',{k}="', -1), '"', 1))
+        return F.btrim(F.when(plain, cut).otherwise(pairs[k]), F.lit(' "')).alias(k)
+    return [value(k) for k in names]
+
+
 def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str = "line_no", scrape_col: str = "scrape_id",
                      time_col: str = "scraped_at") -> DataFrame:
     """Exposition text -> one row per (scrape, device) with a metrics map (SRC1).
@@ -184,33 +210,31 @@ def parse_exposition(lines: DataFrame, line_col: str = "line", order_col: str =
     """
     named = scrape_col in lines.columns
     own = (F.col(scrape_col), F.col(time_col)) if named else (F.lit(None).cast("string"), F.lit(None).cast("timestamp"))
-    ln = F.trim(F.col(line_col))
-    after = F.substr(ln, F.instr(ln, "{") + 1)  # text after the first "{"
-    close = F.instr(after, "}")
-    d = lines.where((ln != "") & ~ln.startswith("#") & ln.contains("{")).select(
-        own[0].alias("_scrape"), own[1].alias("_at"), F.col(order_col).alias("_ord"),
-        F.substring_index(ln, "{", 1).alias("metric"), after.alias("_after"), close.alias("_close"))
-    d = d.where(F.col("_close") > 0).select(  # no "}": the line cannot be split, skip it
-        "_scrape", "_at", "_ord", "metric",
-        F.substring_index("_after", "}", 1).alias("_labels"),
-        F.split(F.trim(F.substr(F.col("_after"), F.col("_close") + 1)), r"\s+").alias("_rest"))
-    # key=value pairs: blanks around "," and "=" removed, then one str_to_map
-    # (codegen'd, no lambdas); values are stripped of blanks and quotes on lookup
-    norm = F.regexp_replace(F.trim(F.col("_labels")), r"\s*([,=])\s*", "$1")
-    # through a one-row generator: else the filters below would split every line again
-    d = d.withColumn("_map", F.array(F.struct(F.str_to_map(norm, F.lit(","), F.lit("=")).alias("m"))))
-    d = d.select("_scrape", "_at", "_ord", "metric", "_rest", F.inline("_map"))
-
-    def label(k: str) -> Column:
-        return F.btrim(F.col("m")[k], F.lit(' "'))
+    # every text is cut once, in projections below a one-row generator: a filter on them
+    # would be moved below them and cut the line again for each of its conditions
+    d = lines.where(F.contains(line_col, F.lit("{")) & F.contains(line_col, F.lit("UUID"))).select(
+        own[0].alias("_scrape"), own[1].alias("_at"), F.col(order_col).alias("_ord"), F.trim(F.col(line_col)).alias("_ln"))
+    ids = ["_scrape", "_at", "_ord", "metric"]
+    d = d.select("_scrape", "_at", "_ord", F.substring_index("_ln", "{", 1).alias("metric"),
+                 F.substr("_ln", F.instr("_ln", "{") + 1).alias("_after"))  # text after the first "{"
+    d = d.select(*ids, F.instr("_after", "}").alias("_close"), "_after")
+    d = d.select(*ids, "_close", F.trim(F.substring_index("_after", "}", 1)).alias("_labels"),
+                 F.trim(F.substr("_after", F.col("_close") + 1)).alias("_rest"))
+    d = d.select(*ids, "_close", "_rest", *_labels(F.col("_labels"), ["UUID", "modelName", "gpu"]))
+    index = F.col("gpu")
+    first = F.substring_index("_rest", " ", 1)  # the usual case; any white space ends the value
+    value = F.coalesce(F.when(F.ascii(first) > 32, first.try_cast("double")),
+                       F.regexp_extract("_rest", r"^(\S*)", 1).try_cast("double"))
+    read = {"gpu_uuid": F.col("UUID"), "model": F.col("modelName"),
+            "device_index": F.when(index.isNull(), F.lit(0)).otherwise(index.try_cast("int")),
+            "value": value}
     if not named:
-        stamp = F.get("_rest", F.lit(1)).try_cast("long")
+        stamp = F.regexp_extract("_rest", r"^\S*\s+(\S+)", 1).try_cast("long")
         d = d.withColumns({"_scrape": stamp.cast("string"), "_at": F.timestamp_millis(stamp)})
-    index = label("gpu")
-    d = d.select("_scrape", "_at", "_ord", "metric", label("UUID").alias("gpu_uuid"), label("modelName").alias("model"),
-                 F.when(index.isNull(), F.lit(0)).otherwise(index.try_cast("int")).alias("device_index"),
-                 F.get("_rest", F.lit(0)).try_cast("double").alias("value"))
-    d = d.where((F.col("gpu_uuid") != "") & F.col("value").isNotNull() & F.col("device_index").isNotNull())
+    d = d.select(*ids, F.inline(F.array(F.struct("_close", *[c.alias(n) for n, c in read.items()]))))
+    # no "}": the line cannot be split, skip it
+    d = d.where((F.col("_close") > 0) & ~F.col("metric").startswith("#") & (F.col("gpu_uuid") != "")
+                & F.col("value").isNotNull() & F.col("device_index").isNotNull())
     # one grouping per (scrape, device): entries sorted by (metric, line order) feed
     # map_from_entries, whose last-wins key policy keeps the last value of a series
     return (d.groupBy("_scrape", "gpu_uuid")

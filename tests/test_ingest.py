@@ -138,3 +138,32 @@ def test_exposition_without_timestamps_and_bad_labels(spark):
         ("G0", at["s2"]): (0, "A", {"DCGM_FI_DEV_GPU_TEMP": 51.5})}
     plain = ingest.parse_exposition(lines.where("scrape_id = 's2'").select("line_no", "line")).collect()
     assert len(plain) == 1 and plain[0].time is None
+
+
+def test_exposition_odd_label_texts(spark):
+    text = [
+        'm{UUID="G0",UUID="G1",gpu="2",} 1',            # last of equal keys, comma at the end
+        'm{XUUID="x",UUID="G2"} 2\t1700000000000',      # a key that ends in the name; tab after the value
+        'm{ UUID = "G3" , gpu = "4",modelName="A B"} 3',
+        "m{UUID=G4} 4",
+        'm{UUID="G5"gpu="1"} 5',                        # no comma: one value
+        'm{UUID="G6",UUID} 6',                          # the last UUID has no value
+        'm{UUID="a{b"} 7',
+        'm{UUID="G8",modelName="x,y"} 8',
+        'm{UUID="G9"',
+        '# m{UUID="G10"} 10',
+        "m{" + ",".join(f'k{i}="v"' for i in range(5000)) + ',UUID="G11"} 11',
+    ]
+    lines = spark.createDataFrame([("s", dt.datetime(2024, 1, 1), i, x) for i, x in enumerate(text)],
+                                  "scrape_id string, scraped_at timestamp, line_no long, line string")
+    got = {r.gpu_uuid: (r.device_index, r.model, r.metrics["m"]) for r in ingest.parse_exposition(lines).collect()}
+    assert got == {"G1": (2, None, 1.0), "G2": (0, None, 2.0), "G3": (4, "A B", 3.0), "G4": (0, None, 4.0),
+                   'G5"gpu="1': (0, None, 5.0), "a{b": (0, None, 7.0), "G8": (0, "x", 8.0), "G11": (0, None, 11.0)}
+
+
+def test_exposition_lines_are_cut_once(spark):
+    """No filter cuts the labels or the value of a line again."""
+    m = spark.createDataFrame([("s", dt.datetime(2024, 1, 1), 1, 'm{UUID="G"} 1')],
+                              "scrape_id string, scraped_at timestamp, line_no long, line string")
+    plan = ingest.parse_exposition(m)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and ("str_to_map" in x or "split(" in x or "regexp" in x)]
