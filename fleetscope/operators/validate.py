@@ -152,7 +152,7 @@ def validate(raw: DataFrame, now: Column | None = None, value_col: str = "value"
 def valid_events(checked: DataFrame, now: Column | None = None, value_col: str = "value") -> DataFrame:
     """Parsed valid events with the validation stamp in ``quality`` (VAL6)."""
     now = now if now is not None else F.current_timestamp()
-    e = F.from_json(F.col(value_col), EVENT_SCHEMA)
+    e = F.col("_e")  # parsed once: each field below would parse the text again
     q = F.coalesce(e["quality"], F.struct(F.lit(None).cast("int").alias("collection_latency_ms"),
                                           F.lit(None).cast("boolean").alias("stale"),
                                           F.lit(None).cast("int").alias("sample_count"),
@@ -161,7 +161,8 @@ def valid_events(checked: DataFrame, now: Column | None = None, value_col: str =
                           .withField("validation_version", F.lit(VALIDATOR_VERSION))
                           .withField("validation_passed", F.lit(True)))
     keep = [c for c in checked.columns if c not in (value_col, "errors", "is_valid")]
-    return checked.where("is_valid").select(*keep, stamped.alias("e"))
+    ok = _once(checked.where("is_valid"), {"_e": F.from_json(F.col(value_col), EVENT_SCHEMA)})
+    return ok.select(*keep, stamped.alias("e"))
 
 
 def dead_letters(checked: DataFrame, now: Column | None = None, value_col: str = "value") -> DataFrame:

@@ -167,3 +167,11 @@ def test_exposition_lines_are_cut_once(spark):
                               "scrape_id string, scraped_at timestamp, line_no long, line string")
     plan = ingest.parse_exposition(m)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if "Filter" in x and ("str_to_map" in x or "split(" in x or "regexp" in x)]
+
+
+def test_valid_events_are_parsed_once(spark):
+    """Each field of the stamped event would parse the JSON text again."""
+    checked = validate.validate(spark.createDataFrame([(event(),)], "value string"), now=F.lit(NOW))
+    plan = validate.valid_events(checked.select("value", "is_valid"), now=F.lit(NOW))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(schema_version,StringType,true), StructField(event_type,StringType,true), "
+                      "StructField(timestamp,StringType,true), StructField(collection_timestamp") == 1
