@@ -8,7 +8,7 @@ result is an ``errors`` array per event and valid iff it is empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import parse_iso_ts, round_numeric, seconds_between
@@ -190,9 +190,10 @@ def error_breakdown(checked: DataFrame) -> DataFrame:
 
 
 def _with_percentages(counts: DataFrame) -> DataFrame:
-    """A row per error type and tag: few rows, so the total is a scalar subquery over them."""
+    """A row per error type and tag: few rows, so the total is a window over them. (A subquery
+    would validate all events again: its filter on the tag makes it another plan.)"""
     tag = F.col("error_type").startswith("__")
-    total = counts.where(tag).agg(F.sum("n")).scalar()
+    total = F.sum(F.when(tag, F.col("n"))).over(Window.partitionBy())
     return (counts.withColumn("pct", F.when(tag, round_numeric(F.col("n") / total * 100.0, 1)))
                   .orderBy((~tag).cast("int"), F.col("n").desc(), "error_type"))
 

@@ -175,3 +175,11 @@ def test_valid_events_are_parsed_once(spark):
     plan = validate.valid_events(checked.select("value", "is_valid"), now=F.lit(NOW))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(StructField(schema_version,StringType,true), StructField(event_type,StringType,true), "
                       "StructField(timestamp,StringType,true), StructField(collection_timestamp") == 1
+
+
+def test_error_breakdown_validates_once(spark):
+    raw = spark.createDataFrame([(event(),), (event(timestamp="x"),), ("{",)], "value string")
+    out = validate.error_breakdown(validate.validate(raw, now=F.lit(NOW)))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert [tuple(r) for r in out.collect()] == [
+        ("__invalid__", 2, 66.7), ("__valid__", 1, 33.3), ("Invalid JSON", 1, None), ("Invalid timestamp format", 1, None)]
