@@ -58,6 +58,31 @@ def _null_metric(v: Column, section: str, field: str) -> Column:
     return F.when(x.isNotNull() & F.is_variant_null(x), F.lit(f"Null metric: metrics.{section}.{field}"))
 
 
+# The fields that the rules read, as one typed view of an event.
+CHECKED_FIELDS = """struct<schema_version:string, event_type:string, timestamp:string, gpu:struct<gpu_uuid:string>,
+  host:struct<hostname:string>, metrics:struct<
+    health:struct<gpu_temp_c:double, memory_temp_c:double, power_usage_w:double>,
+    memory:struct<fb_used_mib:double, fb_free_mib:double, utilization_pct:double>,
+    performance:map<string,string>, clocks:struct<sm_clock_mhz:double>>>"""
+
+
+def passes(f: Column) -> Column:
+    """No schema and no range rule can fire: every field of the view ``f`` (``CHECKED_FIELDS``)
+    is there, with a value in range. False where in doubt (absent, null or of another type,
+    ``performance`` values included); the rules themselves then decide."""
+    m = f["metrics"]
+    health, mem, clk = m["health"], m["memory"], m["clocks"]["sm_clock_mhz"]
+    perf = F.forall(F.map_entries(m["performance"]), lambda kv: ~(kv["key"].endswith("_pct") | kv["key"].contains("active"))
+                    | kv["value"].try_cast("double").between(*PCT_RANGE))
+    ok = (f["schema_version"].isNotNull() & f["event_type"].isNotNull() & f["timestamp"].isNotNull()
+          & f["host"].isNotNull() & (f["gpu"]["gpu_uuid"] != "")
+          & health["gpu_temp_c"].between(*TEMP_RANGE) & health["memory_temp_c"].between(*TEMP_RANGE)
+          & health["power_usage_w"].between(*POWER_RANGE)
+          & (mem["fb_used_mib"] >= 0) & (mem["fb_free_mib"] >= 0) & mem["utilization_pct"].between(*PCT_RANGE)
+          & ((clk <= 0) | clk.between(*SM_CLOCK_RANGE)) & perf)
+    return F.coalesce(ok, F.lit(False))
+
+
 def schema_errors(v: Column) -> Column:
     """VAL1 + VAL2 on the parsed event: missing top-level keys stop here; else
     uuid / empty metrics / missing sections. Unparsable text is one error."""
@@ -135,18 +160,20 @@ def _once(df: DataFrame, cols: dict) -> DataFrame:
 def validate(raw: DataFrame, now: Column | None = None, value_col: str = "value") -> DataFrame:
     """Add ``errors`` (array) and ``is_valid`` (VAL5): schema errors short-circuit.
 
-    The JSON text is parsed once into a VARIANT (``try_parse_json``); every rule
-    then reads paths of that binary value.
+    The JSON text is parsed into a VARIANT (``try_parse_json``) and every rule reads
+    paths of that binary value. Most events break none: a typed view of the checked
+    fields tells that in one pass, and only the others go through the rules.
     """
     now = now if now is not None else F.current_timestamp()
-    d = _once(raw, {"_v": F.try_parse_json(F.col(value_col))})
+    d = _once(raw, {"_v": F.try_parse_json(F.col(value_col)), "_f": F.from_json(F.col(value_col), CHECKED_FIELDS)})
     v = F.col("_v")
-    d = _once(d, {"_se": schema_errors(v), "_ts_raw": _get(v, "$.timestamp", "string")})
-    d = _once(d, {"_ts": parse_iso_ts(F.col("_ts_raw"))})
+    d = _once(d, {"_ok": v.isNotNull() & passes(F.col("_f")), "_ts_raw": _get(v, "$.timestamp", "string")})
+    none = F.array().cast("array<string>")
+    d = _once(d, {"_se": F.when(F.col("_ok"), none).otherwise(schema_errors(v)), "_ts": parse_iso_ts(F.col("_ts_raw"))})
     errs = F.when(F.size("_se") > 0, F.col("_se")).otherwise(
-        F.concat(range_errors(v), timestamp_errors(F.col("_ts_raw"), F.col("_ts"), now)))
+        F.concat(F.when(F.col("_ok"), none).otherwise(range_errors(v)), timestamp_errors(F.col("_ts_raw"), F.col("_ts"), now)))
     d = _once(d, {"errors": errs})
-    return d.drop("_v", "_se", "_ts_raw", "_ts").withColumn("is_valid", F.size("errors") == 0)
+    return d.drop("_v", "_f", "_ok", "_se", "_ts_raw", "_ts").withColumn("is_valid", F.size("errors") == 0)
 
 
 def valid_events(checked: DataFrame, now: Column | None = None, value_col: str = "value") -> DataFrame:

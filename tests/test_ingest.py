@@ -183,3 +183,19 @@ def test_error_breakdown_validates_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
     assert [tuple(r) for r in out.collect()] == [
         ("__invalid__", 2, 66.7), ("__valid__", 1, 33.3), ("Invalid JSON", 1, None), ("Invalid timestamp format", 1, None)]
+
+
+def test_typed_view_passes_only_events_without_errors(spark):
+    plain = [event(), event(**{"metrics.performance.pcie_tx_mb_per_sec": 900.0}), event(**{"metrics.clocks.sm_clock_mhz": 0})]
+    odd = [event(**{"metrics.performance.sm_active_pct": v}) for v in ("150", None, {}, True, 100.5)]
+    odd += [event(**{k: v}) for k, v in (("metrics.health.gpu_temp_c", None), ("metrics.health.gpu_temp_c", "121"), ("host", 5),
+            ("gpu.gpu_uuid", ""), ("schema_version", None), ("metrics.memory", []), ("metrics.performance.x_active", -1))]
+    odd += [event(host=KeyError), event(**{"metrics.health.power_usage_w": KeyError}), "[]", "{not json", None]
+    df = spark.createDataFrame([(t,) for t in plain + odd], "value string")
+    ok = df.select(validate.passes(F.from_json("value", validate.CHECKED_FIELDS)).alias("ok")).collect()
+    assert [r.ok for r in ok] == [True] * len(plain) + [False] * len(odd)
+    assert errors_of(spark, plain) == [[], [], []]
+    # twice the same key is no valid JSON, though the typed view takes the last one
+    twice = event().replace('"gpu_temp_c"', '"gpu_temp_c": 200, "gpu_temp_c"')
+    assert errors_of(spark, [twice, odd[0], odd[1]]) == [
+        ["Invalid JSON"], ["sm_active_pct out of range: 150.0% (expected 0-100)"], []]
