@@ -79,18 +79,19 @@ def marked(text: Column, names: str = "inside") -> Column:
     units = "|".join(UNITS.split())
     # symbols and runs of white space become one space, so that they hide no name or unit
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,;:!?]+", " ")
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
-    t = F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})", " ")
+    # each pattern starts with a character of its own: a look behind would be tried at every place
+    t = F.regexp_replace(t, r"[.,](?<=[0-9][.,])(?=[0-9])", "")
+    t = F.regexp_replace(t, r"[0-9](?=\p{L})", "$0 ")
     if names != "none":
         if names == "but first":
             t = F.regexp_replace(t, r"^[^\p{L}\p{N}]+", "")
         start = {"inside": r"(?<=[\p{L}\p{N},;]\s)", "all": r"(?<![\p{L}\p{N}])", "but first": r"(?<![\p{L}\p{N}])(?<!^)"}[names]
         t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}}){start}", NAME_MARK)
-        t = F.regexp_replace(t, rf"(?<=[0-9]\s)(?=(?i:{units})(?!\p{{L}}))", UNIT_MARK)
+        t = F.regexp_replace(t, rf"\s(?<=[0-9]\s)(?=(?i:{units})(?!\p{{L}}))", f"$0{UNIT_MARK}")
         if names != "inside":
             gap = r"[^\p{L}\p{N}\x01\x02]+"
             t = F.regexp_replace(t, rf"(\x01[\p{{L}}\p{{N}}]+){gap}(?=\x01)", f"$1{JOINED}")
-            t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])([0-9]+){gap}(?=[0-9])", f"$1{JOINED}")
+            t = F.regexp_replace(t, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])([0-9]+){gap}(?=[0-9])", f"$1{JOINED}")
     return t
 
 

@@ -221,3 +221,14 @@ def test_pair_by_pair_against_the_rule_in_plain_python(spark):
     as_df = lambda d, c: spark.createDataFrame(list(d.items()), f"{c} long, text string")
     got = {(r.doc_id, r.item_id) for r in find_leaks(as_df(docs, "doc_id"), as_df(items, "item_id")).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 5
+
+
+def test_marks_start_with_a_character(spark):
+    """A pattern that starts with a look behind is tried at every place of a text; the marks stay the same."""
+    from pyspark.sql import functions as F
+    from fleetscope.llm.template_leaks import marked
+    df = spark.createDataFrame([("In 1,234.5 kg and 5Kg, Bob met 3 4 x7y, 12 min.",)], "text string")
+    out = df.select(marked(F.col("text"), "all").alias("t"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ", (?<=" not in plan and ", (?<![\\p{L}\\p{N}])([0-9]+)" not in plan
+    assert out.first().t == "\u0001In 12345 \u0002kg and 5 \u0001Kg\u0003\u0001Bob met 3\u00034 x7 y, 12 \u0002min."
